@@ -26,6 +26,10 @@ SMALL_GROUP = 256
 BLOCK = 4_000_000
 HOT_SHARE = 0.001
 RUNS = "hash long, doc_id long, ord int, start int, size int"
+#: A run that so many texts of one block hold is sent past the grouping by its hash, with one row in its place.
+HOT_IN_BLOCK = 64
+#: Tables of up to so many rows (of 16 and 60 bytes) are broadcast, larger ones joined by shuffle.
+SMALL_IDS, SMALL_REGIONS = 1_000_000, 200_000
 _INDEX = (1 << 24) - 1
 _PLAIN = np.uint64(1 << 63)
 
@@ -91,19 +95,67 @@ def long_text_runs(doc_id: int, text: str, window: int) -> Iterator[pd.DataFrame
         yield part
 
 
-def runs(docs: DataFrame, min_chars: int) -> DataFrame:
-    """RUNS of doc_id, text."""
+_SENT = "hash long, doc_id long, place long"
+
+
+def _sent(part: pd.DataFrame) -> pd.DataFrame:
+    """RUNS as they are sent: start, size, ord and a sign in one number. The sign says that the run is known to stand in several texts."""
+    place = part["start"].to_numpy(np.int64) | part["size"].to_numpy(np.int64) << 31 | np.minimum(part["ord"].to_numpy(np.int64), (1 << 23) - 1) << 39
+    out = pd.DataFrame({"hash": part["hash"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "place": place})
+    if not len(out):
+        return out
+    distinct, at, n = np.unique(out["hash"].to_numpy(), return_inverse=True, return_counts=True)
+    many = n[at] >= HOT_IN_BLOCK
+    if not many.any():
+        return out
+    docs = out["doc_id"].to_numpy()
+    lo, hi = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+    np.minimum.at(lo, at, docs)
+    np.maximum.at(hi, at, docs)
+    many &= (lo < hi)[at]
+    out.loc[many, "place"] |= np.int64(-1) << 62  # its own row, marked
+    _, first = np.unique(at[many], return_index=True)
+    stand = out[many].iloc[first].assign(place=np.int64(1) << 62)  # a row that only says that there are others
+    return pd.concat([out, stand], ignore_index=True)
+
+
+def repeated_runs(docs: DataFrame, min_chars: int) -> DataFrame:
+    """RUNS of doc_id, text that stand in more than one text.
+
+    Each run is sent once, 24 bytes, to where its hash is grouped; those that a block already knows to be frequent are spread evenly instead."""
     window = window_of(min_chars)
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, texts in blocks(b["doc_id"].to_numpy(np.int64), b["text"].tolist()):
                 if len(texts) == 1 and len(texts[0]) > 3 * BLOCK:
-                    yield from long_text_runs(ids[0], texts[0], window)
+                    for part in long_text_runs(ids[0], texts[0], window):
+                        yield _sent(part)
                 else:
-                    yield runs_of(ids, texts, window)
-
-    return docs.mapInPandas(of_batches, RUNS)
+                    yield _sent(runs_of(ids, texts, window))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        b = pd.concat(held, ignore_index=True)
+        place, h, doc = b["place"].to_numpy(), b["hash"].to_numpy(), b["doc_id"].to_numpy()
+        known, stand = place < 0, place == 1 << 62
+        free = ~known
+        order = np.argsort(h[free], kind="stable")
+        hs, ds, ss = h[free][order], doc[free][order], stand[free][order]
+        take = np.zeros(len(b), bool)
+        if len(hs):
+            new = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
+            several = (np.minimum.reduceat(ds, new) < np.maximum.reduceat(ds, new)) | np.logical_or.reduceat(ss, new)
+            sizes = np.diff(np.concatenate([new, [len(hs)]]))
+            take[np.flatnonzero(free)[order]] = np.repeat(several, sizes)
+        take = (take & ~stand) | known
+        p = place[take] & ((1 << 62) - 1)
+        yield pd.DataFrame({"hash": h[take], "doc_id": doc[take], "ord": (p >> 39).astype(np.int32), "start": (p & ((1 << 31) - 1)).astype(np.int32), "size": (p >> 31 & 255).astype(np.int32)})
+
+    sent = docs.mapInPandas(of_batches, _SENT)
+    return sent.repartition(F.when(F.col("place") < 0, F.xxhash64("doc_id", "place")).otherwise(F.col("hash"))).mapInPandas(keep, RUNS)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -173,15 +225,16 @@ def shared_passages(docs: DataFrame, min_chars: int = 200) -> tuple[DataFrame, D
     """
     docs = docs.select("doc_id", "text").where(F.length("text") >= min_chars)
     members = cut(classes(docs))
-    reps = docs.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    every = stored(runs(reps, min_chars), "runs")
-    total = every.count()
-    repeated = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "n")
-    bound = max(10_000.0, total * HOT_SHARE)
-    repeated = cut(repeated)
-    found = every.join(F.broadcast(repeated.where(F.col("n") >= bound)), "hash").unionByName(every.join(repeated.where(F.col("n") < bound), "hash"))
-    regions = cut(_regions(cut(found)))
+    others = members.where("doc_id <> rep").select("doc_id")
+    reps = docs.join(F.broadcast(others) if others.count() <= SMALL_IDS else others, "doc_id", "left_anti")
+    found = cut(repeated_runs(reps, min_chars))
+    counts = cut(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
+    bound = max(10_000.0, found.count() * HOT_SHARE)
+    found = found.join(F.broadcast(counts.where(F.col("n") >= bound)), "hash").unionByName(found.join(counts.where(F.col("n") < bound), "hash"))
+    regions = cut(_regions(found))
     wanted = regions.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "n", "start", "size", "upto")).alias("regions"))
+    if regions.count() <= SMALL_REGIONS:
+        wanted = F.broadcast(wanted)
     near = min_chars
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
