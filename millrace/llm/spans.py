@@ -1,7 +1,7 @@
 """Problem 7: passages of at least a given length that stand verbatim in more than one text.
 
 Method: sliding sentence spans. A text is cut into sentences, and a sentence longer than a window is cut again at places
-that its own characters decide, so that every common passage of min_chars holds a whole run of two consecutive pieces,
+that its own characters decide, so that every common passage of min_chars holds a whole run of consecutive pieces,
 the same in both texts. Runs are hashed and joined globally; a run that always follows the same run is covered by it and
 needs no look of its own; what is left is compared character by character.
 """
@@ -34,9 +34,14 @@ _INDEX = (1 << 24) - 1
 _PLAIN = np.uint64(1 << 63)
 
 
-def window_of(min_chars: int) -> int:
-    """The widest window for which min_chars characters always hold three cuts, that is a run of two pieces."""
-    return (min_chars - CONTEXT) // 3
+def window_of(min_chars: int) -> tuple[int, int]:
+    """(window, least length of a run), such that min_chars characters always hold a whole run.
+
+    Of the places whose context lies in them, the first window's lowest and the last window's lowest are cuts in every text that has
+    these characters, and so are all cuts between; a run goes on to the first cut after its least length, which is there before the last."""
+    places = min_chars - 2 - CONTEXT + 1
+    window = max(4, int(0.28 * min_chars))
+    return window, places + 1 - 2 * window
 
 
 def cuts(codes: np.ndarray, real: np.ndarray, window: int) -> tuple[np.ndarray, WindowHashes]:
@@ -53,8 +58,8 @@ def cuts(codes: np.ndarray, real: np.ndarray, window: int) -> tuple[np.ndarray,
     return chosen[rank[chosen] != ~np.uint64(0)], hashes
 
 
-def runs_of(ids: np.ndarray, texts: list[str], window: int) -> pd.DataFrame:
-    """All runs of two consecutive pieces of the texts, as RUNS."""
+def runs_of(ids: np.ndarray, texts: list[str], window: int, least: int) -> pd.DataFrame:
+    """From each cut the run of consecutive pieces that first reaches the least length, as RUNS."""
     gap = "\0" * window
     codes, ends = code_points([t + gap for t in texts])
     real = np.ones(len(codes), bool)
@@ -62,11 +67,11 @@ def runs_of(ids: np.ndarray, texts: list[str], window: int) -> pd.DataFrame:
         real[ends[1:] - k] = False
     at, hashes = cuts(codes, real, window)
     owner = np.searchsorted(ends, at, "right") - 1
-    if len(at) < 3:
-        return pd.DataFrame({"hash": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "ord": np.zeros(0, np.int32), "start": np.zeros(0, np.int32), "size": np.zeros(0, np.int32)})
-    whole = np.flatnonzero(owner[2:] == owner[:-2])
+    until = np.searchsorted(at, at + least)
+    whole = np.flatnonzero(until < len(at))
+    whole = whole[owner[whole] == owner[until[whole]]]
     first = np.searchsorted(owner, owner[whole])
-    begin, end = at[whole], at[whole + 2]
+    begin, end = at[whole], at[until[whole]]
     return pd.DataFrame({"hash": hashes.of(begin, end).view(np.int64), "doc_id": ids[owner[whole]], "ord": (whole - first).astype(np.int32), "start": (begin - ends[owner[whole]]).astype(np.int32), "size": (end - begin).astype(np.int32)})
 
 
@@ -82,11 +87,11 @@ def blocks(ids: np.ndarray, texts: list[str]) -> Iterator[tuple[np.ndarray, list
         yield ids[start:], texts[start:]
 
 
-def long_text_runs(doc_id: int, text: str, window: int) -> Iterator[pd.DataFrame]:
+def long_text_runs(doc_id: int, text: str, window: int, least: int) -> Iterator[pd.DataFrame]:
     """Runs of one text of more characters than indexes can count, by overlapping stretches; runs that both stretches have come once."""
     step, over, done = BLOCK, 8 * window, -1
     for k, at in enumerate(range(0, len(text), step)):
-        part = runs_of(np.array([doc_id]), [text[max(0, at - over) : at + step + over]], window)
+        part = runs_of(np.array([doc_id]), [text[max(0, at - over) : at + step + over]], window, least)
         part["start"] += max(0, at - over)
         part = part[(part["start"] > done) & ((part["start"] < at + step) | (at + step >= len(text)))]
         if k:
@@ -123,16 +128,16 @@ def repeated_runs(docs: DataFrame, min_chars: int) -> DataFrame:
     """RUNS of doc_id, text that stand in more than one text.
 
     Each run is sent once, 24 bytes, to where its hash is grouped; those that a block already knows to be frequent are spread evenly instead."""
-    window = window_of(min_chars)
+    window, least = window_of(min_chars)
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, texts in blocks(b["doc_id"].to_numpy(np.int64), b["text"].tolist()):
                 if len(texts) == 1 and len(texts[0]) > 3 * BLOCK:
-                    for part in long_text_runs(ids[0], texts[0], window):
+                    for part in long_text_runs(ids[0], texts[0], window, least):
                         yield _sent(part)
                 else:
-                    yield _sent(runs_of(ids, texts, window))
+                    yield _sent(runs_of(ids, texts, window, least))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -170,10 +175,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def _regions(found: DataFrame) -> DataFrame:
     """hash, n, doc_id, start, size, upto: the runs to look at, each with the end of the runs it covers. found: RUNS and n.
 
-    A run is covered by the one before it if wherever it stands that one stands before it, and as often."""
+    A run is covered by the one before it if wherever it stands that one stands before it, at the same distance, and as often."""
     by_doc = Window.partitionBy("doc_id").orderBy("start")
-    linked = found.withColumns({"prev_ord": F.lag("ord").over(by_doc), "prev_hash": F.lag("hash").over(by_doc), "prev_n": F.lag("n").over(by_doc)})
-    linked = linked.withColumn("link", F.when(F.col("prev_ord") == F.col("ord") - 1, F.col("prev_hash")))
+    linked = found.withColumns({"prev_ord": F.lag("ord").over(by_doc), "prev_hash": F.lag("hash").over(by_doc), "prev_n": F.lag("n").over(by_doc), "prev_start": F.lag("start").over(by_doc)})
+    linked = linked.withColumn("link", F.when(F.col("prev_ord") == F.col("ord") - 1, F.xxhash64("prev_hash", F.col("start") - F.col("prev_start"))))
     links = linked.groupBy("hash").agg(F.count("link").alias("n_link"), F.min("link").alias("link_min"), F.max("link").alias("link_max")).where("link_min = link_max")
     marked = linked.join(links, "hash", "left").withColumn(
         "covered", F.coalesce((F.col("n_link") == F.col("n")) & (F.col("link_min") == F.col("link")) & (F.col("prev_n") == F.col("n")), F.lit(False))
