@@ -22,9 +22,15 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from millrace.plans import batches, growth, preflight, reading, serving, watching  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
