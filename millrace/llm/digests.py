@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.frames import plain
 from millrace.session import cut
 
 #: Clusters of a digest; the rank error of a quantile q is about pi * sqrt(q * (1 - q)) / CLUSTERS after each merge.
@@ -84,7 +85,7 @@ def digests(df: DataFrame, keys: list[str], metrics: list[str], clusters: int =
             np.maximum.at(high, g, x)
             out = _packed(names, *_clustered(g, x, np.ones(len(x)), clusters), low, high)
             out.insert(len(keys), "metric", metric)
-            yield out
+            yield plain(out)
 
     return df.select(*keys, *metrics).mapInPandas(build, schema)
 
@@ -107,7 +108,7 @@ def merged(parts: DataFrame, keys: list[str], clusters: int = CLUSTERS) -> DataF
         sizes = b["means"].map(len).to_numpy()
         g, m, w = np.repeat(number, sizes), np.concatenate(b["means"].to_numpy()), np.concatenate(b["weights"].to_numpy())
         order = np.lexsort((m, g))
-        yield _packed(names, *_clustered(g[order], m[order], w[order], clusters), low, high)
+        yield plain(_packed(names, *_clustered(g[order], m[order], w[order], clusters), low, high))
 
     cols = [*own, "n", "low", "high", "means", "weights"]
     n_parts = parts.sparkSession.sparkContext.defaultParallelism

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.frames import plain
+
 #: Where the public tokenizers' files lie, unless a path is given.
 TOKENIZERS = "/opt/tokenizers"
 #: Tokens packed in one group; a sequence is lost at most once for each group.
@@ -46,7 +48,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         enc = encoder(path)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": np.array(n, np.int32), "cluster": b["cluster"]})
+            yield plain(pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": np.array(n, np.int32), "cluster": b["cluster"]}))
 
     rows = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("cluster"))
     return rows.mapInPandas(count, "doc_id long, source string, n_tokens int, cluster long")
@@ -120,7 +122,7 @@ def fill(items: pd.DataFrame, capacity: int, one_of_source: bool, name: str) ->
         out.append((s, slot, doc, piece, start, size, offset))
     placed = pd.DataFrame(out, columns=["s", "slot", "doc_id", "piece", "start", "size", "offset"])
     placed.insert(0, "sequence_id", [f"{name}-{s}" for s in placed.pop("s")])
-    return placed
+    return plain(placed)
 
 
 def hash_of(text: str | None) -> int:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.frames import plain
 from millrace.llm.codes import WindowHashes, code_points, sliding_min
 from millrace.session import cut, stored
 
@@ -249,7 +250,7 @@ def shared_passages(docs: DataFrame, min_chars: int = 200) -> tuple[DataFrame, D
                 for r in regions:
                     s = r["start"]
                     rows.append((r["hash"], r["n"], doc_id, s, r["size"], text[max(0, s - near) : s], text[s : r["upto"] + near]))
-            yield pd.DataFrame(rows, columns=["hash", "n", "doc_id", "start", "size", "before", "after"])
+            yield plain(pd.DataFrame(rows, columns=["hash", "n", "doc_id", "start", "size", "before", "after"]))
 
     looked = stored(reps.join(wanted, "doc_id").mapInPandas(contexts, "hash long, n long, doc_id long, start int, size int, before string, after string"), "passages")
 
@@ -276,7 +277,7 @@ def shared_passages(docs: DataFrame, min_chars: int = 200) -> tuple[DataFrame, D
                 codes, _ = code_points([own])
                 w = WindowHashes(codes)
                 at = np.arange(len(own) - min_chars + 1)
-                yield pd.DataFrame({"w": w.of(at, at + min_chars).view(np.int64), "doc_id": doc, "start": (start - len(before) + at).astype(np.int32), "body": [own[k : k + min_chars] for k in at]})
+                yield plain(pd.DataFrame({"w": w.of(at, at + min_chars).view(np.int64), "doc_id": doc, "start": (start - len(before) + at).astype(np.int32), "body": [own[k : k + min_chars] for k in at]}))
 
     # each window of a large group stands for all texts that hold it; only these are paired, which the result demands
     every_window = looked.where(F.col("n") > SMALL_GROUP).mapInPandas(windows, "w long, doc_id long, start int, body string")
