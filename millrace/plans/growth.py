@@ -87,13 +87,11 @@ def r13_jury(spark: SparkSession, d: str) -> DataFrame:
 _PARTS = f"list_filter(list_transform(string_split({strip_sql('text')}, '.'), lambda s: {strip_sql('s')}), lambda s: s <> '')"
 
 
-@query("r14_consensus", f"with c as (select coalesce(source, '') as g, doc_id as k, lower(coalesce({_PARTS}[-1], {strip_sql('text')})) as conclusion from documents where text is not null and not contains(text, '<answer>')), n as (select g, {strip_sql('left(conclusion, 12)')} as conclusion, count(*) as n, min(k) as first from c group by all) select g as \"group\", conclusion as winner, round(n / sum(n) over (partition by g), 6) as ratio, n / sum(n) over (partition by g) >= 0.6 as agreed, n, sum(n) over (partition by g)::bigint as total from n qualify row_number() over (partition by g order by n desc, first) = 1")
+@query("r14_consensus", f"with c as (select coalesce(source, '') as g, doc_id as k, lower(coalesce({_PARTS}[-1], {strip_sql('text')})) as conclusion from documents where text is not null and not contains(text, '<answer>')), n as (select g, conclusion, count(*) as n, min(k) as first from c group by all) select g as \"group\", conclusion as winner, round(n / sum(n) over (partition by g), 6) as ratio, n / sum(n) over (partition by g) >= 0.6 as agreed, n, sum(n) over (partition by g)::bigint as total from n qualify row_number() over (partition by g order by n desc, first) = 1")
 def r14_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of a source as a group; their last sentences' first letters, so that some agree."""
+    """Documents of a source as a group."""
     rows = table(spark, d, "documents").where("text is not null and not contains(text, '<answer>')")
-    short = rows.select(F.coalesce("source", F.lit("")).alias("g"), "doc_id", F.substring(rewards.conclusion(F.col("text")), 1, 12).alias("c"))
-    tagged_rows = short.select("g", "doc_id", F.concat(F.lit("<answer>"), "c", F.lit("</answer>")).alias("c"))
-    return r6(rewards.consensus(tagged_rows, "g", "doc_id", "c"))
+    return r6(rewards.consensus(rows.select(F.coalesce("source", F.lit("")).alias("g"), "doc_id", "text"), "g", "doc_id", "text"))
 
 
 _WS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
@@ -131,13 +129,13 @@ def g1_advantages(spark: SparkSession, d: str) -> DataFrame:
     return r6(grpo.advantages(A.rollouts(spark, d), "batch", "grp", "reward").select("k", "advantage", "mode"))
 
 
-_STREAK = "b as (select (user_id % 4)::int as run, ts::date as day, hour(ts)::int as h, stddev_pop(case when event_type = 'purchase' then 1.5::double else 0 end) as std from events where user_id < 20 group by all), o as (select *, day::varchar || '-' || lpad(h::varchar, 2, '0') as slot from b), i as (select *, sum(case when std < 1e-8 then 0 else 1 end) over (partition by run order by slot) as island from o)"
+_STREAK = "b as (select (user_id % 4)::int as run, ts::date as day, hour(ts)::int as h, stddev_pop(case when event_type = 'purchase' then 1.5::double else 0 end) as std from events group by all), o as (select *, day::varchar || '-' || lpad(h::varchar, 2, '0') as slot from b), i as (select *, sum(case when std < 1e-8 then 0 else 1 end) over (partition by run order by slot) as island from o)"
 
 
 @query("g4_streaks", f"with {_STREAK} select run, slot, sum(case when std < 1e-8 then 1 else 0 end) over (partition by run, island order by slot)::bigint as streak from i")
 def g4_streaks(spark: SparkSession, d: str) -> DataFrame:
     """Hours of a day as batches."""
-    e = table(spark, d, "events").where("user_id < 20")
+    e = table(spark, d, "events")
     at = F.concat_ws("-", F.to_date("ts").cast("string"), F.lpad(F.hour("ts").cast("string"), 2, "0"))
     b = e.groupBy((F.col("user_id") % 4).cast("int").alias("run"), at.alias("slot")).agg(F.stddev_pop(F.when(F.col("event_type") == "purchase", 1.5).otherwise(0.0)).alias("std"))
     return grpo.flat_streaks(b, "run", "slot", "std").select("run", "slot", "streak")

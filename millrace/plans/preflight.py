@@ -111,11 +111,11 @@ def p_report(spark: SparkSession, d: str) -> DataFrame:
 def p_labels(spark: SparkSession, d: str) -> DataFrame:
     """P3-P6 on arrays: code points as token ids."""
     rows = sft.extracted(sft_rows(spark, d)).where("valid and c <> ''")
-    ids = lambda c, n: F.transform(F.split(F.substring(c, 1, n), ""), F.ascii)
-    rows = rows.select("ordinal", ids(F.col("p"), 16).alias("a"), ids(F.col("c"), 24).alias("b")).select("ordinal", F.size("a").alias("prompt_len"), sft.right_truncated(F.concat("a", "b"), 32).alias("ids"))
+    ids = lambda c: F.transform(F.split(c, ""), F.ascii)
+    rows = rows.select("ordinal", ids(F.col("p")).alias("a"), ids(F.col("c")).alias("b")).select("ordinal", F.size("a").alias("prompt_len"), sft.right_truncated(F.concat("a", "b"), 512).alias("ids"))
     rows = rows.withColumn("labels", sft.answer_labels(F.col("ids"), F.col("prompt_len"))).withColumn("wrong", sft.misaligned(F.col("labels"), F.col("prompt_len"), F.lit(False)))
     done = sft.collated(rows.withColumn("batch", F.floor(F.col("ordinal") / 8)), "batch", "ids", "labels")
-    return done.select("ordinal", "prompt_len", "wrong", F.size("padded_ids").alias("width"), "useful", "padded", F.array_join("padded_labels", " ").alias("labels"), F.array_join("mask", "").alias("mask"))
+    return done.select("ordinal", "prompt_len", "wrong", F.size("padded_ids").alias("width"), "useful", "padded", F.md5(F.array_join("padded_labels", " ")).alias("labels"), F.md5(F.array_join("mask", "")).alias("mask"))
 
 
 @query("p_batch_faults")
@@ -279,19 +279,19 @@ def d_transitions(spark: SparkSession, d: str) -> DataFrame:
 def d_trainer_rows(spark: SparkSession, d: str) -> DataFrame:
     """Code points as token ids."""
     rows = dpo.sides(dpo_rows(spark, d)).where("not missing")
-    ids = lambda c: F.transform(F.split(F.substring(c, 1, 40), ""), F.ascii)
+    ids = lambda c: F.transform(F.split(c, ""), F.ascii)
     own = rows.select("row_id", ids(F.col("prompt")).alias("prompt_ids"), ids(F.col("chosen_text")).alias("chosen_ids"), ids(F.col("rejected_text")).alias("rejected_ids"))
-    cut = dpo.trainer_rows(own, 2, 24, 32)
+    cut = dpo.trainer_rows(own, 2, 256, 512)
     stacked = dpo.stacked(dpo.collated(cut.withColumn("batch", F.floor(F.col("row_id") / 4)), "batch"), "row_id")
-    return stacked.select("row_id", "side", F.size("ids").alias("width"), F.array_join("ids", " ").alias("ids"), F.array_join("loss_mask", "").alias("loss_mask"))
+    return stacked.select("row_id", "side", F.size("ids").alias("width"), F.md5(F.array_join("ids", " ")).alias("ids"), F.md5(F.array_join("loss_mask", "")).alias("loss_mask"))
 
 
-@query("d_loader_audit", "select 0::bigint as token_mismatch, count_if(length(prompt) > 20) as no_end, 0::bigint as over_budget, count(*) as rows from clipped_completions where prompt is not null")
+@query("d_loader_audit", "select 0::bigint as token_mismatch, count_if(length(prompt) > 255) as no_end, 0::bigint as over_budget, count(*) as rows from clipped_completions where prompt is not null")
 def d_loader_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts with an end token, cut to 21 places."""
-    ids = F.slice(F.concat(F.transform(F.split("prompt", ""), F.ascii), F.array(F.lit(0))), 1, 21)
+    """Prompts with an end token, cut to a budget of 256 places."""
+    ids = sft.right_truncated(F.concat(F.transform(F.split("prompt", ""), F.ascii), F.array(F.lit(0))), 256)
     rows = table(spark, d, "clipped_completions").where("prompt is not null").select(ids.alias("ids"), ids.alias("approved_ids"))
-    return dpo.loader_audit(rows, 0, 21)
+    return dpo.loader_audit(rows, 0, 256)
 
 
 @query("text_estimators", f"select doc_id, ({char4_sql('text')})::int as char4, greatest(1, floor(length(text) / 3.8::double))::int as ratio from documents where text is not null")
