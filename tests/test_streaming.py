@@ -31,7 +31,7 @@ def streamed(spark, df, name, build, files=3, mode="append"):
 
 
 def test_windows_equal_batch(spark):
-    data = [(float(k * 7 % 600), f"r{k}", "m", 200 if k % 5 else 429, "COMPLETED" if k % 5 else "SHED", float(k)) for k in range(250)]
+    data = [(1.7e9 + k * 7 % 600, f"r{k}", "m", 200 if k % 5 else 429, "COMPLETED" if k % 5 else "SHED", float(k)) for k in range(250)]
     df = spark.createDataFrame(sorted(data), "arrival_time double, request_id string, mode string, status_code int, stream_status string, e2e_latency_ms double")
     build = lambda x: feeds.windowed_summary(x, ["mode"], "2 minutes", "1 hour").drop("p50", "p99")
     got = streamed(spark, df, "w", build, mode="complete")
