@@ -18,8 +18,8 @@ HOT_SHARE = 0.001
 
 
 def canonical(text: Column) -> Column:
-    """Letters and digits of a text in one case; upper before lower, so that letters with two-letter capitals meet. Null gives ''."""
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", "")))
+    """Letters and digits of a text in one case; a sharp s is its capitals' two letters. Null gives ''."""
+    return F.replace(F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", ""))), F.lit("ß"), F.lit("ss"))
 
 
 def keyed(df: DataFrame, id_col: str, fields: list[str], keep: list[str] = ()) -> DataFrame:
