@@ -69,3 +69,54 @@ def ks_p_value(d: float, n: int, m: int, exact_upto: int = 10_000) -> float:
         return min(1.0, max(0.0, 1.0 - row[m]))
     x = d * math.sqrt(n * m / (n + m))
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+
+
+def selected_percentiles(df: DataFrame, keys: list[str], value: str, qs: tuple[float, ...], parts: int = 256, small: int = 50_000) -> DataFrame:
+    """keys, n, values: exact percentiles, linear between ranks, of groups of any size.
+
+    The aggregate percentile() keeps all of a group's distinct values in one task. Here a group's range is cut into parts, these are counted with partial sums, and only the rows of those
+    parts that hold a wanted rank go on, until no range has more than `small` of them. A pass costs a scan and narrows a range by the number of parts; every other pass cuts
+    in the log scale, so that a few far values don't hold it up. Nulls and NaN don't count; groups without values have no row."""
+    from millrace.session import cut
+
+    rows = cut(df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")))
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(q * (F.col("n") - 1)), F.ceil(q * (F.col("n") - 1))) for q in qs])))
+    wanted = n.select(*keys, F.explode(ranks).alias("rank"))
+    # (group, range) -> the ranks wanted in it, counted from the range's start
+    open_ = cut(rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).join(wanted, keys).withColumn("at", F.col("rank")))
+    found = None
+    left = rows
+    for turn in range(64):
+        done = open_.where("lo = hi").select(*keys, "rank", F.col("lo").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        open_ = open_.where("lo < hi")
+        if open_.isEmpty():
+            break
+        ranges = open_.select(*keys, "lo", "hi").distinct()
+        inside = left.join(ranges, keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        # every other turn the parts are equal in the log scale of the distance from the low end
+        share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        if turn % 2:
+            share = F.log1p(share * 1e9) / F.log1p(F.lit(1e9))
+        part = F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int")
+        counts = inside.groupBy(*keys, "lo", "hi", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        w = Window.partitionBy(*keys, "lo", "hi").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+        hit = open_.drop("inside").join(counts, [*keys, "lo", "hi"]).where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("c")))
+        open_ = cut(hit.select(*keys, "rank", F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("at") - F.col("before")).alias("at"), F.col("c").alias("inside")))
+        most = open_.where("lo < hi").agg(F.max("inside")).first()[0] or 0
+        if 0 < most <= small:
+            ranges = open_.where("lo < hi").select(*keys, "lo", "hi").distinct()
+            last = left.join(ranges, keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+            order = last.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "lo", "hi").orderBy("v")) - 1)
+            found = found.unionByName(open_.where("lo = hi").select(*keys, "rank", F.col("lo").alias("v"))).unionByName(open_.where("lo < hi").join(order, [*keys, "lo", "hi", "at"]).select(*keys, "rank", "v"))
+            break
+    values = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))
+
+    def one(q: float) -> Column:
+        at = q * (F.col("n") - 1)
+        low, high = F.element_at("m", F.floor(at)), F.element_at("m", F.ceil(at))
+        return low + (high - low) * (at - F.floor(at))
+
+    return n.join(values, keys).select(*keys, "n", F.array(*[one(q) for q in qs]).alias("values"))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import stored
+
 
 def poisson_count(n: int, rate: float, seed: int = 42) -> list[float]:
     """N arrival times, the first at 0; all 0 without a rate."""
@@ -55,7 +57,7 @@ def generated_trace(spark: SparkSession, n: int, rate: float, topics: list[str],
 
 def cumulative(df: DataFrame, order: str, value: str) -> DataFrame:
     """Adds upto, the sum of a column over all rows up to this one, by range parts, each shifted by the parts before it."""
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    parts = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "cumulative")  # read twice, so made once
     base = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
     before = base.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -151,11 +151,15 @@ def sustained(df: DataFrame, keys: list[str], ts: str, value: str, limit: float,
 
 
 def counter_rates(df: DataFrame, keys: list[str], ts: str, value: str, window_s: int) -> DataFrame:
-    """Keys, window start, rate per second of a counter within tumbling windows; falls count as restarts and add nothing."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    grown = df.withColumn("_up", F.greatest(F.col(value) - F.lag(value).over(w), F.lit(0.0)))
+    """Keys, window start, rate per second of a counter within tumbling windows; falls count as restarts and add nothing, and so do null values."""
+    # steps within a window are taken window by window, the step into it from the last value before, so that a key's rows never stand in one task
     start = F.timestamp_seconds(F.floor(F.unix_micros(ts) / 1e6 / window_s) * window_s)
-    return grown.groupBy(*keys, start.alias("start")).agg((F.coalesce(F.sum("_up"), F.lit(0.0)) / window_s).alias("rate"))
+    df = df.where(F.col(value).isNotNull()).withColumn("start", start)
+    own = Window.partitionBy(*keys, "start").orderBy(ts)
+    grown = df.withColumn("_up", F.greatest(F.col(value) - F.lag(value).over(own), F.lit(0.0)))
+    by_window = grown.groupBy(*keys, "start").agg(F.sum("_up").alias("_up"), F.min_by(value, ts).alias("_first"), F.max_by(value, ts).alias("_last"))
+    into = F.greatest(F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("start")), F.lit(0.0))
+    return by_window.select(*keys, "start", ((F.coalesce("_up", F.lit(0.0)) + F.coalesce(into, F.lit(0.0))) / window_s).alias("rate"))
 
 
 def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, upper: str = "le", count: str = "count") -> DataFrame:

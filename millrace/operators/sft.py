@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.stats import percentile
 from millrace.functions.text import first_filled, normal_key, py_strip, tokens_quarter
+from millrace.session import stored
 
 IGNORED = -100
 
@@ -78,8 +79,11 @@ def padding_waste(df: DataFrame, length: str, ordinal: str, batch_size: int) ->
 
 
 def dense_ordinal(df: DataFrame, order_by: str, name: str = "ordinal") -> DataFrame:
-    """0, 1, 2, ... in the order of a column, by a range sort: parts are numbered by themselves and shifted by the parts before them."""
+    """0, 1, 2, ... in the order of a column, by a range sort: parts are numbered by themselves and shifted by the parts before them.
+
+    The numbered parts are written once and read twice: ranges come from a sample and would differ if they were made again. Ties get different numbers, in no stated order."""
     parts = df.repartitionByRange(order_by).sortWithinPartitions(order_by).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    parts = stored(parts, "ordinal")
     base = parts.groupBy("_part").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
     # one row for each part
     before = base.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -86,9 +86,7 @@ _EV = "e as (select user_id as request_id, epoch(ts) as at_s, event_type <> 'sig
 def v8_token_times(spark: SparkSession, d: str) -> DataFrame:
     """V8 from event times: a user's events as a stream."""
     e = table(spark, d, "events").select(F.col("user_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_s"), (F.col("event_type") != "signup").alias("content"))
-    from pyspark.sql import Window
-
-    e = e.withColumn("start_s", F.min("at_s").over(Window.partitionBy("request_id")))
+    e = e.join(e.groupBy("request_id").agg(F.min("at_s").alias("start_s")), "request_id")
     t = V.token_times(e)
     return t.select("request_id", F.round("ttft_s", 4).alias("ttft_s"), F.round("tpot_s", 4).alias("tpot_s"), F.round("jitter_ms", 1).alias("jitter_ms"), "n_events")
 
@@ -132,9 +130,9 @@ _SINCE = "since as (select *, arrival_time - min(arrival_time) over (partition b
 
 @query("v21_phases", f"{_BASE}, {_SINCE} select mode, case when since_s < 1000000 then 'early' when since_s < 3000000 then 'transition' else 'steady' end as phase, count(*) as n, count_if(completed) as completed, round(avg(case when completed then e2e_latency_ms end), 6) as e2e from since group by all")
 def v21_phases(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = V.classified(A.requests(spark, d)).withColumn("since_s", F.col("arrival_time") - F.min("arrival_time").over(Window.partitionBy("run_id")))
+    rows = V.classified(A.requests(spark, d))
+    first = rows.groupBy("run_id").agg(F.min("arrival_time").alias("first"))
+    rows = rows.join(first, "run_id").withColumn("since_s", F.col("arrival_time") - F.col("first"))
     return r6(rows.groupBy("mode", V.phases(rows, 1e6, 3e6).alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("completed"), F.avg(F.when(F.col("completed"), F.col("e2e_latency_ms"))).alias("e2e")))
 
 

@@ -92,3 +92,18 @@ def test_answers(spark):
 def test_accuracy(spark):
     df = spark.createDataFrame([("<answer>1,000</answer>", "x #### 1000"), ("<answer>2</answer>", "3"), (None, "3"), ("<answer>3</answer>", None)], "c string, t string")
     assert [r[0] for r in df.select(numeric.accuracy(F.col("c"), F.col("t"))).collect()] == [True, False, False, False]
+
+
+def test_selected_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [("a", float(x)) for x in rng.lognormal(0, 3, 4000)] + [("a", 1e12), ("a", -5.0)] + [("b", 7.0)] * 500 + [("b", 8.0)] + [("c", 1.5)] + [("d", None), ("d", float("nan"))] + [(None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(data, "k string, x double")
+    for small in (1, 50, 100_000):
+        got = {r.k: r for r in stats.selected_percentiles(df.where("k is not null"), ["k"], "x", (0.0, 0.5, 0.9, 0.99, 1.0), parts=16, small=small).collect()}
+        assert set(got) == {"a", "b", "c"}
+        for k, r in got.items():
+            v = [x for q, x in data if q == k]
+            assert r.n == len(v) and np.allclose(r["values"], np.quantile(v, (0.0, 0.5, 0.9, 0.99, 1.0)), rtol=1e-12)
+    assert stats.selected_percentiles(df.where("false"), ["k"], "x", (0.5,)).count() == 0
