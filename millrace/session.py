@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +36,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Apply the settings that query semantics depend on to a session made elsewhere."""
+    """Apply the settings that query semantics depend on to a session made elsewhere, and let its workers find this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    send_package(spark)
     return spark
 
 
+def send_package(spark: SparkSession) -> None:
+    """Give the workers a copy of this package, once for a context, unless they look where it lies: through PYTHONPATH, or by the working directory of a local session."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_millrace_sent", False):
+        return
+    sc._millrace_sent = True
+    looked = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in looked or sc.master.startswith("local[") and Path.cwd() == root:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "millrace").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    with_shared_folder(spark)
+    target = f"{sc._jsc.sc().getCheckpointDir().get()}/millrace-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+
+
 def with_shared_folder(spark: SparkSession) -> SparkSession:
     """Make checkpoint() usable: the folder that the cluster names in spark.checkpoint.dir, or, only where that is unset, a temporary one."""
     sc = spark.sparkContext
