@@ -69,3 +69,27 @@ def leak_watch(active: Column, used: Column, total: int = 2000, pinned: int = 12
     """Blocks that stay in use while nothing runs, and the health code that follows."""
     left = F.when(active > 0, 0).otherwise(F.greatest(F.lit(0), used - pinned))
     return F.struct(left.alias("residual"), (left / total * 100).alias("pct"), F.when((active <= 0) & (left >= int(total * share)), 503).otherwise(200).alias("code"))
+
+
+def primed(users: DataFrame, tenant: str, pods: int, tokens: int = 2500, ms: float = 120.0) -> DataFrame:
+    """Users with the pod whose cache is filled for them, and what that takes."""
+    return users.withColumns({"pod": pod_of(F.col(tenant), pods), "tokens": F.lit(tokens), "ms": F.lit(ms)})
+
+
+# Seconds, spot pods, anchor pods, boot progress and absorbed traffic in percent, dropped requests.
+HANDOFF = [(0.0, 5, 1, 0.0, 100.0, 0), (1.0, 4, 1, 5.0, 100.0, 0), (2.0, 4, 1, 10.0, 100.0, 0), (22.5, 5, 1, 100.0, 100.0, 0), (30.0, 5, 1, 100.0, 100.0, 0)]
+
+
+def handoff(spark) -> DataFrame:
+    """The timeline of a pod that is taken away with notice."""
+    return spark.createDataFrame(HANDOFF, "at_s double, spot int, anchor int, boot_pct double, absorbed_pct double, dropped int")
+
+
+def command_flags(df: DataFrame, columns: list[str]) -> Column:
+    """A10: settings as command-line words, in the order of the columns: names with dashes and values, true switches bare; false and null ones are left out."""
+    kinds = dict(df.dtypes)
+    words = []
+    for c in columns:
+        flag = F.lit("--" + c.replace("_", "-"))
+        words.append(F.when(F.col(c), F.array(flag)) if kinds[c] == "boolean" else F.when(F.col(c).isNotNull(), F.array(flag, F.col(c).cast("string"))))
+    return F.flatten(F.filter(F.array(*words), lambda w: w.isNotNull()))

@@ -90,3 +90,14 @@ def fluency_penalty(ppl: Column, natural: float = 14.0, slope: float = 0.05, mos
 
 def is_soup(ppl: Column, limit: float = 30.0) -> Column:
     return ppl > limit
+
+
+def code_reward(passed: Column) -> Column:
+    """R11 where tests have run elsewhere: 1 if they passed, 0 if not or unknown."""
+    return F.when(passed, 1.0).otherwise(0.0)
+
+
+def message_text(completion: Column, plain: Column | None = None) -> Column:
+    """The first message's content, else the plain text."""
+    first = F.get(completion, F.lit(0))["content"]
+    return first if plain is None else F.coalesce(first, plain)

@@ -179,3 +179,15 @@ def g9_weight_delta(spark: SparkSession, d: str) -> DataFrame:
 def g10_flags(spark: SparkSession, d: str) -> DataFrame:
     rows = A.steps(spark, d).select("run", (F.col("format_reward") - 0.5).alias("reward_std"), F.col("accuracy_reward").alias("grad_norm"))
     return grpo.step_flags(rows, ["run"])
+
+
+@query("r11_code", "select event_id, case when event_type = 'purchase' then 1.0::double else 0.0::double end as reward from events")
+def r11_code(spark: SparkSession, d: str) -> DataFrame:
+    """Event types as results of tests."""
+    return table(spark, d, "events").select("event_id", rewards.code_reward(F.col("event_type") == "purchase").alias("reward"))
+
+
+@query("r12_content", "select row_id, chosen[1].content as text from clipped_completions")
+def r12_content(spark: SparkSession, d: str) -> DataFrame:
+    """R12 and J3."""
+    return table(spark, d, "clipped_completions").select("row_id", rewards.message_text(F.col("chosen")).alias("text"))

@@ -231,3 +231,19 @@ def a7_survivors(spark: SparkSession, d: str) -> DataFrame:
 def a8_leaks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 3).cast("int").alias("active"), F.round(F.col("value") * 4).cast("int").alias("used"))
     return r6(rows.select("event_id", policies.leak_watch(F.col("active"), F.col("used")).alias("x")).select("event_id", "x.*"))
+
+
+@query("a6_primed", "select run_id, (('0x' || md5(run_id))::uhugeint % 4)::int as pod, 2500 as tokens, 120.0::double as ms from benchmark_runs")
+def a6_primed(spark: SparkSession, d: str) -> DataFrame:
+    return policies.primed(table(spark, d, "benchmark_runs").select("run_id"), "run_id", 4)
+
+
+@query("a9_handoff", "select * from (values " + ", ".join(f"({a}::double, {b}, {c}, {e}::double, {f}::double, {g})" for a, b, c, e, f, g in policies.HANDOFF) + ") t(at_s, spot, anchor, boot_pct, absorbed_pct, dropped)")
+def a9_handoff(spark: SparkSession, d: str) -> DataFrame:
+    return policies.handoff(spark)
+
+
+@query("a10_flags", "select run_id, '--model-size ' || model_size || ' --seed ' || seed || case when mode <> 'direct' then ' --enable-gateway' else '' end as flags from benchmark_runs")
+def a10_flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark_runs").select("run_id", "model_size", "seed", (F.col("mode") != "direct").alias("enable_gateway"))
+    return rows.select("run_id", F.array_join(policies.command_flags(rows, ["model_size", "seed", "enable_gateway"]), " ").alias("flags"))

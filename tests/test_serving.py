@@ -162,3 +162,10 @@ def test_quota(spark):
     df = spark.createDataFrame([("t", k) for k in range(20)] + [("u", 1)], "tenant string, block int")
     assert rows(policies.tenant_quota(df.withColumn("n", F.lit(1)), "tenant", "n", 100).select("tenant", "live"), "tenant") == [("t", 15), ("u", 1)]
     assert rows(policies.surviving_blocks(df.where("tenant = 't'"), "tenant", ["block"], 100).select("block"), "block") == [(k,) for k in range(5, 20)]
+
+
+def test_flags_and_priming(spark):
+    df = spark.createDataFrame([("m", 3, True, None), (None, 4, False, "x")], "model string, max_len int, fast boolean, extra string")
+    got = [r[0] for r in df.select(policies.command_flags(df, ["model", "max_len", "fast", "extra"])).collect()]
+    assert got == [["--model", "m", "--max-len", "3", "--fast"], ["--max-len", "4", "--extra", "x"]]
+    assert policies.primed(df, "model", 4).columns[-3:] == ["pod", "tokens", "ms"] and policies.handoff(spark).count() == 5
