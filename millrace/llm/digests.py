@@ -111,11 +111,8 @@ def merged(parts: DataFrame, keys: list[str], clusters: int = CLUSTERS) -> DataF
         yield plain(_packed(names, *_clustered(g[order], m[order], w[order], clusters), low, high))
 
     cols = [*own, "n", "low", "high", "means", "weights"]
-    n_parts = parts.sparkSession.sparkContext.defaultParallelism
-    try:
-        n_parts = max(n_parts, parts.rdd.getNumPartitions())
-    except Exception:  # a plan that can't say
-        pass
+    spark = parts.sparkSession
+    n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if n_parts > FAN_IN:
         parts = parts.select(*cols).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(int(n_parts**0.5)))).repartition(*own, "salt").drop("salt").mapInPandas(merge, schema)
     return parts.select(*cols).repartition(*own).mapInPandas(merge, schema)

@@ -270,20 +270,26 @@ def shared_passages(docs: DataFrame, min_chars: int = 200) -> tuple[DataFrame, D
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, start, size, before, after in zip(b["doc_id"], b["start"], b["size"], b["before"], b["after"]):
+            for doc, start, before, after in zip(b["doc_id"], b["start"], b["before"], b["after"]):
                 own = before + after
                 if len(own) < min_chars:
                     continue
                 codes, _ = code_points([own])
-                w = WindowHashes(codes)
                 at = np.arange(len(own) - min_chars + 1)
-                yield plain(pd.DataFrame({"w": w.of(at, at + min_chars).view(np.int64), "doc_id": doc, "start": (start - len(before) + at).astype(np.int32), "body": [own[k : k + min_chars] for k in at]}))
-
-    # each window of a large group stands for all texts that hold it; only these are paired, which the result demands
-    every_window = looked.where(F.col("n") > SMALL_GROUP).mapInPandas(windows, "w long, doc_id long, start int, body string")
-    a = every_window.select("w", F.md5("body").alias("k"), F.col("doc_id").alias("doc_a"), F.col("start").alias("start_a"))
-    b = every_window.select("w", F.md5("body").alias("k"), F.col("doc_id").alias("doc_b"), F.col("start").alias("start_b"))
-    large = a.join(b, ["w", "k"]).where("doc_a < doc_b").select("doc_a", "start_a", "doc_b", "start_b", F.lit(min_chars).alias("size"))
+                # two hashes over differently coded characters, 128 bits together
+                one, two = (WindowHashes(c).of(at, at + min_chars).view(np.int64) for c in (codes, codes ^ np.uint32(0x5A5A)))
+                yield pd.DataFrame({"one": one, "two": two, "doc_id": np.full(len(at), doc, np.int64), "start": (start - len(before) + at).astype(np.int32)})
+
+    # each window of a large group stands for all texts that hold it; those that always follow another repeated one are covered by it, and only texts
+    # that share a window are paired, which the result demands
+    every = looked.where(F.col("n") > SMALL_GROUP).mapInPandas(windows, "one long, two long, doc_id long, start int").distinct()
+    held = cut(every.select(F.col("one").alias("hash"), F.col("two").alias("check"), "doc_id", "start"))
+    several = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "n")
+    marks = _regions(held.join(several, "hash").select("hash", "n", "doc_id", F.col("start").alias("ord"), "start", F.lit(min_chars).alias("size")))
+    marks = cut(marks.select("hash", "doc_id", "start", (F.col("upto") - F.col("start")).cast("int").alias("size")).join(held, ["hash", "doc_id", "start"]))
+    a = marks.select("hash", "check", F.col("doc_id").alias("doc_a"), F.col("start").alias("start_a"), F.col("size").alias("size_a"))
+    b = marks.select("hash", "check", F.col("doc_id").alias("doc_b"), F.col("start").alias("start_b"), F.col("size").alias("size_b"))
+    large = a.join(b, ["hash", "check"]).where("doc_a < doc_b").select("doc_a", "start_a", "doc_b", "start_b", F.least("size_a", "size_b").alias("size"))
     return small.unionByName(large), members
 
 
