@@ -52,7 +52,8 @@ def tokens_of_parts(parts: Column) -> Column:
 
 def bigrams(w: Column) -> Column:
     """Neighbouring pairs of an array, none if it has fewer than two."""
-    return F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(F.element_at(w, i).alias("a"), F.element_at(w, i + 1).alias("b"))))
+    n = F.size(w) - 1  # slices, not places: an array that is an expression would be made again for each place
+    return F.when(n >= 1, F.zip_with(F.slice(w, 1, F.greatest(n, F.lit(0))), F.slice(w, 2, F.greatest(n, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def first_filled(*cols: Column) -> Column:

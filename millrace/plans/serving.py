@@ -66,6 +66,16 @@ def v18_unbalanced(spark: SparkSession, d: str) -> DataFrame:
     return V.unbalanced(runs(spark, d)).select("regime", "mode", "seed", "offered")
 
 
+@query("v3_selected", f"{_BASE} select mode, count(*) as n, round(quantile_cont(e2e_latency_ms, 0.5), 6) as p50, round(quantile_cont(e2e_latency_ms, 0.9), 6) as p90, round(quantile_cont(e2e_latency_ms, 0.95), 6) as p95, round(quantile_cont(e2e_latency_ms, 0.99), 6) as p99 from flags where completed group by mode")
+def v3_selected(spark: SparkSession, d: str) -> DataFrame:
+    """V3 for groups of any size."""
+    from millrace.functions.stats import selected_percentiles
+
+    rows = V.classified(A.requests(spark, d)).where("completed")
+    out = selected_percentiles(rows, ["mode"], "e2e_latency_ms", tuple(V.QUANTILES.values()))
+    return r6(out.select("mode", "n", *[F.col("values")[k].alias(p) for k, p in enumerate(V.QUANTILES)]))
+
+
 @query("v5_run_rates", f"{_BASE} select run_id, {_RATES} from flags group by run_id")
 def v5_run_rates(spark: SparkSession, d: str) -> DataFrame:
     """V5-V7 by run."""
