@@ -33,5 +33,9 @@ def counts(text: str) -> dict[str, int]:
 
 def language(text: str) -> str | None:
     """The language with most function words, if it has twice as many as any other; None where that can't be told."""
-    ranked = sorted(counts(text).items(), key=lambda x: -x[1])
+    return most(counts(text))
+
+
+def most(n: dict[str, int]) -> str | None:
+    ranked = sorted(n.items(), key=lambda x: -x[1])
     return ranked[0][0] if ranked[0][1] >= 1 and ranked[0][1] >= 2 * ranked[1][1] else None
