@@ -136,13 +136,23 @@ def quantiles(whole: DataFrame, qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99))
     return whole.withColumn("estimates", estimate("means", "weights", "low", "high")).drop("means", "weights", "low", "high")
 
 
+def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys of which nulls are equal, with a's keys."""
+    b = b.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_other_{k}"))
+        on = same if on is None else on & same
+    return a.join(b, on).drop(*[f"_other_{k}" for k in keys])
+
+
 def certified(df: DataFrame, estimates: DataFrame, keys: list[str], metrics: list[str], qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """keys, metric, n, one column for each q, and rank_error: the largest distance between the rank q * (n - 1) and the exact ranks of the values next to the estimate, as a share of n.
 
     The second pass: values below, and up to, each estimate are counted over all rows. Counts are summed before their shuffle."""
     wide = estimates.groupBy(*keys).pivot("metric", metrics).agg(F.first("estimates"))
     marks = [F.col(f"`{m}`").alias(f"e_{m}") for m in metrics]
-    rows = df.select(*keys, *metrics).join(wide.select(*keys, *marks), keys)
+    rows = _joined(df.select(*keys, *metrics), wide.select(*keys, *marks), keys)
     counts = []
     for m in metrics:
         x = F.when(F.abs(m) < float("inf"), F.col(m))
@@ -150,7 +160,7 @@ def certified(df: DataFrame, estimates: DataFrame, keys: list[str], metrics: lis
             counts += [F.count_if(x < F.col(f"e_{m}")[k]).alias(f"{m}_b{k}"), F.count_if(x <= F.col(f"e_{m}")[k]).alias(f"{m}_u{k}")]
     counted = rows.groupBy(*keys).agg(*counts)
     long = counted.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.array(*[F.col(f"{m}_b{k}") for k in range(len(qs))]).alias("below"), F.array(*[F.col(f"{m}_u{k}") for k in range(len(qs))]).alias("upto")) for m in metrics])).alias("c")).select(*keys, "c.*")
-    both = estimates.join(long, [*keys, "metric"])
+    both = _joined(estimates, long, [*keys, "metric"])
     errors = []
     for k, q in enumerate(qs):
         lowest, highest = F.least(F.col("below")[k], F.col("upto")[k] - 1), F.greatest(F.col("below")[k], F.col("upto")[k] - 1)

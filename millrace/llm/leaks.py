@@ -164,12 +164,12 @@ def banded(passage: str, text: str, low: int, high: int, edits: int) -> bool:
 def leaks(docs: DataFrame, items: DataFrame, words: int = 13, q: int = 16, edits: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """item_id, doc_id: the documents that hold at least so many consecutive words of an item's text, up to an edit budget in characters.
 
-    docs: doc_id, text; items: item_id, text (an item may have several rows). Null texts hold nothing, items of fewer words can't leak;
+    docs: doc_id, text; items: item_id, text (an item may have several rows). Null ids and null texts hold nothing, items of fewer words can't leak;
     empty tables give no rows. Passages so short that the lemma leaves no shared q-gram are refused with ValueError: take a smaller q.
     Items go to the tasks in blocks of at most block_chars characters (a larger single text is a block of its own), each block in a pass over the corpus.
     """
     spark = docs.sparkSession
-    items = items.where("text is not null").select("item_id", "text")
+    items = items.where("text is not null and item_id is not null").select("item_id", "text")
     sizes = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-sizes // block_chars))
     result = None
@@ -191,6 +191,6 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = 13, q: int = 16, edits
                         held += len(texts[k]) + 4
                 yield pd.DataFrame(out, columns=["item_id", "doc_id"])
 
-        part = docs.where("text is not null").select("doc_id", "text").mapInPandas(search, "item_id long, doc_id long")
+        part = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(search, "item_id long, doc_id long")
         result = part if result is None else result.unionByName(part)
     return result.distinct()

@@ -41,7 +41,7 @@ def encoder(path: str):
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, cluster (of equal texts) of doc_id, text, source. A null text has no tokens; whole texts are encoded, special tokens' strings as ordinary text."""
+    """doc_id, source, n_tokens, cluster (of equal texts) of doc_id, text, source. Rows without an id are left out, a null text has no tokens; whole texts are encoded, special tokens' strings as ordinary text."""
     path = tokenizer or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +50,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield plain(pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": np.array(n, np.int32), "cluster": b["cluster"]}))
 
-    rows = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("cluster"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", "source", F.xxhash64("text").alias("cluster"))
     return rows.mapInPandas(count, "doc_id long, source string, n_tokens int, cluster long")
 
 

@@ -166,7 +166,7 @@ def repeated_runs(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, rep: the smallest id with the same text, for texts that more than one document has. docs: doc_id, text."""
-    keyed = cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), F.xxhash64("text").alias("check")))
+    keyed = cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), F.xxhash64("text").alias("check")).distinct())
     same = keyed.groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "check", "rep", "n")
     total = keyed.count()
     bound = max(10_000.0, total * HOT_SHARE)
@@ -224,12 +224,12 @@ def _matches(rows: list[tuple], min_chars: int) -> list[tuple]:
 def shared_passages(docs: DataFrame, min_chars: int = 200) -> tuple[DataFrame, DataFrame]:
     """(matches, members): MATCHES between different texts, each verified character by character, and doc_id, rep of texts that stand whole in several documents.
 
-    docs: doc_id (unique), text. Null texts and texts shorter than min_chars take no part; an empty table gives no rows. Of equal texts only
+    docs: doc_id (unique), text. Null ids, null texts and texts shorter than min_chars take no part; a row that is there twice counts once; an empty table gives no rows. Of equal texts only
     the one with the smallest id is compared; members has the rest. Matches may overlap and may repeat; together they cover each
     common passage. Only such runs as stand in several texts are ever brought together with text; no pair is made before its
     passage is verified. Groups of more than SMALL_GROUP texts go by the hashes of all their windows of min_chars instead.
     """
-    docs = docs.select("doc_id", "text").where(F.length("text") >= min_chars)
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars))
     members = cut(classes(docs))
     others = members.where("doc_id <> rep").select("doc_id")
     reps = docs.join(F.broadcast(others) if others.count() <= SMALL_IDS else others, "doc_id", "left_anti")
@@ -300,7 +300,7 @@ def pairs(docs: DataFrame, min_chars: int = 200) -> DataFrame:
     a, b = members.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("own_a")), members.select(F.col("rep").alias("doc_b"), F.col("doc_id").alias("own_b"))
     between = linked.join(a, "doc_a", "left").join(b, "doc_b", "left").select(F.coalesce("own_a", "doc_a").alias("x"), F.coalesce("own_b", "doc_b").alias("y"))
     within = a.join(b, a["doc_a"] == b["doc_b"]).where("own_a < own_b").select(F.col("own_a").alias("x"), F.col("own_b").alias("y"))
-    return between.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    return between.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
 def shares(docs: DataFrame, min_chars: int = 200) -> DataFrame:
@@ -311,8 +311,8 @@ def shares(docs: DataFrame, min_chars: int = 200) -> DataFrame:
     order = Window.partitionBy("rep").orderBy("s", "size").rowsBetween(Window.unboundedPreceding, -1)
     spans = ends.groupBy("rep", "s").agg(F.max("size").alias("size")).withColumn("reach", F.coalesce(F.max(F.col("s") + F.col("size")).over(order), F.lit(0)))
     covered = spans.groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("s") + F.col("size") - F.greatest("s", "reach"))).cast("long").alias("covered"))
-    sizes = docs.where(F.length("text") >= min_chars).select("doc_id", F.length("text").cast("long").alias("n_chars"))
-    whole = members.select("doc_id", "rep")
+    sizes = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select("doc_id", F.length("text").cast("long").alias("n_chars")).distinct()
+    whole = members.select("doc_id", "rep").distinct()
     rows = sizes.join(whole, "doc_id", "left").withColumn("whole", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", "doc_id")).join(covered, "rep", "left")
     shared = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
     return rows.select("doc_id", "n_chars", shared.cast("long").alias("shared_chars"), (shared / F.col("n_chars")).alias("share")).where("shared_chars > 0")
