@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import copies, digests, leaks, packing, pairs, records, spans, truncation
-from millrace.session import table
+from millrace.session import stored, table
 
 METRICS = ["ttft_ms", "e2e_latency_ms", "queue_wait_ms"]
 
@@ -49,7 +49,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """By run and day, and by run over all its days (day null)."""
-    found = digests.percentiles(_requests(spark, d), ["run_id", "day"], METRICS, union_keys=[["run_id"]])
+    found = digests.percentiles(stored(_requests(spark, d), "requests"), ["run_id", "day"], METRICS, union_keys=[["run_id"]])
     own, union = found["run_id,day"], found["run_id"].withColumn("day", F.lit(None).cast("date"))
     return own.unionByName(union)
 
