@@ -13,6 +13,12 @@ def percentile(c: Column, q: float) -> Column:
     return F.percentile(c, F.lit(q))
 
 
+def percentiles(c: Column, qs: list[float]) -> list[Column]:
+    """Several at once: Spark keeps one map of values for all of them."""
+    together = F.percentile(c, F.array(*[F.lit(q) for q in qs]))
+    return [together[k] for k in range(len(qs))]
+
+
 def mean_pop_std(c: Column) -> tuple[Column, Column]:
     return F.avg(c), F.stddev_pop(c)
 
@@ -25,8 +31,8 @@ def sample_std(c: Column) -> Column:
 def distribution(c: Column) -> dict[str, Column]:
     """Mean, population standard deviation, least, percentiles and most; nulls don't count, no value gives nulls."""
     out = {"mean": F.avg(c), "std": F.stddev_pop(c), "min": F.min(c).cast("double")}
-    for q in (10, 25, 50, 75, 90, 95, 99):
-        out[f"p{q}"] = percentile(c, q / 100)
+    qs = (10, 25, 50, 75, 90, 95, 99)
+    out |= {f"p{q}": x for q, x in zip(qs, percentiles(c, [q / 100 for q in qs]))}
     return out | {"max": F.max(c).cast("double")}
 
 

@@ -31,8 +31,17 @@ def split_words(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common words of all words, in lower case; 0 if either has none, null if either is null."""
-    x, y = F.array_distinct(split_words(F.lower(a))), F.array_distinct(split_words(F.lower(b)))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.when(a.isNotNull() & b.isNotNull(), 0.0))
+    return word_overlap(word_set(a), word_set(b))
+
+
+def word_set(c: Column) -> Column:
+    return F.array_distinct(split_words(F.lower(c)))
+
+
+def word_overlap(x: Column, y: Column) -> Column:
+    """D6 of two word sets. Make the sets columns of their own first: they are used more than once."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), both / (F.size(x) + F.size(y) - both)).otherwise(F.when(x.isNotNull() & y.isNotNull(), 0.0))
 
 
 def tokens_quarter(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import distribution
-from millrace.functions.text import jaccard, normal_key, py_strip, tokens_quarter
+from millrace.functions.text import normal_key, py_strip, tokens_quarter, word_overlap, word_set
 
 
 def side_text(side: Column) -> Column:
@@ -48,7 +48,8 @@ def judged(df: DataFrame, near: float = 0.9) -> DataFrame:
     c, r = F.nullif(score(df, "chosen"), F.lit(float("nan"))), F.nullif(score(df, "rejected"), F.lit(float("nan")))
     ok = ~F.col("missing")
     same = normal_key(F.col("chosen_text")) == normal_key(F.col("rejected_text"))
-    df = df.withColumns({"reversed": ok & F.coalesce(c < r, F.lit(False)), "tied": ok & F.coalesce(c == r, F.lit(False)), "identical": ok & same, "similarity": F.when(ok, jaccard(F.col("chosen_text"), F.col("rejected_text")))})
+    df = df.withColumns({"_x": word_set(F.col("chosen_text")), "_y": word_set(F.col("rejected_text"))})
+    df = df.withColumns({"reversed": ok & F.coalesce(c < r, F.lit(False)), "tied": ok & F.coalesce(c == r, F.lit(False)), "identical": ok & same, "similarity": F.when(ok, word_overlap(F.col("_x"), F.col("_y")))}).drop("_x", "_y")
     return df.withColumn("near_identical", ok & ~F.col("identical") & (F.col("similarity") >= near))
 
 

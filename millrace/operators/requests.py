@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import percentile, sample_std
+from millrace.functions.stats import percentile, percentiles, sample_std
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -28,7 +28,7 @@ def counts() -> list[Column]:
 
 def quantiles(name: str, value: Column) -> list[Column]:
     """V3: exact percentiles, 0 where there is no value."""
-    return [F.coalesce(percentile(value, q), F.lit(0.0)).alias(f"{name}_{p}") for p, q in QUANTILES.items()]
+    return [F.coalesce(x, F.lit(0.0)).alias(f"{name}_{p}") for p, x in zip(QUANTILES, percentiles(value, list(QUANTILES.values())))]
 
 
 def latencies() -> list[Column]:
@@ -95,7 +95,7 @@ def gateway_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     ok = F.col("admitted") & (F.col("status_code") == 200) & ~F.coalesce("client_disconnected", F.lit(False))
     own = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
     x, y = F.when(ok & (F.col("ttft_ms") > 0), F.col("ttft_ms")), F.when(ok, F.col("e2e_latency_ms"))
-    cols = [F.coalesce(percentile(v, q), F.lit(0.0)).alias(f"{n}_{p}") for n, v in (("ttft", x), ("e2e", y)) for p, q in own.items()]
+    cols = [F.coalesce(c, F.lit(0.0)).alias(f"{n}_{p}") for n, v in (("ttft", x), ("e2e", y)) for p, c in zip(own, percentiles(v, list(own.values())))]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("completed"), F.count_if(~F.col("admitted")).alias("shed"), *cols, F.coalesce(F.sum(F.when(ok, F.col("completion_tokens"))), F.lit(0)).alias("tokens"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import percentile
+from millrace.functions.stats import percentiles
 from millrace.functions.text import first_filled, normal_key, py_strip, tokens_quarter
 from millrace.session import stored
 
@@ -93,9 +93,10 @@ def dense_ordinal(df: DataFrame, order_by: str, name: str = "ordinal") -> DataFr
 def length_stats(df: DataFrame) -> DataFrame:
     """P10: one row of statistics of total_len over valid rows, empty answers included."""
     x = F.col("total_len")
+    p95, p99 = percentiles(x, [0.95, 0.99])
     return df.agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.try_divide(F.stddev_pop(x), F.avg(x)).alias("cv"), F.min(x).cast("int").alias("shortest"), F.max(x).cast("int").alias("longest"),
-        percentile(x, 0.95).alias("p95"), percentile(x, 0.99).alias("p99"), F.avg("prompt_len").alias("avg_prompt"), F.avg("target_len").alias("avg_target"),
+        p95.alias("p95"), p99.alias("p99"), F.avg("prompt_len").alias("avg_prompt"), F.avg("target_len").alias("avg_target"),
     )
 
 
