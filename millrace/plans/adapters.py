@@ -20,9 +20,15 @@ def char4_sql(x: str) -> str:
     return f"greatest(1, length({strip_sql(x)}) // 4)"
 
 
-def requests(spark: SparkSession, d: str) -> DataFrame:
-    """Request records, each once, with the run's regime, mode, seed and rate. A second delivery differs in recorded_at only."""
-    rows = table(spark, d, "gateway_requests").select("request_id", "run_id", "arrival_time", "queue_wait_ms", "ttft_ms", "e2e_latency_ms", "status_code", "admitted", "shed_reason", "completion_tokens", "client_disconnected", "stream_status").distinct()
+#: What summaries need of a request.
+SUMMARY = ("arrival_time", "queue_wait_ms", "ttft_ms", "e2e_latency_ms", "status_code", "completion_tokens", "stream_status")
+
+
+def requests(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Request records, each once, with the run's regime, mode, seed and rate; of the records only the named columns, by default those of summaries.
+
+    A second delivery differs in recorded_at only, so rows without it are distinct requests, and only what a query needs is read and sent."""
+    rows = table(spark, d, "gateway_requests").select("request_id", "run_id", *(columns or SUMMARY)).distinct()
     return rows.join(table(spark, d, "benchmark_runs"), "run_id")
 
 

@@ -127,7 +127,7 @@ _ARMS = """select regime || '-' || seed as pair, mode as arm, avg(e2e_latency_ms
 @query("b_paired_deltas", f"with {A.REQUESTS}, a as ({_ARMS}), p as (select pair, (x.e2e - y.e2e) / x.e2e as e2e, (x.wait - y.wait) / nullif(x.wait, 0) as wait from (select * from a where arm = 'direct') x join (select * from a where arm = 'bounded_queue') y using (pair)), l as (select 'e2e' as measure, e2e as d from p union all select 'wait', wait from p) select measure, count(d) as pairs, round(avg(d), 6) as mean, round(case when count(d) = 1 then 0 else stddev_samp(d) end, 6) as std from l group by 1")
 def b_paired_deltas(spark: SparkSession, d: str) -> DataFrame:
     """B13."""
-    arms = A.requests(spark, d).groupBy(F.concat_ws("-", "regime", "seed").alias("pair"), F.col("mode").alias("arm")).agg(F.avg("e2e_latency_ms").alias("e2e"), F.avg("queue_wait_ms").alias("wait"))
+    arms = A.requests(spark, d, "e2e_latency_ms", "queue_wait_ms").groupBy(F.concat_ws("-", "regime", "seed").alias("pair"), F.col("mode").alias("arm")).agg(F.avg("e2e_latency_ms").alias("e2e"), F.avg("queue_wait_ms").alias("wait"))
     return r6(B.paired_deltas(arms, "pair", "arm", ["e2e", "wait"], "direct", "bounded_queue"))
 
 

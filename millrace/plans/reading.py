@@ -83,7 +83,7 @@ def s13_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("s18_markdown")
 def s18_markdown(spark: SparkSession, d: str) -> DataFrame:
     """S17 and S18."""
-    rows = A.requests(spark, d).groupBy("mode").agg(F.avg("e2e_latency_ms").alias("m"), F.stddev_samp("e2e_latency_ms").alias("s"))
+    rows = A.requests(spark, d, "e2e_latency_ms").groupBy("mode").agg(F.avg("e2e_latency_ms").alias("m"), F.stddev_samp("e2e_latency_ms").alias("s"))
     return telemetry.markdown_rows(rows, "mode", [("m", "s")])
 
 

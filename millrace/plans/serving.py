@@ -35,7 +35,7 @@ MEASURES = ["attainment", "goodput", "ttft_p99", "e2e_p99", "shed"]
 
 @query("v1_classes", f"{_BASE} select request_id, completed, truncated, shed, cancelled, unfinished, errored from flags")
 def v1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return V.classified(A.requests(spark, d)).select("request_id", "completed", "truncated", "shed", "cancelled", "unfinished", "errored")
+    return V.classified(A.requests(spark, d, "status_code", "stream_status")).select("request_id", "completed", "truncated", "shed", "cancelled", "unfinished", "errored")
 
 
 @query("v16_mode_comparison", f"{_BASE} select mode, {_COUNTS}, {_LAT}, {_RATES} from flags group by mode")
@@ -71,7 +71,7 @@ def v3_selected(spark: SparkSession, d: str) -> DataFrame:
     """V3 for groups of any size."""
     from millrace.functions.stats import selected_percentiles
 
-    rows = V.classified(A.requests(spark, d)).where("completed")
+    rows = V.classified(A.requests(spark, d, "e2e_latency_ms", "status_code", "stream_status")).where("completed")
     out = selected_percentiles(rows, ["mode"], "e2e_latency_ms", tuple(V.QUANTILES.values()))
     return r6(out.select("mode", "n", *[F.col("values")[k].alias(p) for k, p in enumerate(V.QUANTILES)]))
 
@@ -103,7 +103,7 @@ def v8_token_times(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v9_schedule_relative", f"with {A.REQUESTS} select request_id, round((arrival_time - floor(arrival_time)) * 1000, 3) as lag_ms, round(ttft_ms + (arrival_time - floor(arrival_time)) * 1000, 3) as ttft_scheduled_ms, round(e2e_latency_ms + (arrival_time - floor(arrival_time)) * 1000, 3) as e2e_scheduled_ms from requests")
 def v9_schedule_relative(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.requests(spark, d).withColumns({"dispatched_s": F.col("arrival_time"), "scheduled_s": F.floor("arrival_time").cast("double")})
+    rows = A.requests(spark, d, "arrival_time", "ttft_ms", "e2e_latency_ms").withColumns({"dispatched_s": F.col("arrival_time"), "scheduled_s": F.floor("arrival_time").cast("double")})
     return V.schedule_relative(rows).select("request_id", *[F.round(c, 3).alias(c) for c in ("lag_ms", "ttft_scheduled_ms", "e2e_scheduled_ms")])
 
 
@@ -126,7 +126,7 @@ _GE2E = f"case when {_OK} then e2e_latency_ms end"
 
 @query("v11_gateway", f"with {A.REQUESTS} select run_id, count(*) as total, count_if({_OK}) as completed, count_if(not admitted) as shed, {_g('ttft', _GTTFT)}, {_g('e2e', _GE2E)}, coalesce(sum(case when {_OK} then completion_tokens end), 0)::bigint as tokens from requests group by run_id")
 def v11_gateway(spark: SparkSession, d: str) -> DataFrame:
-    return r6(V.gateway_summary(A.requests(spark, d), ["run_id"]))
+    return r6(V.gateway_summary(A.requests(spark, d, "ttft_ms", "e2e_latency_ms", "status_code", "admitted", "completion_tokens", "client_disconnected"), ["run_id"]))
 
 
 @query("v19_capacity", f"{_BASE}, a as (select mode, target_rps, count_if(completed and e2e_latency_ms <= 2500) / count(*) as att from flags group by all) select mode, coalesce(max_by(target_rps, target_rps) filter (where att >= 0.85), min(target_rps)) as capacity, min(target_rps) filter (where att < 0.85) as first_failure from a group by mode")
@@ -140,7 +140,7 @@ _SINCE = "since as (select *, arrival_time - min(arrival_time) over (partition b
 
 @query("v21_phases", f"{_BASE}, {_SINCE} select mode, case when since_s < 1000000 then 'early' when since_s < 3000000 then 'transition' else 'steady' end as phase, count(*) as n, count_if(completed) as completed, round(avg(case when completed then e2e_latency_ms end), 6) as e2e from since group by all")
 def v21_phases(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.classified(A.requests(spark, d))
+    rows = V.classified(A.requests(spark, d, "arrival_time", "e2e_latency_ms", "status_code", "stream_status"))
     first = rows.groupBy("run_id").agg(F.min("arrival_time").alias("first"))
     rows = rows.join(first, "run_id").withColumn("since_s", F.col("arrival_time") - F.col("first"))
     return r6(rows.groupBy("mode", V.phases(rows, 1e6, 3e6).alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("completed"), F.avg(F.when(F.col("completed"), F.col("e2e_latency_ms"))).alias("e2e")))
@@ -148,7 +148,7 @@ def v21_phases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v22_forwarding", f"{_BASE} select regime, round(quantile_cont(case when mode = 'direct' then ttft_ms end, 0.5), 6) as direct_p50, round(quantile_cont(case when mode = 'passthrough' then ttft_ms end, 0.5), 6) as forwarded_p50, round(quantile_cont(case when mode = 'passthrough' then ttft_ms end, 0.5) - quantile_cont(case when mode = 'direct' then ttft_ms end, 0.5), 6) as delta from flags where completed group by regime")
 def v22_forwarding(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.classified(A.requests(spark, d)).where("completed")
+    rows = V.classified(A.requests(spark, d, "ttft_ms", "status_code", "stream_status")).where("completed")
     return r6(V.forwarding_delta(rows, ["regime"], "mode", "direct", "passthrough", "ttft_ms"))
 
 
@@ -180,7 +180,7 @@ def v12_schedules(spark: SparkSession, d: str) -> DataFrame:
 @query("a1_replay")
 def a1_replay(spark: SparkSession, d: str) -> DataFrame:
     """A1: each run's trace, sped up, through a bounded queue."""
-    trace = A.requests(spark, d).select("run_id", "request_id", (F.col("arrival_time") / 3000).alias("at_s"), (F.least(F.col("e2e_latency_ms"), F.lit(60_000.0)) / 1000).alias("service_s"))
+    trace = A.requests(spark, d, "arrival_time", "e2e_latency_ms").select("run_id", "request_id", (F.col("arrival_time") / 3000).alias("at_s"), (F.least(F.col("e2e_latency_ms"), F.lit(60_000.0)) / 1000).alias("service_s"))
     out = admission.replayed(trace, "run_id", "bounded_queue", 4, 4, 0.25)
     return r6(out.groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("wait_s").alias("wait_s")))
 
@@ -188,7 +188,7 @@ def a1_replay(spark: SparkSession, d: str) -> DataFrame:
 @query("a1_static")
 def a1_static(spark: SparkSession, d: str) -> DataFrame:
     """A1: the same with a fixed cap."""
-    trace = A.requests(spark, d).select("run_id", "request_id", (F.col("arrival_time") / 3000).alias("at_s"), (F.least(F.col("e2e_latency_ms"), F.lit(60_000.0)) / 1000).alias("service_s"))
+    trace = A.requests(spark, d, "arrival_time", "e2e_latency_ms").select("run_id", "request_id", (F.col("arrival_time") / 3000).alias("at_s"), (F.least(F.col("e2e_latency_ms"), F.lit(60_000.0)) / 1000).alias("service_s"))
     return admission.replayed(trace, "run_id", "static", 4).groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -123,7 +123,7 @@ r as (select *, 0.95::double * max(c) over (partition by mode) as rank, coalesce
 select mode, round(case when isinf(le) then lo else lo + (le - lo) * (rank - below) / (c - below) end, 6) as value from h where k = 1""")
 def m12_quantile(spark: SparkSession, d: str) -> DataFrame:
     bounds = F.array(*[F.lit(float(x)) for x in (10, 25, 50, 100, 250, 500, 1000, "inf")])
-    rows = A.requests(spark, d).where("ttft_ms is not null").select("mode", "ttft_ms")
+    rows = A.requests(spark, d, "ttft_ms").where("ttft_ms is not null").select("mode", "ttft_ms")
     counts = rows.groupBy("mode").agg(*[F.count_if(F.col("ttft_ms") <= bounds[k]).alias(f"c{k}") for k in range(8)])
     long = counts.select("mode", F.explode(F.array(*[F.struct(bounds[k].alias("le"), F.col(f"c{k}").alias("count")) for k in range(8)])).alias("b")).select("mode", "b.*")
     return r6(M.histogram_quantile(long, ["mode"], 0.95))
