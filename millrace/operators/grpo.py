@@ -13,7 +13,7 @@ EPSILON = 1e-8
 def advantages(df: DataFrame, batch: str, group: str, reward: str) -> DataFrame:
     """Adds group and batch mean and population deviation, advantage and mode.
 
-    Within a group if its rewards differ, else against the whole batch, else 0. Moments of groups and batches come from aggregates that are summed before the shuffle and joined
+    Within a group if its rewards differ, else against the whole batch, else 0. Rows without a batch or a group are left out. Moments of groups and batches come from aggregates that are summed before the shuffle and joined
     back, so that neither a large batch nor a large group is gathered in one task."""
     own = df.groupBy(batch, group).agg(F.avg(reward).alias("group_mean"), F.stddev_pop(reward).alias("group_std"))
     all_ = df.groupBy(batch).agg(F.avg(reward).alias("batch_mean"), F.stddev_pop(reward).alias("batch_std"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -68,7 +70,10 @@ def with_shared_folder(spark: SparkSession) -> SparkSession:
     """Make checkpoint() usable: the folder that the cluster names in spark.checkpoint.dir, or, only where that is unset, a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        own = None if sc.getConf().get("spark.checkpoint.dir") else tempfile.mkdtemp(prefix="millrace-checkpoint-")
+        if own:
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own or sc.getConf().get("spark.checkpoint.dir"))
     return spark
 
 
@@ -79,7 +84,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), but as a compressed table, for rows that are many."""
+    """Like cut(), but as a compressed table, for rows that are many. It stays in the shared folder, like a checkpoint, until that is cleared."""
     spark = with_shared_folder(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
