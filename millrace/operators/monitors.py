@@ -140,14 +140,23 @@ def latest_metrics(samples: DataFrame, key: str) -> DataFrame:
     return newest.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
 
 
-def sustained(df: DataFrame, keys: list[str], ts: str, value: str, limit: float, seconds: float) -> DataFrame:
-    """Keys, began, fired: spells in which a gauge stays above a limit for at least so long. Gaps and islands within a key, on event time."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    over = df.withColumns({"_over": F.coalesce(F.col(value) > limit, F.lit(False))})
-    island = over.withColumn("_island", F.sum(F.when(F.col("_over"), 0).otherwise(1)).over(w)).where("_over")
-    spells = island.groupBy(*keys, "_island").agg(F.min(ts).alias("began"), F.max(ts).alias("_last"))
+def sustained(df: DataFrame, keys: list[str], ts: str, value: str, limit: float, seconds: float, chunk_s: int = 86_400) -> DataFrame:
+    """Keys, began, fired: spells in which a gauge stays above a limit for at least so long, on event time. Null values end a spell.
+
+    Gaps and islands are found chunk by chunk of time, so that a key's rows never stand in one task; only spells, of which there are fewer, are put together over the chunks' borders."""
+    rows = df.select(*keys, F.col(ts).alias("_t"), F.coalesce(F.col(value) > limit, F.lit(False)).alias("_over"), F.floor(F.unix_micros(ts) / 1e6 / chunk_s).alias("_c"))
+    own = Window.partitionBy(*keys, "_c").orderBy("_t")
+    marked = rows.withColumns({"_island": F.sum(F.when(F.col("_over"), 0).otherwise(1)).over(own), "_opens": F.row_number().over(own) == 1, "_closes": F.lead("_t").over(own).isNull()})
+    spells = marked.where("_over").groupBy(*keys, "_c", "_island").agg(F.min("_t").alias("began"), F.max("_t").alias("_last"), F.bool_or("_opens").alias("_opens"), F.bool_or("_closes").alias("_closes"))
+    by_key = Window.partitionBy(*keys)
+    chunks = rows.select(*keys, "_c").distinct().withColumn("_before", F.lag("_c").over(by_key.orderBy("_c")))
+    spells = spells.join(chunks, [*keys, "_c"])
+    w = by_key.orderBy("began")
+    goes_on = F.coalesce(F.col("_opens") & F.lag("_closes").over(w) & (F.lag("_c").over(w) == F.col("_before")), F.lit(False))
+    whole = spells.withColumn("_on", goes_on).withColumn("_spell", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
+    whole = whole.groupBy(*keys, "_spell").agg(F.min("began").alias("began"), F.max("_last").alias("_last"))
     age = F.unix_micros("_last") - F.unix_micros("began")
-    return spells.where(age >= seconds * 1e6).select(*keys, "began", F.timestamp_micros(F.unix_micros("began") + F.lit(int(seconds * 1e6))).alias("fired"))
+    return whole.where(age >= seconds * 1e6).select(*keys, "began", F.timestamp_micros(F.unix_micros("began") + F.lit(int(seconds * 1e6))).alias("fired"))
 
 
 def counter_rates(df: DataFrame, keys: list[str], ts: str, value: str, window_s: int) -> DataFrame:

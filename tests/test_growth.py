@@ -118,6 +118,31 @@ def test_alerts(spark):
     assert sum(x.rate for x in r) * 300 == 8 + 8
 
 
+def test_spells_over_chunks(spark):
+    import random
+
+    rng = random.Random(3)
+    data, want = [], set()
+    for k in ("a", "b"):
+        t, spell = 0, []
+        for _ in range(400):
+            t += rng.randint(1, 40)
+            v = rng.choice([1, 9, 9, 9, None])
+            data.append((k, t, v))
+            if v == 9:
+                spell.append(t)
+            else:
+                if spell and spell[-1] - spell[0] >= 60:
+                    want.add((k, spell[0]))
+                spell = []
+        if spell and spell[-1] - spell[0] >= 60:
+            want.add((k, spell[0]))
+    df = spark.createDataFrame(data, "k string, t int, v int").select("k", F.timestamp_seconds("t").alias("ts"), "v")
+    for chunk in (7, 100, 100_000):
+        got = M.sustained(df, ["k"], "ts", "v", 5, 60, chunk).select("k", F.unix_seconds("began").cast("int"))
+        assert set(rows(got)) == want
+
+
 def test_histogram_quantile(spark):
     df = spark.createDataFrame([("a", 1.0, 5), ("a", 2.0, 10), ("a", float("inf"), 10), ("b", 1.0, 0), ("b", float("inf"), 4), ("c", 1.0, 0), ("c", float("inf"), 0)], "k string, le double, count long")
     assert rows(M.histogram_quantile(df, ["k"], 0.75), "k") == [("a", 1.5), ("b", 1.0)]
