@@ -106,7 +106,7 @@ def anomaly_counts(df: DataFrame, max_len: int = 1024) -> DataFrame:
     Empty and truncated exclude each other, the rest is counted for itself. Duplicates are valid rows beyond the distinct prompts."""
     ok = F.col("valid")
     wrong = F.col("misaligned") if "misaligned" in df.columns else F.lit(False)
-    key = F.when(ok, normal_key(F.col("p")))
+    key = F.when(ok, F.col("prompt_key") if "prompt_key" in df.columns else normal_key(F.col("p")))
     return df.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~ok).alias("invalid"), F.count_if(ok & F.col("empty")).alias("empty"), F.count_if(ok & ~F.col("empty") & F.col("truncated")).alias("truncated"),
         F.count_if(ok & (F.col("raw_len") > max_len)).alias("over_length"), F.count_if(ok & wrong).alias("misaligned"), F.count_if(ok & ~F.col("empty")).alias("valid"), (F.count_if(ok) - F.count_distinct(key)).alias("duplicates"),
@@ -124,6 +124,8 @@ def gate(counts: DataFrame) -> DataFrame:
 def report(df: DataFrame, max_len: int = 1024, batch_size: int = 4, invalid_json: int = 0) -> DataFrame:
     """The whole preflight report as one row. An empty table gives zeros and a clean gate with no lengths."""
     rows = featurised(extracted(df), max_len)
+    # texts are read once; three aggregates then read lengths, flags and a 128 bit key of each prompt
+    rows = stored(rows.select("ordinal", "valid", "empty", "truncated", "raw_len", "total_len", "prompt_len", "target_len", F.unhex(F.md5(normal_key(F.col("p")))).alias("prompt_key")), "features")
     ok = rows.where("valid")
     counts = anomaly_counts(rows, max_len).withColumns({"total": F.col("total") + invalid_json, "invalid": F.col("invalid") + invalid_json})
     waste = padding_waste(dense_ordinal(ok.select("ordinal", "total_len").withColumnRenamed("ordinal", "o"), "o", "ordinal"), "total_len", "ordinal", batch_size)
