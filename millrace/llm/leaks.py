@@ -20,7 +20,7 @@ from millrace.llm.codes import WindowHashes, code_points
 #: Items are sent to all tasks in blocks of at most so many characters; a larger set takes several passes over the corpus.
 BLOCK_CHARS = 4_000_000
 #: Characters of corpus taken at once in a task.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 _BITS = 24
 _FOLD: list[np.ndarray] = []
 

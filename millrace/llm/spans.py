@@ -24,7 +24,7 @@ CONTEXT = 12
 #: Groups of texts up to this size are compared in a task, larger ones by hashes of all their windows.
 SMALL_GROUP = 256
 #: Characters taken at once in a task.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 HOT_SHARE = 0.001
 RUNS = "hash long, doc_id long, ord int, start int, size int"
 #: A run that so many texts of one block hold is sent past the grouping by its hash, with one row in its place.
