@@ -108,7 +108,7 @@ def stacked(df: DataFrame, key: str) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One wide row of format failures, score margins, lengths and bands of similarity."""
+    """D15 in short: one wide row of format failures, score margins, lengths and bands of similarity over all rows, incomplete ones too. whole_profile() has all of D15."""
     c, r = F.nullif(score(df, "chosen"), F.lit(float("nan"))), F.nullif(score(df, "rejected"), F.lit(float("nan")))
     rows = token_lengths(judged(sides(df))).withColumns({"margin": c - r})
     cols = [
@@ -121,6 +121,43 @@ def profile(df: DataFrame) -> DataFrame:
     return rows.agg(*cols)
 
 
+def whole_profile(df: DataFrame, max_prompt: int = 1024, max_completion: int = 1024, max_total: int = 2048) -> DataFrame:
+    """One wide row of all format failures, distributions of scores, margin, similarity and lengths (whole, cut to the budgets, and chosen less rejected), budget counts, bands of similarity and length flags.
+
+    A row counts once as missing its prompt, chosen or rejected side, in this order; only rows without such are counted further. A side is there if it has two messages, the first the user's and the second the assistant's
+    (else its roles mismatch), or some text where it is plain. Scores are taken from rows with both. The bands don't overlap."""
+    c, r = F.nullif(score(df, "chosen"), F.lit(float("nan"))), F.nullif(score(df, "rejected"), F.lit(float("nan")))
+    has, text, roles, users = {}, {}, {}, {}
+    for s in ("chosen", "rejected"):
+        if dict(df.dtypes)[s] == "string":
+            has[s], text[s], roles[s], users[s] = F.coalesce(F.col(s) != "", F.lit(False)), F.coalesce(F.col(s), F.lit("")), F.lit(False), F.lit(False)
+            continue
+        first, second = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+        has[s], text[s] = F.coalesce(F.size(s) >= 2, F.lit(False)), F.coalesce(second["content"], F.lit(""))
+        roles[s] = ~(first["role"].eqNullSafe("user") & second["role"].eqNullSafe("assistant"))
+        users[s] = py_strip(F.coalesce(first["content"], F.lit(""))) != py_strip(F.col("prompt"))
+    first_missing = F.when(F.coalesce(F.col("prompt") == "", F.lit(True)), "prompt").when(~has["chosen"], "chosen").when(~has["rejected"], "rejected")
+    rows = df.select("prompt", text["chosen"].alias("chosen_text"), text["rejected"].alias("rejected_text"), first_missing.alias("gone"), c.alias("_c"), r.alias("_r"), *[x[s].alias(f"{s}_{k}") for k, x in (("roles", roles), ("users", users)) for s in ("chosen", "rejected")])
+    rows = token_lengths(rows).withColumns({"_x": word_set(F.col("chosen_text")), "_y": word_set(F.col("rejected_text"))})
+    ok, both = F.col("gone").isNull(), F.col("_c").isNotNull() & F.col("_r").isNotNull()
+    least = {"prompt_len": max_prompt, "chosen_len": max_completion, "rejected_len": max_completion}
+    rows = rows.withColumns({n: F.when(ok, F.col(n)) for n in least} | {"similarity": F.when(ok, word_overlap(F.col("_x"), F.col("_y"))), "same": ok & (normal_key(F.col("chosen_text")) == normal_key(F.col("rejected_text")))})
+    rows = rows.withColumns({f"{n}_cut": F.when(ok, F.least(n, F.lit(most))) for n, most in least.items()} | {"score_chosen": F.when(ok & both, F.col("_c")), "score_rejected": F.when(ok & both, F.col("_r"))})
+    rows = rows.withColumns({"margin": F.col("score_chosen") - F.col("score_rejected"), "delta_len": F.col("chosen_len") - F.col("rejected_len"), "delta_len_cut": F.col("chosen_len_cut") - F.col("rejected_len_cut")})
+    p, x, y, sim, m = (F.col(n) for n in ("prompt_len", "chosen_len", "rejected_len", "similarity", "margin"))
+    failures = {f"missing_{s}": F.col("gone") == s for s in ("prompt", "chosen", "rejected")} | {"missing_scores": ok & ~both}
+    failures |= {f"{s}_role_mismatch": ok & F.col(f"{s}_roles") for s in ("chosen", "rejected")} | {f"{s}_prompt_mismatch": ok & F.col(f"{s}_users") for s in ("chosen", "rejected")}
+    over = {"prompt_over": p > max_prompt, "chosen_over": x > max_completion, "rejected_over": y > max_completion, "chosen_total_over": p + x > max_total, "rejected_total_over": p + y > max_total}
+    flags = failures | {"reversed": m < 0, "tied": m == 0, "positive": m > 0} | over | {"any_over": reduce(lambda a, b: a | b, over.values())}
+    flags |= {"identical": F.col("same"), "near_identical_90": ~F.col("same") & (sim >= 0.9), "elevated_80": ~F.col("same") & (sim >= 0.8) & (sim < 0.9), "chosen_twice": x > 2 * y, "rejected_twice": y > 2 * x}
+    cols = [F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("complete"), *[F.count_if(f).alias(k) for k, f in flags.items()]]
+    cols += [F.try_divide(F.avg(a), F.avg(b)).alias(k) for k, a, b in (("length_ratio", "chosen_len", "rejected_len"), ("length_ratio_cut", "chosen_len_cut", "rejected_len_cut"))]
+    for name in ("score_chosen", "score_rejected", "margin", "similarity", *least, "delta_len", *[f"{n}_cut" for n in least], "delta_len_cut"):
+        cols += [v.alias(f"{name}_{k}") for k, v in distribution(F.col(name)).items()]
+    one = rows.agg(*cols)
+    return one.withColumn("clean_pct", F.try_divide(F.lit(100.0) * (F.col("total") - reduce(lambda a, b: a + b, [F.col(k) for k in failures])), F.col("total")))
+
+
 def implicit_rewards(df: DataFrame, beta: float = 0.1) -> DataFrame:
     """Adds reward_chosen, reward_rejected, margin, loss from policy and reference log-probabilities (pi_*, ref_*)."""
     df = df.withColumns({"reward_chosen": beta * (F.col("pi_chosen") - F.col("ref_chosen")), "reward_rejected": beta * (F.col("pi_rejected") - F.col("ref_rejected"))})

@@ -220,6 +220,41 @@ def d_profile(spark: SparkSession, d: str) -> DataFrame:
     return r6(dpo.profile(dpo_rows(spark, d)))
 
 
+def _there(s: str) -> str:
+    return f"coalesce(len({s}) >= 2, false)"
+
+
+def _roles(s: str) -> str:
+    return f"({s}[1].role is distinct from 'user' or {s}[2].role is distinct from 'assistant') as {s}_role, {strip_sql(f"coalesce({s}[1].content, '')")} <> {strip_sql('prompt')} as {s}_user"
+
+
+_CUT = {"prompt_len": 1024, "chosen_len": 1024, "rejected_len": 1024}
+_FAILURES = {f"missing_{s}": f"gone = '{s}'" for s in ("prompt", "chosen", "rejected")} | {"missing_scores": "gone is null and margin is null"} | {f"{s}_{n}_mismatch": f"gone is null and {s}_{c}" for n, c in (("role", "role"), ("prompt", "user")) for s in ("chosen", "rejected")}
+_OVER = {"prompt_over": "prompt_len > 1024", "chosen_over": "chosen_len > 1024", "rejected_over": "rejected_len > 1024", "chosen_total_over": "prompt_len + chosen_len > 2048", "rejected_total_over": "prompt_len + rejected_len > 2048"}
+_FLAGS = _FAILURES | {"reversed": "margin < 0", "tied": "margin = 0", "positive": "margin > 0"} | _OVER | {"any_over": " or ".join(_OVER.values())}
+_FLAGS |= {"identical": "same", "near_identical_90": "not same and similarity >= 0.9", "elevated_80": "not same and similarity >= 0.8 and similarity < 0.9", "chosen_twice": "chosen_len > 2 * rejected_len", "rejected_twice": "rejected_len > 2 * chosen_len"}
+_NUMBERS = ["score_chosen", "score_rejected", "margin", "similarity", *_CUT, "delta_len", *[f"{n}_cut" for n in _CUT], "delta_len_cut"]
+
+
+@query(
+    "d_profile_whole",
+    f"""with g as (
+  select *, case when coalesce(prompt, '') = '' then 'prompt' when not {_there('chosen')} then 'chosen' when not {_there('rejected')} then 'rejected' end as gone, coalesce(chosen[2].content, '') as a, coalesce(rejected[2].content, '') as b, {_roles('chosen')}, {_roles('rejected')},
+    score_chosen is not null and score_rejected is not null and not isnan(coalesce(score_chosen, 0)) and not isnan(coalesce(score_rejected, 0)) as scored from clipped_completions
+), t as (
+  select gone, chosen_role, chosen_user, rejected_role, rejected_user, case when gone is null and scored then score_chosen end as score_chosen, case when gone is null and scored then score_rejected end as score_rejected, gone is null and lower({strip_sql('a')}) = lower({strip_sql('b')}) as same,
+    case when gone is null then {jaccard_sql('a', 'b')} end as similarity, case when gone is null then ({char4_sql('prompt')})::int end as prompt_len, case when gone is null then ({char4_sql('a')})::int end as chosen_len, case when gone is null then ({char4_sql('b')})::int end as rejected_len from g
+), u as (
+  select *, score_chosen - score_rejected as margin, chosen_len - rejected_len as delta_len, {', '.join(f'case when {n} > {k} then {k} else {n} end as {n}_cut' for n, k in _CUT.items())} from t
+), m as (select *, chosen_len_cut - rejected_len_cut as delta_len_cut from u)
+select count(*) as total, count_if(gone is null) as complete, {', '.join(f'count(*) filter (where {f}) as {k}' for k, f in _FLAGS.items())}, round(avg(chosen_len) / avg(rejected_len), 6) as length_ratio, round(avg(chosen_len_cut) / avg(rejected_len_cut), 6) as length_ratio_cut,
+  {', '.join(_dist_sql(n, n) for n in _NUMBERS)}, round(100 * (count(*) - {' - '.join(f'count(*) filter (where {f})' for f in _FAILURES.values())})::double / count(*), 6) as clean_pct from m""",
+)
+def d_profile_whole(spark: SparkSession, d: str) -> DataFrame:
+    """D15 and D16, with all parts."""
+    return r6(dpo.whole_profile(dpo_rows(spark, d)))
+
+
 def logps(spark: SparkSession, d: str) -> DataFrame:
     """idx, pi_*, ref_*: made from the scores, whose place a policy's log-probabilities take here."""
     rows = table(spark, d, "clipped_completions").where("score_chosen is not null and score_rejected is not null and not isnan(score_chosen) and not isnan(score_rejected)")

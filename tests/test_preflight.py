@@ -109,6 +109,32 @@ def test_score_names(spark):
     assert df.select(dpo.score(df, "chosen"), dpo.score(df, "rejected")).first()[:] == (3.0, None)
 
 
+def test_whole_profile(spark):
+    data = [
+        ("p1", chat("p1", "a b c d " * 2000), chat("p1", "other words " * 10), 5.0, 4.0),
+        ("p2", [("assistant", "p2"), ("assistant", "good")], chat("p2", "Good "), 2.0, 3.0),
+        ("p3", chat("p3", "x"), [("user", "else"), ("user", "y")], 4.0, 4.0),
+        ("p4", chat(" p4 ", "x"), chat("p4", "y"), None, 4.0),
+        ("p5", chat("p5", "x"), chat("p5", "y"), float("nan"), 4.0),
+        ("", None, None, 9.0, 1.0), (None, None, None, 9.0, 1.0), ("p6", [("user", "p6")], None, 9.0, 1.0), ("p7", chat("p7", "x"), None, 9.0, 1.0),
+    ]
+    r = dpo.whole_profile(spark.createDataFrame(data, PAIR)).first()
+    assert (r.total, r.complete, r.missing_prompt, r.missing_chosen, r.missing_rejected, r.missing_scores) == (9, 5, 2, 1, 1, 2)
+    assert (r.chosen_role_mismatch, r.rejected_role_mismatch, r.chosen_prompt_mismatch, r.rejected_prompt_mismatch) == (1, 1, 0, 1)
+    assert (r.score_chosen_min, r.score_chosen_max, r.score_rejected_mean, r.margin_min, r.reversed, r.tied, r.positive) == (2.0, 5.0, 11 / 3, -1.0, 1, 1, 1)
+    assert (r.chosen_len_max, r.chosen_len_cut_max, r.rejected_len_cut_max, r.delta_len_max, r.delta_len_cut_max, r.delta_len_min) == (3999.0, 1024.0, 29.0, 3970.0, 995.0, 0.0)
+    assert (r.chosen_over, r.chosen_total_over, r.any_over, r.prompt_over, r.identical, r.chosen_twice, r.rejected_twice) == (1, 1, 1, 0, 1, 1, 0)
+    assert abs(r.clean_pct - 100 / 9 * (9 - 9)) < 1e-9
+    e = dpo.whole_profile(spark.createDataFrame(data, PAIR).where("false")).first()
+    assert e.total == 0 and e.margin_mean is None and e.clean_pct is None
+
+
+def test_whole_profile_of_plain_sides(spark):
+    df = spark.createDataFrame([("p", "a b", "a b c d e", 2.0, 1.0), ("q", "", "b", 2.0, 1.0)], "prompt string, chosen string, rejected string, score_chosen double, score_rejected double")
+    r = dpo.whole_profile(df).first()
+    assert (r.complete, r.missing_chosen, r.chosen_role_mismatch, r.similarity_mean, r.margin_mean) == (1, 1, 0, 0.4, 1.0)
+
+
 def test_positional_fallback(spark):
     df = spark.createDataFrame([("p", [("x", "p"), ("y", "answer")], [("x", "p")], None, None)], PAIR)
     assert dpo.sides(df).select("chosen_text", "rejected_text", "missing").first()[:] == ("answer", "", True)
