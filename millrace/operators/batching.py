@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import distribution, sample_std
+from millrace.functions.stats import distribution, percentiles, sample_std
 
 
 def length_sorted_batches(df: DataFrame, length: str, ordinal: str, batch_size: int) -> DataFrame:
@@ -33,15 +33,15 @@ def by_length(df: DataFrame, length: str) -> DataFrame:
     return counts.select("len", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("total"), F.max("len").over(whole).alias("longest"))
 
 
-def packed_padding(df: DataFrame, length: str, batch_size: int) -> DataFrame:
-    """Useful, packed: tokens of length-sorted batches with padding, from the histogram alone. An empty table gives zeros."""
+def packed_padding(df: DataFrame, length: str, batch_size: int, drop_last: bool = False) -> DataFrame:
+    """Useful, packed: tokens of length-sorted batches with padding, from the histogram alone. An empty table gives zeros. drop_last leaves a short last batch out of packed, not of useful."""
     h, b = by_length(df, length), batch_size
     full = F.sum(F.col("len") * b * (F.floor(F.col("upto") / b) - F.floor((F.col("upto") - F.col("n")) / b)))
-    rest = F.max(F.col("total") % b) * F.max("longest")
+    rest = F.lit(0) if drop_last else F.max(F.col("total") % b) * F.max("longest")
     return h.agg(F.coalesce(F.sum(F.col("len") * F.col("n")), F.lit(0)).alias("useful"), F.coalesce(full + rest, F.lit(0)).cast("long").alias("packed"))
 
 
-def expected_random_padding(df: DataFrame, length: str, batch_size: int) -> DataFrame:
+def expected_random_padding(df: DataFrame, length: str, batch_size: int, drop_last: bool = False) -> DataFrame:
     """Random: expected tokens of random batches with padding, exactly, from the histogram.
 
     A batch of k costs k times the expected maximum of k lengths drawn without replacement; P(max <= l) = C(F(l), k) / C(n, k), as a product of k ratios."""
@@ -58,14 +58,14 @@ def expected_random_padding(df: DataFrame, length: str, batch_size: int) -> Data
 
     b, n = batch_size, F.max("total")
     total = cost(b, F.floor(n / b))
-    for k in range(1, b):
+    for k in range(1, 1 if drop_last else b):
         total = total + F.when(n % b == k, cost(k, F.lit(1))).otherwise(0.0)
     return h.agg(F.coalesce(total, F.lit(0.0)).alias("random"))
 
 
-def packing_metrics(df: DataFrame, length: str, batch_size: int) -> DataFrame:
+def packing_metrics(df: DataFrame, length: str, batch_size: int, drop_last: bool = False) -> DataFrame:
     """Useful, packed, random, waste of both in percent, what packing saves, all at least 0. The baseline is the exact expectation."""
-    one = packed_padding(df, length, batch_size).withColumn("one", F.lit(1)).join(expected_random_padding(df, length, batch_size).withColumn("one", F.lit(1)), "one").drop("one")
+    one = packed_padding(df, length, batch_size, drop_last).withColumn("one", F.lit(1)).join(expected_random_padding(df, length, batch_size, drop_last).withColumn("one", F.lit(1)), "one").drop("one")
     share = lambda x: F.coalesce(F.greatest(F.try_divide(x - F.col("useful"), x) * 100, F.lit(0.0)), F.lit(0.0))
     one = one.withColumns({"packed_waste": share(F.col("packed")), "random_waste": share(F.col("random"))})
     saved = F.coalesce(F.greatest(F.try_divide(F.col("random") - F.col("packed"), F.col("random")) * 100, F.lit(0.0)), F.lit(0.0))
@@ -124,13 +124,53 @@ def simulated_padding(df: DataFrame, length: str, batch_size: int, trials: int =
     return df.sparkSession.range(trials if len(lens) else 0).mapInPandas(draw, "trial long, longest long, padded long, useful long")
 
 
-def batch_size_sweep(df: DataFrame, length: str, sizes: tuple[int, ...] = (2, 4, 8, 16)) -> DataFrame:
-    """packing_metrics() for several batch sizes."""
+def shuffled_totals(df: DataFrame, length: str, sizes: tuple[int, ...], shuffles: int = 1000, seed: int = 42, drop_last: bool = False, block: int = 1 << 20) -> DataFrame:
+    """Trial, batch_size, total: tokens with padding of the whole table shuffled and cut into batches; one shuffle serves all sizes.
+
+    A shuffle is drawn in blocks of about `block` rows, each block's lengths from what the histogram still has, so a task holds a block and the histogram whatever the table's size; each trial has its own seed. The drawing ends at 10^9 rows."""
+    h = by_length(df.where(F.col(length).isNotNull()), length).select("len", "n").orderBy("len").toPandas()
+    shared = df.sparkSession.sparkContext.broadcast((h["len"].to_numpy(np.int64), h["n"].to_numpy(np.int64)))
+    sizes, step = tuple(sorted(set(sizes))), math.lcm(*sizes)
+    rows = max(1, block // step) * step
+
+    def totals(lens: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> list[int]:
+        left, n, out = counts.copy(), int(counts.sum()), dict.fromkeys(sizes, 0)
+        while n:
+            k = min(rows, n)
+            drawn = left if k == n else rng.multivariate_hypergeometric(left, k, method="marginals")
+            left, n = left - drawn, n - k
+            values = np.repeat(lens, drawn)
+            rng.shuffle(values)
+            longest = {1: np.concatenate([values, np.zeros(-k % step, np.int64)])}
+            for b in sizes:
+                part = max(x for x in longest if b % x == 0)
+                longest[b] = np.maximum.reduce([longest[part][j :: b // part] for j in range(b // part)])
+                whole, rest = divmod(k, b)
+                out[b] += int(longest[b][:whole].sum()) * b + (int(longest[b][whole]) * rest if rest and not drop_last else 0)
+        return [out[b] for b in sizes]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for trial in batch["id"]:
+                yield pd.DataFrame({"trial": int(trial), "batch_size": np.array(sizes, np.int32), "total": np.array(totals(*shared.value, np.random.default_rng([seed, int(trial)])), np.int64)})
+
+    return df.sparkSession.range(shuffles if len(h) else 0).mapInPandas(draw, "trial long, batch_size int, total long")
+
+
+def batch_size_sweep(df: DataFrame, length: str, sizes: tuple[int, ...] = (2, 4, 8, 16), shuffles: int = 1000, seed: int = 42, drop_last: bool = False) -> DataFrame:
+    """packing_metrics() for several batch sizes, and the spread of shuffled totals: shuffles, shuffled_mean, _std (population), _min, _max, _p05, _p95.
+
+    random is the exact expectation that shuffled_mean comes near to. With drop_last a short last batch costs nothing anywhere, while useful has all rows, as in the reference."""
     out = None
     for b in sizes:
-        part = packing_metrics(df, length, b).withColumn("batch_size", F.lit(b))
+        part = packing_metrics(df, length, b, drop_last).withColumn("batch_size", F.lit(b))
         out = part if out is None else out.unionByName(part)
-    return out
+    t, low_high = F.col("total"), percentiles(F.col("total"), [0.05, 0.95])
+    spread = shuffled_totals(df, length, sizes, shuffles, seed, drop_last).groupBy("batch_size").agg(
+        F.count(t).alias("shuffles"), F.avg(t).alias("shuffled_mean"), F.stddev_pop(t).alias("shuffled_std"), F.min(t).alias("shuffled_min"), F.max(t).alias("shuffled_max"), low_high[0].alias("shuffled_p05"), low_high[1].alias("shuffled_p95"),
+    )
+    # one row for each size
+    return out.join(F.broadcast(spread), "batch_size", "left").withColumn("shuffles", F.coalesce("shuffles", F.lit(0)))
 
 
 def built_batches(df: DataFrame, length: str, ordinal: str, batch_size: int, grouped: bool, seed: int = 42) -> DataFrame:

@@ -37,6 +37,35 @@ def test_packing_against_brute_force(spark, n, b):
     assert math.isclose(m.random, sum(costs) / len(costs), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("n,b,drop", [(7, 3, False), (7, 3, True), (8, 4, True), (3, 4, True)])
+def test_shuffled_spread_against_brute_force(spark, n, b, drop):
+    rng = random.Random(n * 10 + b)
+    lens = [rng.randint(1, 6) for _ in range(n)]
+    cost = lambda p: sum(max(p[k : k + b]) * len(p[k : k + b]) for k in range(0, n, b) if not drop or k + b <= n)
+    costs = sorted(cost(p) for p in itertools.permutations(lens))
+    mean = sum(costs) / len(costs)
+    std = math.sqrt(sum((c - mean) ** 2 for c in costs) / len(costs))
+    r = B.batch_size_sweep(frame(spark, lens), "len", (b,), 2000, drop_last=drop).first()
+    assert math.isclose(r.random, mean, rel_tol=1e-9) and r.packed == cost(sorted(lens)) and r.shuffles == 2000
+    assert abs(r.shuffled_mean - mean) <= 4 * std / math.sqrt(2000) and abs(r.shuffled_std - std) <= 0.1 * std
+    assert (r.shuffled_min, r.shuffled_max) == (costs[0], costs[-1]) and r.shuffled_p05 <= mean <= r.shuffled_p95
+
+
+def test_shuffles_in_blocks(spark):
+    lens = [k * 37 % 90 + 1 for k in range(107)]
+    df = frame(spark, lens)
+    whole, parts = (B.shuffled_totals(df, "len", (2, 3, 8), 3000, block=k).groupBy("batch_size").agg(F.avg("total").alias("m"), F.stddev_pop("total").alias("s"), F.count("*").alias("n")).orderBy("batch_size").collect() for k in (1 << 20, 24))
+    for x, y in zip(whole, parts):
+        exact = B.expected_random_padding(df, "len", x.batch_size).first().random
+        assert x.n == y.n == 3000 and abs(x.m - exact) < 4 * x.s / 54 and abs(y.m - exact) < 4 * y.s / 54 and abs(x.s / y.s - 1) < 0.1
+    assert len(whole) == len(parts) == 3
+
+
+def test_sweep_of_nothing(spark):
+    r = B.batch_size_sweep(frame(spark, []), "len", (2, 4)).orderBy("batch_size").collect()
+    assert [(x.batch_size, x.packed, x.shuffles, x.shuffled_mean) for x in r] == [(2, 0, 0, None), (4, 0, 0, None)]
+
+
 def test_packing_of_nothing(spark):
     m = B.packing_metrics(frame(spark, []), "len", 4).first()
     assert (m.useful, m.packed, m.random, m.packed_waste) == (0, 0, 0.0, 0.0)
