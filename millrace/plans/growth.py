@@ -73,7 +73,8 @@ def r8_equivalent(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r10_last_number", r"select doc_id, regexp_extract_all(text, '[-+]?\d*\.\d+|\d+')[-1] as n from documents where text is not null and not contains(text, '<answer>')")
 def r10_last_number(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null and not contains(text, '<answer>')").select("doc_id", rewards.last_number(F.col("text")).alias("n"))
+    """R10. The SQL leaves out texts with an answer tag."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", rewards.last_number(F.col("text")).alias("n"))
 
 
 @query("r13_jury", "with x as (select user_id, event_type, avg(value / 200) as s from events group by all), c as (select user_id, avg(least(1, greatest(0, s))) as mean, stddev_pop(least(1, greatest(0, s))) as std from x group by 1) select user_id, round(mean, 6) as mean, round(std, 6) as std, round(greatest(0, mean - 2 * std), 6) as reward, round(std, 6) >= 0.2 as controversial from c")
@@ -89,8 +90,8 @@ _PARTS = f"list_filter(list_transform(string_split({strip_sql('text')}, '.'), la
 
 @query("r14_consensus", f"with c as (select coalesce(source, '') as g, doc_id as k, lower(coalesce({_PARTS}[-1], {strip_sql('text')})) as conclusion from documents where text is not null and not contains(text, '<answer>')), n as (select g, conclusion, count(*) as n, min(k) as first from c group by all) select g as \"group\", conclusion as winner, round(n / sum(n) over (partition by g), 6) as ratio, n / sum(n) over (partition by g) >= 0.6 as agreed, n, sum(n) over (partition by g)::bigint as total from n qualify row_number() over (partition by g order by n desc, first) = 1")
 def r14_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of a source as a group."""
-    rows = table(spark, d, "documents").where("text is not null and not contains(text, '<answer>')")
+    """Documents of a source as a group. The SQL leaves out texts with an answer tag."""
+    rows = table(spark, d, "documents").where("text is not null")
     return r6(rewards.consensus(rows.select(F.coalesce("source", F.lit("")).alias("g"), "doc_id", "text"), "g", "doc_id", "text"))
 
 

@@ -156,3 +156,21 @@ def test_scaler(spark):
 def test_latest_metrics(spark):
     df = spark.createDataFrame([(1, "DCGM_FI_DEV_GPU_UTIL", 1, 5.0), (1, "DCGM_FI_DEV_GPU_UTIL", 2, 6.0), (1, "other", 3, 1.0)], "gpu int, metric string, ts int, value double")
     assert M.latest_metrics(df, "gpu").first().metrics == {"DCGM_FI_DEV_GPU_UTIL": 6.0}
+
+
+def test_tagged_texts_count_in_queries(spark, tmp_path):
+    from millrace.plans import registry
+
+    data = [(1, "s", "so <answer> 7 of 9 </answer> 3"), (2, "s", "Well. 7 of 9."), (3, "s", "other 4."), (4, "s", None)]
+    spark.createDataFrame(data, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(registry.queries()["r10_last_number"](spark, str(tmp_path)), "doc_id") == [(1, "9"), (2, "9"), (3, "4")]
+    r = registry.queries()["r14_consensus"](spark, str(tmp_path)).first()
+    assert (r.winner, r.n, r.total, r.agreed) == ("7 of 9", 2, 3, True)
+
+
+def test_duplicates_differ_by_outer_space(spark, tmp_path):
+    from millrace.plans import registry
+
+    data = [(1, "Why?"), (2, " why? "), (3, "x"), (4, "X\n"), (5, " "), (6, None), (7, "two\nlines"), (8, "\u3000Two\nlines")]
+    spark.createDataFrame(data, "example_id long, prompt string").write.parquet(f"{tmp_path}/sft_examples.parquet")
+    assert rows(registry.queries()["j5_duplicates"](spark, str(tmp_path)), "example_id") == [(1, False), (2, True), (3, False), (4, True), (7, False), (8, True)]
