@@ -43,9 +43,13 @@ def last_number(c: Column) -> Column:
 
 
 def jury(scores: DataFrame, item: str, judge: str, score: str, doubt: float = 2.0, controversial: float = 0.2) -> DataFrame:
-    """Item, mean, std, reward, controversial, judges: scores clamped to 0..1, reward max(0, mean - doubt * population deviation); judges maps to the scores as given."""
-    x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(score)))
-    out = scores.groupBy(item).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(judge).alias("key"), F.col(score).alias("value"))))).alias("judges"))
+    """Item, mean, std, reward, controversial, judges: scores clamped to 0..1, reward max(0, mean - doubt * population deviation); judges maps to the scores as given.
+
+    A judge that scored an item several times counts once, with the mean of its scores. Null scores don't count; a null judge counts, but isn't in the map."""
+    scores = scores.where(F.col(score).isNotNull()).groupBy(item, judge).agg(F.avg(score).alias("_score"))
+    x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_score")))
+    named = F.when(F.col(judge).isNotNull(), F.struct(F.col(judge).alias("key"), F.col("_score").alias("value")))
+    out = scores.groupBy(item).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.map_from_entries(F.array_sort(F.collect_list(named))).alias("judges"))
     return out.withColumns({"reward": F.greatest(F.lit(0.0), F.col("mean") - doubt * F.col("std")), "controversial": F.col("std") >= controversial})
 
 
@@ -56,15 +60,27 @@ def conclusion(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("<answer>")) & F.rlike(c, F.lit(r"(?s)<answer>.*?</answer>")), normal_key(tagged)).otherwise(F.lower(F.coalesce(F.try_element_at(parts, F.lit(-1)), py_strip(c))))
 
 
+def concluded(df: DataFrame, group: str, k: str, completion: str) -> DataFrame:
+    """Group, k, conclusion of each completion that isn't null."""
+    return df.where(F.col(completion).isNotNull()).select(F.col(group).alias("group"), F.col(k).alias("k"), conclusion(F.col(completion)).alias("conclusion"))
+
+
 def consensus(df: DataFrame, group: str, k: str, completion: str, least: float = 0.6) -> DataFrame:
-    """Group, winner, ratio, agreed, n, members: the most frequent conclusion, ties to the one seen first. Null completions are left out.
-
-    Conclusions are counted before groups meet, so only distinct ones reach the ranking."""
-    c = df.where(F.col(completion).isNotNull()).select(F.col(group).alias("group"), F.col(k).alias("k"), conclusion(F.col(completion)).alias("conclusion"))
-    counts = c.groupBy("group", "conclusion").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
-    w = Window.partitionBy("group")
-    ranked = counts.withColumns({"total": F.sum("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), "first"))}).where("rank = 1")
-    return ranked.select("group", F.col("conclusion").alias("winner"), (F.col("n") / F.col("total")).alias("ratio"), (F.col("n") / F.col("total") >= least).alias("agreed"), "n", "total")
+    """Group, winner, ratio, agreed, n, total: the most frequent conclusion, ties to the one seen first. Null completions are left out, a null group is a group.
+
+    Conclusions are counted before groups meet, and a group's ranking is an aggregate with partial results, so a group of any size is split. Its members are consensus_members()."""
+    counts = concluded(df, group, k, completion).groupBy("group", "conclusion").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    best = F.min_by(F.struct("conclusion", "n"), F.struct(-F.col("n"), F.col("first"))).alias("best")
+    of = counts.groupBy("group").agg(F.sum("n").alias("total"), best)
+    ratio = F.col("best.n") / F.col("total")
+    return of.select("group", F.col("best.conclusion").alias("winner"), ratio.alias("ratio"), (ratio >= least).alias("agreed"), F.col("best.n").alias("n"), "total")
+
+
+def consensus_members(df: DataFrame, group: str, k: str, completion: str, least: float = 0.6) -> DataFrame:
+    """Group, k of the completions that hold their group's winning conclusion, as rows, since a group may be of any size."""
+    rows = concluded(df, group, k, completion).withColumnRenamed("group", "_group")
+    won = consensus(df, group, k, completion, least).select("group", "winner")
+    return rows.join(won, F.col("_group").eqNullSafe(F.col("group")) & (F.col("conclusion") == F.col("winner"))).select("group", "k")
 
 
 def cycle_overlap(original: Column, rebuilt: Column) -> Column:

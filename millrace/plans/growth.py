@@ -14,24 +14,27 @@ from millrace.plans.registry import query
 from millrace.session import table
 
 # completions with tags, made of the held-out items: every kind of tagging occurs
-_SHAPES = """case item_id % 5 when 0 then '<think>' || question || '</think> <answer>' || split_part(target, '#### ', 2) || '</answer>' when 1 then target when 2 then '<answer>' || split_part(target, '#### ', 2) || '</answer><think>x</think>'
-  when 3 then question || ' the answer is ' || split_part(target, '#### ', 2) || ' ' else '<think>' || question || '<answer>7</answer>' end"""
+_N = "split_part(target, '#### ', 2)"
+_SHAPES = f"""case item_id % 8 when 0 then '<think>' || question || '</think> <answer>' || {_N} || '</answer>' when 1 then target when 2 then '<answer>' || {_N} || '</answer><think>x</think>'
+  when 3 then question || ' the answer is ' || {_N} || ' ' when 4 then '<think>' || question || '<answer>7</answer>' when 5 then '<think>of 12</think> it comes to 1,234.5 or ' || {_N} || ' in all' when 6 then question else 'none' end"""
 TAGGED = f"tagged as (select item_id, target, {_SHAPES} as c from eval_items)"
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:
     q, n = F.col("question"), F.element_at(F.split("target", "#### "), 2)
-    k = F.col("item_id") % 5
+    k = F.col("item_id") % 8
     c = (
         F.when(k == 0, F.concat(F.lit("<think>"), q, F.lit("</think> <answer>"), n, F.lit("</answer>"))).when(k == 1, F.col("target")).when(k == 2, F.concat(F.lit("<answer>"), n, F.lit("</answer><think>x</think>")))
-        .when(k == 3, F.concat(q, F.lit(" the answer is "), n, F.lit(" "))).otherwise(F.concat(F.lit("<think>"), q, F.lit("<answer>7</answer>")))
+        .when(k == 3, F.concat(q, F.lit(" the answer is "), n, F.lit(" "))).when(k == 4, F.concat(F.lit("<think>"), q, F.lit("<answer>7</answer>")))
+        .when(k == 5, F.concat(F.lit("<think>of 12</think> it comes to 1,234.5 or "), n, F.lit(" in all"))).when(k == 6, q).otherwise(F.lit("none"))
     )
     return table(spark, d, "eval_items").select("item_id", "target", c.alias("c"))
 
 
-_ANSWER = r"""case when length(c) between 1 and 4096 then case when contains(c, '<answer>') or contains(c, '</answer>') then case when len(regexp_extract_all(c, '<answer>')) = 1 and len(regexp_extract_all(c, '</answer>')) = 1 and instr(c, '<answer>') < instr(c, '</answer>')
-  then nullif(""" + strip_sql("regexp_extract(c, '(?s)<answer>(.*?)</answer>', 1)") + r""", '') end when contains(c, '####') then regexp_extract(string_split(c, '####')[-1], '^\s*(\S+)', 1)
-  when regexp_extract(c, '(?i)(?:the\s+)?(?:final\s+)?answer\s+(?:is|:|=)\s*([-$]?\d[\d,\.]*)', 1) <> '' then regexp_extract(c, '(?i)(?:the\s+)?(?:final\s+)?answer\s+(?:is|:|=)\s*([-$]?\d[\d,\.]*)', 1) end end"""
+_SAID = f"regexp_extract(c, '{numeric.PHRASE}', 1)"
+_ANSWER = rf"""case when length(c) between 1 and {numeric.MAX_TEXT} then case when contains(c, '<answer>') or contains(c, '</answer>') then case when len(regexp_extract_all(c, '<answer>')) = 1 and len(regexp_extract_all(c, '</answer>')) = 1 and instr(c, '<answer>') < instr(c, '</answer>')
+  then nullif({strip_sql("regexp_extract(c, '(?s)<answer>(.*?)</answer>', 1)")}, '') end when contains(c, '####') then regexp_extract(string_split(c, '####')[-1], '^\s*(\S+)', 1)
+  when {_SAID} <> '' then {_SAID} else regexp_extract_all(string_split(c, '</think>')[-1], '{numeric.NUMBER}')[-1] end end"""
 
 
 @query("r1_answers", f"with {TAGGED} select item_id, {_ANSWER} as answer from tagged")
@@ -58,23 +61,50 @@ def r6_rewards(spark: SparkSession, d: str) -> DataFrame:
     return rewards.rewarded(tagged(spark, d), "c", "target").select("item_id", "format_valid", "accurate", "reward")
 
 
-@query("r2_numbers")
+@query(
+    "r2_numbers",
+    """with x as (select item_id, split_part(target, '#### ', 2) as text from eval_items), n as (select *, (replace(text, ',', '')::decimal(24, 6) * 1000000)::hugeint as n from x), g as (select *, gcd(n, 1000000::hugeint) as g from n)
+select item_id, text, (n // g)::hugeint::varchar as num, (1000000 // g)::hugeint::varchar as den from g""",
+)
 def r2_numbers(spark: SparkSession, d: str) -> DataFrame:
     """R2 on the targets."""
     rows = table(spark, d, "eval_items").select("item_id", F.element_at(F.split("target", "#### "), 2).alias("text"))
     return rows.select("item_id", "text", numeric.exact_number_udf("text").alias("n")).select("item_id", "text", "n.num", "n.den")
 
 
-@query("r8_equivalent", "select pred, target, true as same from (values " + ", ".join(f"('{a}', '{b}')" for a, b in numeric.GOLDEN) + ") t(pred, target)")
+# two ways to write a quantity, equal where t = u: fractions, percentages, grouped numbers, polynomials
+_WAYS = """with w as (select l_orderkey, l_linenumber, l_quantity::bigint as q, l_linenumber::bigint as n, l_suppkey % 3 + 1 as t, l_partkey % 3 + 1 as u from lineitem)
+select l_orderkey, l_linenumber, case (l_orderkey + n) % 4 when 0 then q || '/' || n when 1 then '$' || q || '%' when 2 then 'y = ' || format('{:,}', q * 1000 * t) else '(x + ' || t || ')^2' end as pred,
+case (l_orderkey + n) % 4 when 0 then '\\frac{' || q * t || '}{' || n * u || '}' when 1 then q * t || ' / ' || 100 * u when 2 then q * 1000 * u || ' kg' else 'x^2 + ' || 2 * u || ' * x + ' || u * u end as target, t = u as same from w"""
+
+
+@query("r8_equivalent", _WAYS)
 def r8_equivalent(spark: SparkSession, d: str) -> DataFrame:
-    """R8 and R9."""
-    return spark.createDataFrame(numeric.GOLDEN, "pred string, target string").withColumn("same", numeric.equivalent_udf("pred", "target"))
+    """Two ways to write the quantity of each line, of which a third are equal; R9's pairs are in the tests."""
+    n, q = F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("long")
+    w = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"), q.alias("q"), (F.col("l_suppkey") % 3 + 1).alias("t"), (F.col("l_partkey") % 3 + 1).alias("u"))
+    way, text = (F.col("l_orderkey") + F.col("n")) % 4, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    n, q, t, u = (F.col(c) for c in "nqtu")
+    pred = F.when(way == 0, text(q, "/", n)).when(way == 1, text("$", q, "%")).when(way == 2, text("y = ", F.format_number(q * 1000 * t, 0))).otherwise(text("(x + ", t, ")^2"))
+    target = F.when(way == 0, text("\\frac{", q * t, "}{", n * u, "}")).when(way == 1, text(q * t, " / ", 100 * u)).when(way == 2, text(q * 1000 * u, " kg")).otherwise(text("x^2 + ", 2 * u, " * x + ", u * u))
+    return w.select("l_orderkey", "l_linenumber", pred.alias("pred"), target.alias("target")).withColumn("same", numeric.equivalent_udf("pred", "target"))
+
+
+# documents and tagged completions together, so that every way to an answer occurs
+_TEXTS = f"{TAGGED}, texts as (select doc_id as k, coalesce(source, '') as g, text from documents where text is not null union all select -item_id, 'items', c from tagged)"
+
 
+def texts_with_tags(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("k"), F.coalesce("source", F.lit("")).alias("g"), "text")
+    return docs.unionByName(tagged(spark, d).select((-F.col("item_id")).alias("k"), F.lit("items").alias("g"), F.col("c").alias("text")))
 
-@query("r10_last_number", r"select doc_id, regexp_extract_all(text, '[-+]?\d*\.\d+|\d+')[-1] as n from documents where text is not null and not contains(text, '<answer>')")
+
+_INSIDE = "regexp_extract(text, '(?s)<answer>(.*?)</answer>', 1)"
+
+
+@query("r10_last_number", rf"with {_TEXTS} select k, regexp_extract_all(case when {_INSIDE} <> '' then {_INSIDE} else text end, '[-+]?\d*\.\d+|\d+')[-1] as n from texts")
 def r10_last_number(spark: SparkSession, d: str) -> DataFrame:
-    """R10. The SQL leaves out texts with an answer tag."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", rewards.last_number(F.col("text")).alias("n"))
+    return texts_with_tags(spark, d).select("k", rewards.last_number(F.col("text")).alias("n"))
 
 
 @query("r13_jury", "with x as (select user_id, event_type, avg(value / 200) as s from events group by all), c as (select user_id, avg(least(1, greatest(0, s))) as mean, stddev_pop(least(1, greatest(0, s))) as std from x group by 1) select user_id, round(mean, 6) as mean, round(std, 6) as std, round(greatest(0, mean - 2 * std), 6) as reward, round(std, 6) >= 0.2 as controversial from c")
@@ -88,11 +118,19 @@ def r13_jury(spark: SparkSession, d: str) -> DataFrame:
 _PARTS = f"list_filter(list_transform(string_split({strip_sql('text')}, '.'), lambda s: {strip_sql('s')}), lambda s: s <> '')"
 
 
-@query("r14_consensus", f"with c as (select coalesce(source, '') as g, doc_id as k, lower(coalesce({_PARTS}[-1], {strip_sql('text')})) as conclusion from documents where text is not null and not contains(text, '<answer>')), n as (select g, conclusion, count(*) as n, min(k) as first from c group by all) select g as \"group\", conclusion as winner, round(n / sum(n) over (partition by g), 6) as ratio, n / sum(n) over (partition by g) >= 0.6 as agreed, n, sum(n) over (partition by g)::bigint as total from n qualify row_number() over (partition by g order by n desc, first) = 1")
+_CONCLUDED = f"""c as (select g, k, case when regexp_matches(text, '(?s)<answer>.*?</answer>') then lower({strip_sql(_INSIDE)}) else lower(coalesce({_PARTS}[-1], {strip_sql('text')})) end as conclusion from texts), n as (select g, conclusion, count(*) as n, min(k) as first from c group by all),
+r as (select g, conclusion, n, sum(n) over (partition by g) as total from n qualify row_number() over (partition by g order by n desc, first) = 1)"""
+
+
+@query("r14_consensus", f'with {_TEXTS}, {_CONCLUDED} select g as "group", conclusion as winner, round(n / total, 6) as ratio, n / total >= 0.6 as agreed, n, total::bigint as total from r')
 def r14_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of a source as a group. The SQL leaves out texts with an answer tag."""
-    rows = table(spark, d, "documents").where("text is not null")
-    return r6(rewards.consensus(rows.select(F.coalesce("source", F.lit("")).alias("g"), "doc_id", "text"), "g", "doc_id", "text"))
+    """Documents of a source, and the tagged completions, as groups."""
+    return r6(rewards.consensus(texts_with_tags(spark, d), "g", "k", "text"))
+
+
+@query("r14_members", f'with {_TEXTS}, {_CONCLUDED} select g as "group", k from c join r using (g, conclusion)')
+def r14_members(spark: SparkSession, d: str) -> DataFrame:
+    return rewards.consensus_members(texts_with_tags(spark, d), "g", "k", "text")
 
 
 _WS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"

@@ -83,13 +83,13 @@ def kernel_lines(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.when(F.col("event_type") == "error", fault).otherwise(F.concat(F.lit("kernel: usb 1-1: "), "event_type")).alias("line"))
 
 
-_RE = r"NVRM:\s+Xid\s+\(PCI:([0-9a-fA-F:\.]+)\):\s+(\d+),\s+(.*)"
+_RE = M.LOG_LINE
 
 
-@query("m9_faults", rf"with {LINES} select event_id, regexp_extract(line, '{_RE}', 1) as pci, regexp_extract(line, '{_RE}', 2)::int as code, trim(regexp_extract(line, '{_RE}', 3)) as reason, regexp_extract(line, '{_RE}', 2)::int in (31, 43, 45, 61, 62, 79, 92) as fatal from lines where regexp_matches(line, '{_RE}')")
+@query("m9_faults", rf"with {LINES} select event_id, regexp_extract(line, '{_RE}', 1) as pci, regexp_extract(line, '{_RE}', 2)::int as code, trim(regexp_extract(line, '{_RE}', 3)) as reason, regexp_extract(line, '{_RE}', 2)::int in (31, 43, 45, 61, 62, 79, 92) as fatal, case when regexp_extract(line, '{_RE}', 2)::int in (31, 43, 45, 61, 62, 79, 92) then 'node.kubernetes.io/unschedulable:NoSchedule' else 'none' end as taint from lines where regexp_matches(line, '{_RE}')")
 def m9_faults(spark: SparkSession, d: str) -> DataFrame:
     """M9, S15 and J4."""
-    return M.log_faults(kernel_lines(spark, d), "line").select("event_id", "pci", "code", "reason", "fatal")
+    return M.log_faults(kernel_lines(spark, d), "line").select("event_id", "pci", "code", "reason", "fatal", "taint")
 
 
 @query("m10_latest", "with s as (select user_id % 8 as gpu, (case event_type when 'view' then 'DCGM_FI_DEV_GPU_UTIL' when 'click' then 'DCGM_FI_DEV_GPU_TEMP' else 'other' end) as metric, ts, event_id, value from events) select gpu, metric, round(max_by(value, ts), 6) as value from s where metric <> 'other' group by all")
