@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import arrivals
 from millrace.operators import requests as V
 from millrace.plans import adapters as A
+from millrace.plans.adapters import strip_sql
 from millrace.plans.preflight import r6
 from millrace.plans.registry import query
 from millrace.session import table
@@ -92,9 +93,12 @@ def s19_newest(spark: SparkSession, d: str) -> DataFrame:
     return V.newest(table(spark, d, "events"), "event_id", 5, ["user_id"]).select("event_id")
 
 
-@query("j5_duplicates", "select example_id, row_number() over (partition by lower(trim(prompt)) order by example_id) > 1 as duplicate from sft_examples where length(trim(prompt)) > 0 and regexp_matches(prompt, '^[^\\s\\p{Z}].*[^\\s\\p{Z}]$', 's')")
+_KEY = f"lower({strip_sql('prompt')})"
+
+
+@query("j5_duplicates", f"select example_id, row_number() over (partition by {_KEY} order by example_id) > 1 as duplicate from sft_examples where {_KEY} <> ''")
 def j5_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose prompt came before; first rows by key from an aggregate, not from a window over a key's rows. Every prompt that isn't null or blank has a row; the SQL leaves out those with white space at an end or of one character."""
+    """Rows whose prompt came before; first rows by key from an aggregate, not from a window over a key's rows. Every prompt that isn't null or blank has a row."""
     from millrace.functions.text import normal_key
 
     rows = table(spark, d, "sft_examples").select("example_id", normal_key(F.col("prompt")).alias("key")).where("key <> ''")

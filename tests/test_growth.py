@@ -163,9 +163,17 @@ def test_tagged_texts_count_in_queries(spark, tmp_path):
 
     data = [(1, "s", "so <answer> 7 of 9 </answer> 3"), (2, "s", "Well. 7 of 9."), (3, "s", "other 4."), (4, "s", None)]
     spark.createDataFrame(data, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert rows(registry.queries()["r10_last_number"](spark, str(tmp_path)), "doc_id") == [(1, "9"), (2, "9"), (3, "4")]
+    spark.createDataFrame([], "item_id long, question string, target string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert rows(registry.queries()["r10_last_number"](spark, str(tmp_path)), "k") == [(1, "9"), (2, "9"), (3, "4")]
     r = registry.queries()["r14_consensus"](spark, str(tmp_path)).first()
     assert (r.winner, r.n, r.total, r.agreed) == ("7 of 9", 2, 3, True)
+    assert rows(registry.queries()["r14_members"](spark, str(tmp_path)), "k") == [("s", 1), ("s", 2)]
+
+
+def test_jury_with_repeated_and_unnamed_judges(spark):
+    df = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.7), (1, None, 0.6), (1, "b", None), (2, "a", 3.0)], "item int, judge string, score double")
+    one, two = rewards.jury(df, "item", "judge", "score").orderBy("item").collect()
+    assert one.judges == {"a": 0.6} and round(one["mean"], 9) == 0.6 and two.judges == {"a": 3.0} and two["mean"] == 1.0
 
 
 def test_duplicates_differ_by_outer_space(spark, tmp_path):
