@@ -20,6 +20,16 @@ SETS = {k: v - _SHARED for k, v in _SETS.items()}
 _OF_WORD: dict[str, str] = {w: k for k, v in SETS.items() for w in v}
 
 
+# Letters of scripts that put no spaces between words: each counts as a word.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF"
+_WORDS = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+
+
+def words_in(text: str) -> int:
+    """How many words a text has, by its spaces; in scripts that have none, how many letters."""
+    return len(_WORDS.findall(text))
+
+
 def support(text: str) -> dict[str, int]:
     """Function words of each language in a text, shared ones for each language that has them."""
     out = dict.fromkeys(SETS, 0)
