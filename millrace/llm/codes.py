@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 1000003
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: The base of a second, independent hash.
+SECOND_BASE = 6364136223846793005
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
@@ -39,25 +40,24 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Powers:
-    """Powers of the hash's base and of its inverse, grown on demand; kept for a process."""
+    """Powers of a hash's base and of its inverse, grown on demand; kept for a process."""
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up))
-            cls.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _BASE, np.uint64)]), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _INVERSE, np.uint64)]), dtype=np.uint64)
-        return cls.up, cls.down
+    def upto(cls, n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+        up, _ = cls.known.get(base, (np.ones(1, np.uint64),) * 2)
+        if len(up) < n:
+            size = max(n, 2 * len(up))
+            cls.known[base] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+        return cls.known[base]
 
 
 class WindowHashes:
-    """Hashes of any stretch of an array of numbers, by prefix sums modulo 2**64."""
+    """Hashes of any stretch of an array of numbers, by prefix sums modulo 2**64. Hashes of different bases are independent."""
 
-    def __init__(self, codes: np.ndarray) -> None:
-        up, self.down = Powers.upto(len(codes) + 1)
+    def __init__(self, codes: np.ndarray, base: int = _BASE) -> None:
+        up, self.down = Powers.upto(len(codes) + 1, base)
         self.sums = np.empty(len(codes) + 1, np.uint64)
         self.sums[0] = 0
         np.cumsum(mixed_codes(codes) * up[: len(codes)], out=self.sums[1:])

@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.joins import with_hot_keys
 from millrace.session import cut
 
-#: A group with at least this share of all rows is hot; so there are at most 1/HOT_SHARE hot groups, few enough to broadcast.
-HOT_SHARE = 0.001
-
 
 def canonical(text: Column) -> Column:
     """Letters and digits of a text in one case; a sharp s is its capitals' two letters. Null gives ''."""
@@ -33,8 +31,6 @@ def copy_groups(keys: DataFrame) -> DataFrame:
 
     Partial sums are made before the shuffle, so a group with a third of all rows sends one row for each task. Ids that repeat count as often as they stand there."""
     by_both = keys.groupBy("key", "check").agg(F.min("id").alias("record_id"), F.count(F.lit(1)).alias("copies"))
-    from pyspark.sql import Window
-
     return by_both.withColumn("collided", F.count(F.lit(1)).over(Window.partitionBy("key")) > 1)
 
 
@@ -43,9 +39,5 @@ def copy_members(keys: DataFrame) -> DataFrame:
 
     Hot groups, of which there are at most 1000 by their definition, are joined by broadcast; all others by a shuffle join of rows of 36 bytes. Empty input gives no rows; a null id is no record."""
     keys = cut(keys.where("id is not null").select("id", "key", "check"))
-    total = keys.count()
-    groups = keys.groupBy("key", "check").agg(F.min("id").alias("record_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    hot = groups.where(F.col("copies") >= max(2.0, total * HOT_SHARE, 10_000.0)).select("key", "check", "record_id")
-    rest = groups.where(F.col("copies") < max(2.0, total * HOT_SHARE, 10_000.0)).select("key", "check", "record_id")
-    members = keys.join(F.broadcast(hot), ["key", "check"]).unionByName(keys.join(rest, ["key", "check"]))
-    return members.where("id <> record_id").select("record_id", F.col("id").alias("copy_id")).distinct()
+    groups = keys.groupBy("key", "check").agg(F.min("id").alias("record_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    return with_hot_keys(keys, groups, ["key", "check"]).where("id <> record_id").select("record_id", F.col("id").alias("copy_id")).distinct()

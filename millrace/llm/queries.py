@@ -80,11 +80,27 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(table(spark, d, "documents"))
 
 
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.doc_classes(table(spark, d, "documents"))
+
+
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Every text without the sentences that an earlier document has in a common passage."""
+    return spans.first_only(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_counts, p2_found, p2_shares, p3_percentiles, p4_found, p5_packed, p5_padding, p6_found, p7_found, p7_shares]
+    own = [p1_found, p1_counts, p2_found, p2_shares, p3_percentiles, p4_found, p5_packed, p5_padding, p6_found, p7_found, p7_shares, p7_classes, p7_kept]
     return {f.__name__: f for f in own}
 
 
+# each document's places at which 200 characters stand that another document holds too, or one of a smaller id; least(200, ...) adds up their union
+_PLACES = """with t as (
+  select doc_id, i, md5(substr(text, i, 200)) as g from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)
+), g as (select g, min(doc_id) as lo from t group by g having min(doc_id) < max(doc_id))"""
+_SPANS = """, p as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) > 200 as gap from t join g using (g) where lo < doc_id),
+s as (select doc_id, i, sum(case when gap then 1 else 0 end) over (partition by doc_id order by i) as island from p), o as (select doc_id, min(i) as a, max(i) + 200 as e from s group by doc_id, island)"""
+
 _CANONICAL = r"lower(upper(regexp_replace(coalesce({0}, ''), '[^\p{{L}}\p{{N}}]+', '', 'g')))"
 _KEYS = (
     r"""with chat as (
@@ -120,6 +136,13 @@ def oracle_sql() -> dict[str, str]:
 ), e as (
   select item_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) as g from v where len(ws) >= 13
 ) select distinct item_id, doc_id from d join e using (g)""",
+        "p7_shares": _PLACES + """, p as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from t join g using (g)), c as (select doc_id, sum(least(200, coalesce(i - before, 200)))::bigint as shared_chars from p group by 1)
+select doc_id, length(text)::bigint as n_chars, shared_chars, shared_chars / length(text) as share from c join documents using (doc_id)""",
+        "p7_kept": _PLACES + _SPANS + r""", b as (select doc_id, text, list_filter(range(2, length(text) + 1), lambda i: text[i - 1] = chr(10) or text[i - 1] = ' ' and text[i - 2] in ('.', '!', '?')) as starts from documents where text is not null),
+n as (select doc_id, text, unnest([1] || starts) as a, unnest(starts || [length(text) + 1]) as e from b where text <> ''),
+k as (select n.doc_id, n.a, n.e, substr(n.text, n.a, n.e - n.a) as part, bool_or(coalesce(o.a <= n.a and o.e >= n.e, false)) as gone from n left join o on n.doc_id = o.doc_id group by all),
+r as (select doc_id, count(*) as sentences, count_if(gone) as removed, coalesce(string_agg(part, '' order by a) filter (where not gone), '') as text from k group by 1)
+select d.doc_id, length(d.text)::bigint as n_chars, coalesce(sentences, 0)::int as sentences, coalesce(removed, 0)::int as removed, coalesce(r.text, '') as text from documents d left join r using (doc_id) where d.text is not null""",
         "p7_found": """with t as (
   select doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: md5(substr(text, i, 200)))) as g from documents where length(text) >= 200
 ), u as (select distinct doc_id, g from t), m as (select g from u group by g having count(*) > 1), r as (select u.doc_id, u.g from u join m using (g))
