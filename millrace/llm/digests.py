@@ -14,12 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.frames import plain
+from millrace.llm.joins import with_hot_keys
 from millrace.session import cut
 
-#: Clusters of a digest; the rank error of a quantile q is about pi * sqrt(q * (1 - q)) / CLUSTERS after each merge.
+#: Clusters of a digest.
 CLUSTERS = 400
-#: Input partitions whose digests of a group one task may merge; with more, a level of merging comes between.
+#: Digests of a group that are merged at once; where there are more, a level of merging comes between.
 FAN_IN = 256
+#: Groups whose estimates (some 50 bytes for each metric and quantile) are broadcast for the second pass; more are joined by shuffle.
+SMALL_GROUPS = 100_000
+#: Digests held before a task merges them.
+HELD = 2_000
 
 
 def _clustered(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,16 +95,28 @@ def digests(df: DataFrame, keys: list[str], metrics: list[str], clusters: int =
     return df.select(*keys, *metrics).mapInPandas(build, schema)
 
 
-def merged(parts: DataFrame, keys: list[str], clusters: int = CLUSTERS) -> DataFrame:
-    """Digests merged into one for each key (which may be fewer keys than parts has: a union of days is a merge without the day)."""
+def merged(parts: DataFrame, keys: list[str], clusters: int = CLUSTERS, fan_in: int = FAN_IN) -> tuple[DataFrame, int]:
+    """(digests merged into one for each key, levels of merging). keys may be fewer than parts has: a union of days is a merge without the day.
+
+    The number of levels follows from how many digests the largest group has. Digests come to a task sorted by group and are merged group by group, so it holds few at once. parts is read twice."""
     own = [*keys, "metric"]
     schema = ", ".join(f"`{k}` {t}" for k, t in parts.select(*own).dtypes) + ", " + DIGEST
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = [x for x in batches if len(x)]
-        if not b:
-            return
-        b = pd.concat(b, ignore_index=True)
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= HELD:
+                b = pd.concat(held, ignore_index=True)
+                number, _ = pd.factorize(pd.MultiIndex.from_frame(b[own]), use_na_sentinel=False)
+                done = number != number[-1]  # sorted, so only the last group may go on
+                if done.any():
+                    yield of(b[done].reset_index(drop=True))
+                held = [b[~done].reset_index(drop=True)]
+        if sum(map(len, held)):
+            yield of(pd.concat(held, ignore_index=True))
+
+    def of(b: pd.DataFrame) -> pd.DataFrame:
         number, _ = pd.factorize(pd.MultiIndex.from_frame(b[own]), use_na_sentinel=False)
         names = b[own].iloc[np.unique(number, return_index=True)[1]].reset_index(drop=True)
         low, high = np.full(len(names), np.inf), np.full(len(names), -np.inf)
@@ -108,14 +125,21 @@ def merged(parts: DataFrame, keys: list[str], clusters: int = CLUSTERS) -> DataF
         sizes = b["means"].map(len).to_numpy()
         g, m, w = np.repeat(number, sizes), np.concatenate(b["means"].to_numpy()), np.concatenate(b["weights"].to_numpy())
         order = np.lexsort((m, g))
-        yield plain(_packed(names, *_clustered(g[order], m[order], w[order], clusters), low, high))
-
-    cols = [*own, "n", "low", "high", "means", "weights"]
-    spark = parts.sparkSession
-    n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if n_parts > FAN_IN:
-        parts = parts.select(*cols).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(int(n_parts**0.5)))).repartition(*own, "salt").drop("salt").mapInPandas(merge, schema)
-    return parts.select(*cols).repartition(*own).mapInPandas(merge, schema)
+        return plain(_packed(names, *_clustered(g[order], m[order], w[order], clusters), low, high))
+
+    parts = parts.select(*own, "n", "low", "high", "means", "weights")
+    most = parts.groupBy(*own).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    levels = 1
+    while most > fan_in:
+        salts = -(-most // fan_in)
+        salt = F.pmod(F.xxhash64("n", "low", "high", F.monotonically_increasing_id()), F.lit(salts)).alias("_salt")
+        parts = parts.select("*", salt).repartition(*own, "_salt").sortWithinPartitions("_salt", *own).drop("_salt").mapInPandas(merge, schema)
+        parts = cut(parts)
+        most, before = parts.groupBy(*own).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0], most
+        levels += 1
+        if most >= before:
+            break
+    return parts.repartition(*own).sortWithinPartitions(*own).mapInPandas(merge, schema), levels
 
 
 def quantile(means: np.ndarray, weights: np.ndarray, low: float, high: float, q: float) -> float:
@@ -136,50 +160,66 @@ def quantiles(whole: DataFrame, qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99))
     return whole.withColumn("estimates", estimate("means", "weights", "low", "high")).drop("means", "weights", "low", "high")
 
 
-def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys of which nulls are equal, with a's keys."""
-    b = b.withColumnsRenamed({k: f"_other_{k}" for k in keys})
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_other_{k}"))
-        on = same if on is None else on & same
-    return a.join(b, on).drop(*[f"_other_{k}" for k in keys])
+def _with_estimates(rows: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
+    """rows and the columns of their group in wide, which has one row for each; null keys are keys. Wide goes to the rows if it is small, else only that of hot groups does."""
+    wide = wide.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    if wide.count() <= SMALL_GROUPS:
+        on = [rows[k].eqNullSafe(wide[f"_of_{k}"]) for k in keys]
+        return rows.join(F.broadcast(wide), on).drop(*[f"_of_{k}" for k in keys])
+    rows = cut(rows.withColumn("_key", F.struct(*keys)))  # structs of nulls are equal
+    return with_hot_keys(rows, wide.select(F.struct(*[F.col(f"_of_{k}").alias(k) for k in keys]).alias("_key"), *[c for c in wide.columns if not c.startswith("_of_")]), ["_key"]).drop("_key")
 
 
-def certified(df: DataFrame, estimates: DataFrame, keys: list[str], metrics: list[str], qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """keys, metric, n, one column for each q, and rank_error: the largest distance between the rank q * (n - 1) and the exact ranks of the values next to the estimate, as a share of n.
+def certified(df: DataFrame, groupings: list[tuple[list[str], DataFrame, int]], metrics: list[str], qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), clusters: int = CLUSTERS) -> list[DataFrame]:
+    """For each grouping keys, metric, n, one column for each q, rank_error (the largest distance between the rank q * (n - 1) and the exact ranks of the values next to the estimate, as a share of n) and within (each such distance keeps the stated bound).
 
-    The second pass: values below, and up to, each estimate are counted over all rows. Counts are summed before their shuffle."""
-    wide = estimates.groupBy(*keys).pivot("metric", metrics).agg(F.first("estimates"))
-    marks = [F.col(f"`{m}`").alias(f"e_{m}") for m in metrics]
-    rows = _joined(df.select(*keys, *metrics), wide.select(*keys, *marks), keys)
+    groupings: keys, estimates as of quantiles(), levels of clustering; the first has all keys that the others have. The second pass counts, for all groupings in one scan, the values below and up to each estimate. Counts are summed before their shuffle, those of a union from the counts of its parts."""
+    keys = groupings[0][0]
+    rows = df.select(*keys, *metrics)
+    for i, (own, estimates, _) in enumerate(groupings):
+        wide = cut(estimates.groupBy(*own).pivot("metric", metrics).agg(F.first("estimates")))
+        rows = _with_estimates(rows, wide.select(*own, *[F.col(f"`{m}`").alias(f"_e{i}_{m}") for m in metrics]), own)
+    names = [(i, m, k) for i in range(len(groupings)) for m in metrics for k in range(len(qs))]
     counts = []
-    for m in metrics:
-        x = F.when(F.abs(m) < float("inf"), F.col(m))
-        for k in range(len(qs)):
-            counts += [F.count_if(x < F.col(f"e_{m}")[k]).alias(f"{m}_b{k}"), F.count_if(x <= F.col(f"e_{m}")[k]).alias(f"{m}_u{k}")]
-    counted = rows.groupBy(*keys).agg(*counts)
-    long = counted.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.array(*[F.col(f"{m}_b{k}") for k in range(len(qs))]).alias("below"), F.array(*[F.col(f"{m}_u{k}") for k in range(len(qs))]).alias("upto")) for m in metrics])).alias("c")).select(*keys, "c.*")
-    both = _joined(estimates, long, [*keys, "metric"])
-    errors = []
-    for k, q in enumerate(qs):
-        lowest, highest = F.least(F.col("below")[k], F.col("upto")[k] - 1), F.greatest(F.col("below")[k], F.col("upto")[k] - 1)
-        rank = q * (F.col("n") - 1)
-        errors.append(F.greatest(F.lit(0.0), lowest - rank, rank - highest) / F.col("n"))
-    return both.select(*keys, "metric", "n", *[F.col("estimates")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(qs)], F.greatest(*errors).alias("rank_error"))
+    for i, m, k in names:
+        x, e = F.when(F.abs(m) < float("inf"), F.col(m)), F.col(f"_e{i}_{m}")[k]
+        counts += [F.count_if(x < e).alias(f"_b{i}_{m}_{k}"), F.count_if(x <= e).alias(f"_u{i}_{m}_{k}")]
+    counted = cut(rows.groupBy(*keys).agg(*counts))
+    out = []
+    for i, (own, estimates, levels) in enumerate(groupings):
+        array = lambda kind, m: F.array(*[F.sum(f"_{kind}{i}_{m}_{k}") for k in range(len(qs))])  # noqa: B023, E731
+        both = counted.groupBy(*own).agg(*[F.struct(F.lit(m).alias("metric"), array("b", m).alias("below"), array("u", m).alias("upto")).alias(f"_{k}") for k, m in enumerate(metrics)])
+        long = both.select(*[F.col(k).alias(f"_of_{k}") for k in own], F.explode(F.array(*[f"_{k}" for k in range(len(metrics))])).alias("c"))
+        on = [estimates[k].eqNullSafe(long[f"_of_{k}"]) for k in own] + [estimates["metric"] == long["c.metric"]]
+        joined = estimates.join(long, on)
+        errors, kept = [], F.lit(True)
+        for k, q in enumerate(qs):
+            below, upto = F.col("c.below")[k], F.col("c.upto")[k] - 1
+            rank = q * (F.col("n") - 1)
+            errors.append(F.greatest(F.lit(0.0), F.least(below, upto) - rank, rank - F.greatest(below, upto)) / F.col("n"))
+            kept = kept & (errors[-1] <= bound_width(q, clusters, levels) + 1 / F.col("n"))
+        out.append(joined.select(*[estimates[k] for k in own], estimates["metric"], "n", *[F.col("estimates")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(qs)], F.greatest(*errors).alias("rank_error"), kept.alias("within")))
+    return out
 
 
 def percentiles(df: DataFrame, keys: list[str], metrics: list[str], clusters: int = CLUSTERS, union_keys: list[list[str]] = ()) -> dict[str, DataFrame]:
-    """Certified percentiles by keys, and for each further list of keys those of the union, merged from the same digests.
+    """Certified percentiles by keys, and for each further list of some of the keys those of the union, merged from the same digests. df is read twice, whatever the number of groupings.
 
-    The stated bound on the rank error is bound(n, clusters). Groups whose values are all null have no row; ties are counted by ranges of ranks; an empty table gives no rows."""
-    days = cut(merged(digests(df, keys, metrics, clusters), keys, clusters))
-    out = {",".join(keys): certified(df, quantiles(days), keys, metrics)}
+    The stated bound on the rank error of a quantile is bound(n, q, clusters, levels). Groups whose values are all null have no row; ties are counted by ranges of ranks; an empty table gives no rows."""
+    parts, levels = merged(cut(digests(df, keys, metrics, clusters)), keys, clusters)
+    parts = cut(parts)
+    groupings = [(keys, cut(quantiles(parts)), 1 + levels)]
     for own in union_keys:
-        out[",".join(own)] = certified(df, quantiles(merged(days, own, clusters)), own, metrics)
-    return out
+        union, more = merged(parts, own, clusters)
+        groupings.append((own, cut(quantiles(union)), 1 + levels + more))
+    return {",".join(g[0]): out for g, out in zip(groupings, certified(df, groupings, metrics, clusters=clusters))}
+
+
+def bound_width(q: float, clusters: int = CLUSTERS, levels: int = 3) -> float:
+    """What clustering may shift the rank of quantile q, as a share of n: for each level the width of a cluster there, which the arcsine makes pi * sqrt(q * (1 - q)) / clusters and the curve within the cluster a little more."""
+    return levels * np.pi / clusters * (float(np.sqrt(q * (1 - q))) + np.pi / (2 * clusters))
 
 
-def bound(n: int, clusters: int = CLUSTERS) -> float:
-    """Stated error as a share of n: a cluster's width at the median after up to three levels of merging, and one rank."""
-    return 3 * np.pi / (2 * clusters) + 1 / max(n, 1)
+def bound(n: int, q: float = 0.5, clusters: int = CLUSTERS, levels: int = 3) -> float:
+    """Stated error of quantile q as a share of n, after so many levels of clustering (building counts as one): 0.0119 at the median, 0.0024 at the 99th percentile with 400 clusters and three levels; and one rank."""
+    return bound_width(q, clusters, levels) + 1 / max(n, 1)

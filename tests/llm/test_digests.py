@@ -15,11 +15,11 @@ def test_error_is_within_the_bound(spark):
         for r in found.collect():
             own = pdf[pdf.k == r.k] if keys == "k" else pdf[(pdf.k == r.k) & (pdf.day == r.day)]
             v = np.sort(own[r.metric].dropna().to_numpy())
-            assert r.n == len(v) and r.rank_error <= D.bound(r.n)
+            assert r.n == len(v) and r.rank_error <= D.bound(r.n) and r.within
             for q in (0.5, 0.9, 0.95, 0.99):
                 rank, at = q * (len(v) - 1), r[f"p{round(q * 100)}"]
                 low, high = sorted((np.searchsorted(v, at, "left"), np.searchsorted(v, at, "right") - 1))
-                assert max(0, low - rank, rank - high) / len(v) <= r.rank_error + 1e-9
+                assert max(0, low - rank, rank - high) / len(v) <= min(r.rank_error, D.bound(len(v), q)) + 1e-9
 
 
 def test_small_groups_are_exact(spark):
@@ -36,14 +36,38 @@ def test_nothing(spark):
 
 def test_merge_of_days_equals_whole(spark):
     df = spark.range(20_000).select((F.col("id") % 5).alias("day"), F.lit("r").alias("run"), (F.col("id") * 37 % 20_011).cast("double").alias("x"))
-    days = D.merged(D.digests(df, ["run", "day"], ["x"]), ["run", "day"])
-    whole = D.quantiles(D.merged(days, ["run"])).first()
+    days = D.merged(D.digests(df, ["run", "day"], ["x"]), ["run", "day"])[0]
+    whole = D.quantiles(D.merged(days, ["run"])[0]).first()
     v = np.array([r.x for r in df.select("x").collect()])
     for q, at in zip((0.5, 0.9, 0.95, 0.99), whole.estimates):
-        assert abs((v <= at).mean() - q) < D.bound(len(v))
+        assert abs((v <= at).mean() - q) < D.bound(len(v), q)
     assert whole.n == 20_000 and days.count() == 5
 
 
 def test_clusters_are_bounded(spark):
-    d = D.merged(D.digests(spark.range(50_000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("x")), ["k"], ["x"], 100), ["k"], 100).first()
+    d = D.merged(D.digests(spark.range(50_000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("x")), ["k"], ["x"], 100), ["k"], 100)[0].first()
     assert len(d.means) <= 101 and d.n == 50_000 and d.low == 0.0 and d.high == 49_999.0 and d.means == sorted(d.means)
+
+
+def test_bound_depends_on_the_quantile():
+    assert D.bound(10**9, 0.99) < 0.005 < D.bound(10**9, 0.5) < 0.012
+
+
+def test_levels_follow_from_the_number_of_digests(spark):
+    df = spark.range(40_000).repartition(24).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 40_009).cast("double").alias("x"))
+    parts = D.digests(df, ["k"], ["x"]).cache()
+    for fan_in, levels in ((256, 1), (8, 2), (3, 3)):
+        whole, n = D.merged(parts, ["k"], fan_in=fan_in)
+        got = {r.k: r for r in D.quantiles(whole).collect()}
+        assert 1 <= n <= levels and (n > 1) == (fan_in < 24) and sorted(got) == [0, 1] and all(r.n == 20_000 for r in got.values())
+        for k, r in got.items():
+            v = np.sort(np.array([i * 7919 % 40_009 for i in range(40_000) if i % 2 == k], float))
+            assert all(abs((v <= at).mean() - q) < D.bound(len(v), q, levels=1 + n) for q, at in zip((0.5, 0.9, 0.95, 0.99), r.estimates))
+
+
+def test_many_groups_without_broadcast(spark, monkeypatch):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("k"), (F.col("id") % 7).alias("day"), (F.col("id") * 31 % 9973).cast("double").alias("x"))
+    want = {c: sorted(map(tuple, f.collect()), key=str) for c, f in D.percentiles(df, ["k", "day"], ["x"], union_keys=[["k"]]).items()}
+    monkeypatch.setattr(D, "SMALL_GROUPS", 0)
+    got = {c: sorted(map(tuple, f.collect()), key=str) for c, f in D.percentiles(df, ["k", "day"], ["x"], union_keys=[["k"]]).items()}
+    assert got == want and len(want["k"]) == 3 and len(want["k,day"]) == 21
