@@ -16,11 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.frames import plain
+from millrace.llm.copies import canonical
+from millrace.session import stored
 
 #: Where the public tokenizers' files lie, unless a path is given.
 TOKENIZERS = "/opt/tokenizers"
 #: Tokens packed in one group; a sequence is lost at most once for each group.
 GROUP_TOKENS = 20_000_000
+#: Sources that are told apart where a sequence may hold one text of each only; more share a bit.
+SOURCE_BITS = 64
 ITEMS = "doc_id long, piece int, start int, size int, source string, cluster long"
 PLACED = "sequence_id string, slot int, doc_id long, piece int, start int, size int, offset int"
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,7 +45,7 @@ def encoder(path: str):
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, cluster (of equal texts) of doc_id, text, source. Rows without an id are left out, a null text has no tokens; whole texts are encoded, special tokens' strings as ordinary text."""
+    """doc_id, source, n_tokens, cluster (of texts with the same letters and digits) of doc_id, text, source. Rows without an id are left out, a null text has no tokens; whole texts are encoded, special tokens' strings as ordinary text."""
     path = tokenizer or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +54,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield plain(pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": np.array(n, np.int32), "cluster": b["cluster"]}))
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", "source", F.xxhash64("text").alias("cluster"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", "source", F.xxhash64(F.coalesce(F.nullif(canonical(F.col("text")), F.lit("")), F.col("text"))).alias("cluster"))
     return rows.mapInPandas(count, "doc_id long, source string, n_tokens int, cluster long")
 
 
@@ -61,67 +65,89 @@ def pieces(counts: DataFrame, capacity: int) -> DataFrame:
     return rows.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("n_tokens") - start).cast("int").alias("size"), "source", "cluster")
 
 
-class Sequences:
-    """Open sequences by room left; a bitmap says which amounts of room occur."""
+class _View:
+    """Open sequences by room left; a bitmap says which amounts of room occur. What was moved since is dropped when it is met."""
 
-    def __init__(self, capacity: int, one_of_source: bool) -> None:
-        self.capacity, self.one_of_source = capacity, one_of_source
+    def __init__(self, capacity: int) -> None:
         self.rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.some = 0
+
+    def add(self, s: int, room: int) -> None:
+        self.rooms[room].append(s)
+        self.some |= 1 << room
+
+
+class Sequences:
+    """Open sequences with bitmaps of the sources and clusters that they hold. With `sources` (how many there are) each source sees those sequences only that don't hold it, so none is looked at in vain."""
+
+    def __init__(self, capacity: int, sources: int = 0) -> None:
+        self.capacity, self.sources = capacity, sources
+        self.views = [_View(capacity) for _ in range(max(1, sources))]
+        self.room: list[int] = []
         self.held: list[tuple[int, int]] = []  # bitmaps of sources and clusters
-        self.filled: list[int] = []
         self.count: list[int] = []
 
-    def place(self, size: int, source_bit: int, cluster_bits: int) -> tuple[int, int, int]:
-        """(sequence, slot, offset) of the tightest sequence that takes the item."""
-        left = self.some >> size
-        room = size
-        while left:
+    def place(self, size: int, source: int, cluster_bits: int, copies: int = 1) -> list[tuple[int, int, int]]:
+        """(sequence, slot, offset) for each of some copies of an item: the tightest sequences that take one. They are met in one walk from the tightest on, as a sequence that has a copy takes no other."""
+        view, out, room = self.views[source if self.sources else 0], [], size
+        while len(out) < copies:
+            left = view.some >> room
+            if not left:
+                break
             room += (left & -left).bit_length() - 1
-            stack = self.rooms[room]
-            for k in range(len(stack) - 1, -1, -1):
-                s = stack[k]
+            stack, kept = view.rooms[room], []
+            while stack and len(out) < copies:
+                s = stack.pop()
                 sources, clusters = self.held[s]
-                if clusters & cluster_bits == cluster_bits or self.one_of_source and sources & source_bit:
-                    continue  # perhaps a copy of this text is there (the bitmap may be wrong in this direction only)
-                stack[k] = stack[-1]
-                stack.pop()
-                if not stack:
-                    self.some &= ~(1 << room)
-                return self._put(s, room, size, source_bit, cluster_bits)
+                if self.room[s] != room or self.sources and sources >> source & 1:
+                    continue
+                if clusters & cluster_bits == cluster_bits:
+                    kept.append(s)  # perhaps a copy of this text is there (the bitmap may be wrong in this direction only)
+                    continue
+                out.append(self._put(s, size, source, cluster_bits))
+            stack.extend(reversed(kept))
+            if not stack:
+                view.some &= ~(1 << room)
             room += 1
-            left = self.some >> room
-        self.held.append((0, 0))
-        self.filled.append(0)
-        self.count.append(0)
-        return self._put(len(self.held) - 1, self.capacity, size, source_bit, cluster_bits)
-
-    def _put(self, s: int, room: int, size: int, source_bit: int, cluster_bits: int) -> tuple[int, int, int]:
+        while len(out) < copies:
+            self.room.append(self.capacity)
+            self.held.append((0, 0))
+            self.count.append(0)
+            out.append(self._put(len(self.room) - 1, size, source, cluster_bits))
+        return out
+
+    def _put(self, s: int, size: int, source: int, cluster_bits: int) -> tuple[int, int, int]:
         sources, clusters = self.held[s]
-        self.held[s] = (sources | source_bit, clusters | cluster_bits)
-        offset, slot = self.filled[s], self.count[s]
-        self.filled[s] += size
+        sources |= 1 << source
+        self.held[s] = (sources, clusters | cluster_bits)
+        offset, slot = self.capacity - self.room[s], self.count[s]
+        self.room[s] -= size
         self.count[s] += 1
-        if room > size:
-            self.rooms[room - size].append(s)
-            self.some |= 1 << (room - size)
+        if self.room[s]:
+            for k, view in enumerate(self.views):
+                if not self.sources or not sources >> k & 1:
+                    view.add(s, self.room[s])
         return s, slot, offset
 
 
 def fill(items: pd.DataFrame, capacity: int, one_of_source: bool, name: str) -> pd.DataFrame:
-    """PLACED for one group."""
-    items = items.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-    bins = Sequences(capacity, one_of_source)
-    out = []
-    cluster = items["cluster"].to_numpy(np.int64).view(np.uint64)
-    for doc, piece, start, size, source, c in zip(items["doc_id"], items["piece"], items["start"], items["size"], items["source"], cluster.tolist()):
-        source_bit = 1 << (hash_of(source) % 64)
+    """PLACED for one group. Items go in by falling size; copies follow one another and are placed together, so that time is linear in their number too."""
+    items = items.sort_values(["size", "cluster", "piece", "doc_id"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    codes, names = pd.factorize(np.array([hash_of(x) % SOURCE_BITS for x in items["source"]]) if one_of_source else np.zeros(len(items), int))
+    bins = Sequences(capacity, len(names) if one_of_source else 0)
+    cluster, piece, size = items["cluster"].to_numpy(np.int64).view(np.uint64), items["piece"].to_numpy(), items["size"].to_numpy()
+    new = np.flatnonzero(np.concatenate([[True], (cluster[1:] != cluster[:-1]) | (piece[1:] != piece[:-1]) | (size[1:] != size[:-1]) | (codes[1:] != codes[:-1])])) if len(items) else []
+    out: list[tuple[int, int, int]] = []
+    for at, upto in zip(new, [*new[1:], len(items)]):
+        c = int(cluster[at])
         # two of 256 bits say which clusters a sequence holds; pieces of one text aren't copies of each other
-        cluster_bits = 1 << (c & 255) | 1 << ((c >> 8 ^ piece * 0x9E37) & 255)
-        s, slot, offset = bins.place(size, source_bit, cluster_bits)
-        out.append((s, slot, doc, piece, start, size, offset))
-    placed = pd.DataFrame(out, columns=["s", "slot", "doc_id", "piece", "start", "size", "offset"])
-    placed.insert(0, "sequence_id", [f"{name}-{s}" for s in placed.pop("s")])
+        bits = 1 << (c & 255) | 1 << ((c >> 8 ^ int(piece[at]) * 0x9E37) & 255)
+        out += bins.place(int(size[at]), int(codes[at]), bits, int(upto - at))
+    placed = items[["doc_id", "piece", "start", "size"]].copy()
+    s, slot, offset = (np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    placed.insert(0, "sequence_id", [f"{name}-{k}" for k in s])
+    placed.insert(1, "slot", slot.astype(np.int32))
+    placed["offset"] = offset.astype(np.int32)
     return plain(placed)
 
 
@@ -132,13 +158,11 @@ def hash_of(text: str | None) -> int:
 def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, one_of_source: bool = False, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """PLACED: for each piece of each text its sequence, its slot and offset there, and where in the text it starts, in tokens.
 
-    docs: doc_id (unique), text, source. Copies of a text never share a sequence; with one_of_source no two texts of a source do either (by a
+    docs: doc_id (unique), text, source. Copies of a text (the same letters and digits in order, as in copies.py) never share a sequence; with one_of_source no two texts of a source do either (by a
     bitmap of 64, so some sources count as one). A text longer than capacity, and only such, is cut, into full sequences and a rest. Null and
     empty texts take no room and have no row; an empty table gives none. Groups are made by a hash of the id and hold about group_tokens tokens
     each, whatever the size of the corpus, so no key can grow one.
     """
-    from millrace.session import stored
-
     items = stored(pieces(token_counts(docs, tokenizer), capacity), "items")
     tokens = items.agg(F.sum("size")).first()[0] or 0
     groups = max(1, round(tokens / group_tokens))

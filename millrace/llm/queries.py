@@ -62,14 +62,26 @@ def p5_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"))
 
 
+def p5_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The same with at most one text of each source in a sequence."""
+    return packing.packed(table(spark, d, "documents"), one_of_source=True)
+
+
 def p5_padding(spark: SparkSession, d: str) -> DataFrame:
     return packing.padding(packing.packed(table(spark, d, "documents")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "eval_items")
-    texts = items.select("item_id", F.explode(F.array("question", "target")).alias("text"))
-    return leaks.leaks(table(spark, d, "documents"), texts)
+    return leaks.leaks(table(spark, d, "documents"), item_texts(spark, d))
+
+
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of 13 words with up to two characters changed, left out or put in."""
+    return leaks.leaks(table(spark, d, "documents"), item_texts(spark, d), q=12, edits=2)
+
+
+def item_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", F.explode(F.array("question", "target")).alias("text"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +102,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_counts, p2_found, p2_shares, p3_percentiles, p4_found, p5_packed, p5_padding, p6_found, p7_found, p7_shares, p7_classes, p7_kept]
+    own = [p1_found, p1_counts, p2_found, p2_shares, p3_percentiles, p4_found, p5_packed, p5_padding, p5_sources, p6_found, p6_near, p7_found, p7_shares, p7_classes, p7_kept]
     return {f.__name__: f for f in own}
 
 

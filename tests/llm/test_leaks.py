@@ -61,8 +61,52 @@ def test_with_edits(spark):
     assert [r.doc_id for r in leaks.leaks(d, i, words=17).collect()] == [2]
 
 
+def distance_within(passage, text):
+    """Least edits of a passage against any part of a text, and the diagonals where such alignments start."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
 def test_banded():
-    assert leaks.banded("abc", "xxabcx", 2, 2, 0) and leaks.banded("abcd", "xxabdx", 2, 2, 1) and not leaks.banded("abcd", "xxaxyx", 2, 2, 1)
+    codes = lambda t: leaks.code_points([t])[0]
+    run = lambda p, t, low, high, edits: leaks.banded(codes(p), codes(t), leaks.np.array([(0, len(p))]), low, high, edits)
+    assert run("abc", "xxabcx", 2, 2, 0) and run("abcd", "xxabdx", 2, 2, 1) and not run("abcd", "xxaxyx", 2, 2, 1) and not run("abc", "", 0, 3, 1)
+    rng = random.Random(5)
+    for _ in range(400):
+        p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(2))
+        for edits in (0, 1, 2):
+            assert run(p, t, -len(p), len(t), edits) == (distance_within(p, t) <= edits)
+
+
+def test_edits_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    items = [(k, " ".join(word() for _ in range(20))) for k in range(12)]
+    docs = []
+    for d in range(120):
+        own = [word() for _ in range(rng.randint(5, 30))]
+        if d % 2:
+            passage = list(" ".join(items[rng.randrange(12)][1].split()[3:16]))
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(1, len(passage) - 1)
+                passage[at : at + rng.randint(0, 1)] = rng.choice(["x", "", "y"])
+            own[len(own) // 2 : len(own) // 2] = ["".join(passage)]
+        docs.append((d, " ".join(own)))
+    want = set()
+    for i, t in items:
+        w = t.split()
+        for d, x in docs:
+            if any(distance_within(" " + " ".join(w[k : k + 13]) + " ", leaks.words_of(x)) <= 2 for k in range(len(w) - 12)):
+                want.add((i, d))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 20
+    assert set(rows(leaks.leaks(d, i, q=8, edits=2))) == want
+    assert set(rows(leaks.leaks(d, i, q=8, edits=2, block_chars=10))) == want
 
 
 def test_too_short_for_the_lemma(spark):

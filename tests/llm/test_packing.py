@@ -53,13 +53,41 @@ def test_odd_texts(spark):
 
 
 def test_tightest_room_is_taken():
-    bins = packing.Sequences(10, False)
-    assert [bins.place(s, 1, 1 << k)[0] for k, s in enumerate([7, 6, 4, 3, 10])] == [0, 1, 1, 0, 2]
-    bins = packing.Sequences(10, False)
-    assert [bins.place(s, 1, b)[0] for s, b in [(7, 1), (6, 2), (3, 1), (3, 4)]] == [0, 1, 1, 0]
+    bins = packing.Sequences(10)
+    assert [bins.place(s, 0, 1 << k)[0][0] for k, s in enumerate([7, 6, 4, 3, 10])] == [0, 1, 1, 0, 2]
+    bins = packing.Sequences(10)
+    assert [bins.place(s, 0, b)[0][0] for s, b in [(7, 1), (6, 2), (3, 1), (3, 4)]] == [0, 1, 1, 0]
+    bins = packing.Sequences(10)
+    assert [p[0] for s, b, n in [(7, 1, 1), (5, 2, 2), (3, 4, 4)] for p in bins.place(s, 0, b, n)] == [0, 1, 2, 0, 2, 1, 3]
+    bins = packing.Sequences(10, 2)
+    assert [bins.place(s, k, 1 << j)[0][0] for j, (s, k) in enumerate([(4, 0), (3, 0), (3, 1), (2, 1), (2, 0)])] == [0, 1, 0, 1, 2]
 
 
 def test_groups(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
     p = packing.packed(df, capacity=64, group_tokens=300)
     assert p.count() == 300 and p.select(F.split("sequence_id", "-")[0]).distinct().count() > 1
+
+
+def test_equal_texts_take_linear_time():
+    """100,000 copies of one text, and as many texts of one source where a sequence takes one of each."""
+    import time
+
+    import pandas as pd
+
+    n = 100_000
+    equal = pd.DataFrame({"doc_id": range(n), "piece": 0, "start": 0, "size": 10, "source": "a", "cluster": 7})
+    for frame, one in ((equal, False), (equal.assign(cluster=range(n)), True), (equal.assign(source=["a", "b", "c", "a"] * (n // 4), cluster=range(n), size=[10, 20, 30, 40] * (n // 4)), True)):
+        began = time.time()
+        p = packing.fill(frame, 2048, one, "g")
+        assert time.time() - began < 30 and len(p) == n
+        if not one:
+            assert p["sequence_id"].nunique() == n
+        else:
+            assert not p.merge(frame[["doc_id", "source"]]).duplicated(["sequence_id", "source"]).any()
+
+
+def test_copies_in_another_look_part(spark):
+    df = spark.createDataFrame([(1, "One and the same!", "a"), (2, "one AND the same", "a"), (3, "---", "a"), (4, "***", "a"), (5, "other", "b")], "doc_id long, text string, source string")
+    at = {r.doc_id: r.sequence_id for r in packing.packed(df, capacity=64).collect()}
+    assert at[1] != at[2] and len(at) == 5
