@@ -1,8 +1,15 @@
-"""Languages of texts by their function words."""
+"""Languages of texts: by their script, by the function words of four languages, and by a character n-gram model that is trained
+on texts whose function words leave no doubt, which also tells what is in none of these languages."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterable
+from functools import lru_cache
+
+import numpy as np
 
 # Frequent function words of four languages. Those that several of them share support each of these, but decide for none.
 FUNCTION_WORDS = {
@@ -58,3 +65,91 @@ def language(text: str) -> str | None:
 def most(n: dict[str, int]) -> str | None:
     ranked = sorted(n.items(), key=lambda x: -x[1])
     return ranked[0][0] if ranked[0][1] >= 1 and ranked[0][1] >= 2 * ranked[1][1] else None
+
+
+@lru_cache(maxsize=100_000)
+def _script_of(c: str) -> str:
+    name = unicodedata.name(c, "?").split()[0].split("-")[0]
+    return "KANA" if name in ("HIRAGANA", "KATAKANA", "HALFWIDTH") else "LATIN" if name == "FULLWIDTH" else name
+
+
+def script(text: str, share: float = 0.6) -> str | None:
+    """The script of at least this share of a text's letters; Chinese characters beside kana are Japanese. None without letters, or where no script has as many."""
+    n = Counter(_script_of(c) for c in text if c.isalpha())
+    if n["KANA"] * 10 > n["CJK"]:
+        n["KANA"] += n.pop("CJK", 0)
+    total = sum(n.values())
+    best = max(n, key=n.__getitem__, default=None)
+    return best if total and n[best] >= share * total else None
+
+
+# Lengths of the model's n-grams and of the words that it reads.
+GRAM, LEAST_WORDS = 3, 6
+_PLAIN = re.compile(r"(?<![^\s\"'“”«»(¿¡])[^\W\d_]+(?:['’][^\W\d_]+)?(?=[\s.,;:!?\"'“”»)…]|$)")
+
+
+def plain_words(text: str) -> list[str]:
+    """Words of letters only, in lower case; what is part of a name of a file or of code is none, nor are names and abbreviations within a sentence."""
+    out, before = [], ""
+    for m in _PLAIN.finditer(text):
+        w, before = m.group(), text[: m.start()].rstrip()[-1:]
+        if w[1:].islower() and (w[0].islower() or before in ("", ".", "!", "?", ":", "\n")) or len(w) == 1:
+            out.append(w.lower())
+    return out
+
+
+def _grams(words: Iterable[str]) -> Iterable[str]:
+    for w in words:
+        w = f" {w} "
+        for k in range(len(w) - GRAM + 1):
+            yield w[k : k + GRAM]
+
+
+class Profiles:
+    """Character n-gram model of the languages of some texts. `of` gives a text's language among them, "other" for a text of words in none of them, None where nothing can be told."""
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        counted: dict[str, Counter] = {}
+        kept: dict[str, list[list[str]]] = {}
+        for k, text in enumerate(texts):
+            n = counts(text)
+            own = most(n)
+            if own and n[own] >= 3 and n[own] >= 4 * (sum(n.values()) - n[own]):
+                words = plain_words(text)
+                if k % 5 == 0 and len(kept.setdefault(own, [])) < 500:
+                    kept[own].append(words)  # held out, to see what the language's own texts score
+                else:
+                    counted.setdefault(own, Counter()).update(_grams(words))
+        self.scores: dict[str, dict[str, float]] = {}
+        self.unseen: dict[str, float] = {}
+        #: For each language what its own texts score on average, and what those of the others score there.
+        self.usual: dict[str, tuple[float, float]] = {}
+        for own, n in counted.items():
+            total = sum(n.values()) + 0.5 * (len(n) + 1000)
+            self.scores[own] = {g: float(np.log((c + 0.5) / total)) for g, c in n.items()}
+            self.unseen[own] = float(np.log(0.5 / total))
+            held, others = ([self._mean(w, own) for k, ws in kept.items() if (k == own) == same for w in ws if len(w) >= LEAST_WORDS] for same in (True, False))
+            if len(held) >= 5 and len(others) >= 5:
+                self.usual[own] = (float(np.mean(held)), float(np.mean(others)))
+
+    def _mean(self, words: list[str], own: str) -> float:
+        known, unseen = self.scores[own], self.unseen[own]
+        x = [known.get(g, unseen) for g in _grams(words)]
+        return sum(x) / max(len(x), 1)
+
+    def distance(self, words: list[str], own: str) -> float:
+        """How far words are from a language: about 0 for its own texts, 1 for those of other languages."""
+        usual, other = self.usual[own]
+        return (usual - self._mean(words, own)) / max(usual - other, 1e-9)
+
+    def of(self, text: str) -> str | None:
+        """Texts of fewer than LEAST_WORDS plain words are told by function words alone, as language() tells them. A longer one is "other" if hardly any of its words are function words of its nearest language, and it is as far from that as texts of other languages are."""
+        told, words = language(text), plain_words(text)
+        if len(words) < LEAST_WORDS or not self.usual:
+            return told
+        far, near = min((self.distance(words, k), k) for k in self.usual)
+        return "other" if far > FAR and sum(w in _SETS[near] for w in words) < FEW * len(words) else told
+
+
+# Below which share of function words, and how far from its nearest language, a text is in another.
+FEW, FAR = 0.2, 0.6
