@@ -75,7 +75,12 @@ def _script_of(c: str) -> str:
 
 def script(text: str, share: float = 0.6) -> str | None:
     """The script of at least this share of a text's letters; Chinese characters beside kana are Japanese. None without letters, or where no script has as many."""
-    n = Counter(_script_of(c) for c in text if c.isalpha())
+    if text.isascii():
+        return "LATIN" if any(map(str.isalpha, text)) else None
+    n: Counter = Counter()
+    for c, k in Counter(text).items():
+        if c.isalpha():
+            n[_script_of(c)] += k
     if n["KANA"] * 10 > n["CJK"]:
         n["KANA"] += n.pop("CJK", 0)
     total = sum(n.values())
