@@ -6,8 +6,11 @@ map-side combined aggregation, a second independent hash as collision check.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +18,30 @@ from millrace.llm.joins import with_hot_keys
 from millrace.session import cut
 
 
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x30, 0x7B) if chr(c).isalnum())
+_NARROW = "".join(chr(c) for c in range(0x30, 0x7B) if chr(c).isalnum())
+
+
+@F.pandas_udf("string")
+def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore").astype(object)
+
+
+def composed(text: Column) -> Column:
+    """Text whose letters and marks are one character where there is such a one, so that both ways to write an accented letter are the same. Only texts that hold marks leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(r"\p{M}"), text)), text)
+
+
 def canonical(text: Column) -> Column:
-    """Letters and digits of a text in one case; a sharp s is its capitals' two letters. Null gives ''."""
-    return F.replace(F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", ""))), F.lit("ß"), F.lit("ss"))
+    """Letters and digits of a text in one case and width; a sharp s is its capitals' two letters, an accented letter is itself (not its plain one). Null gives ''."""
+    letters = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", ""), _WIDE, _NARROW)
+    return F.replace(F.lower(F.upper(letters)), F.lit("ß"), F.lit("ss"))
 
 
 def keyed(df: DataFrame, id_col: str, fields: list[str], keep: list[str] = ()) -> DataFrame:
     """id, key (128 bit), check (64 bit of another hash) and kept columns. Fields are taken in the given order, whatever their order in the source."""
-    whole = reduce(lambda a, b: F.concat(a, F.lit("|"), b), [canonical(F.col(f)) for f in fields])
+    whole = reduce(lambda a, b: F.concat(a, F.lit("|"), b), [canonical(composed(F.col(f))) for f in fields])
     return df.select(F.col(id_col).alias("id"), *keep, whole.alias("whole")).select("id", *keep, F.unhex(F.md5("whole")).alias("key"), F.xxhash64("whole", F.length("whole")).alias("check"))
 
 

@@ -113,7 +113,7 @@ _PLACES = """with t as (
 _SPANS = """, p as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) > 200 as gap from t join g using (g) where lo < doc_id),
 s as (select doc_id, i, sum(case when gap then 1 else 0 end) over (partition by doc_id order by i) as island from p), o as (select doc_id, min(i) as a, max(i) + 200 as e from s group by doc_id, island)"""
 
-_CANONICAL = r"lower(upper(regexp_replace(coalesce({0}, ''), '[^\p{{L}}\p{{N}}]+', '', 'g')))"
+_CANONICAL = r"lower(upper(regexp_replace(nfc_normalize(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', '', 'g')))"
 _KEYS = (
     r"""with chat as (
   select row_id, prompt,

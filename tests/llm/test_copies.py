@@ -52,3 +52,9 @@ def test_record_shapes(spark):
     lines = ['{"rejected": "b", "chosen": [{"content": "a", "role": "assistant"}], "prompt": "p\\u00e9", "extra": 1}', '{"prompt": "x", "chosen": "[1] note", "rejected": null}', "{bad", None]
     raw = spark.createDataFrame([(k, x, "s") for k, x in enumerate(lines)], "row_id long, raw string, source string")
     assert rows(records.raw_pairs(raw), "row_id") == [(0, "s", "pé", "a", "b"), (1, "s", "x", "[1] note", None), (2, "s", None, None, None), (3, "s", None, None, None)]
+
+
+def test_ways_to_write_a_letter(spark):
+    """Composed and decomposed accents and full-width letters are the same; an accented letter isn't its plain one."""
+    df = spark.createDataFrame([(1, "caf\u00e9 ABC 12"), (2, "cafe\u0301 abc 12"), (3, "CAF\u00c9 \uff21\uff22\uff23 \uff11\uff12"), (4, "cafe abc 12"), (5, "x\u00b2"), (6, "x2")], "id long, p string")
+    assert sorted(rows(copies.copy_members(copies.keyed(df, "id", ["p"])))) == [(1, 2), (1, 3)]
