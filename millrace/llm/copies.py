@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.joins import with_hot_keys
 from millrace.session import cut
@@ -22,7 +23,7 @@ _WIDE = "".join(chr(c + 0xFEE0) for c in range(0x30, 0x7B) if chr(c).isalnum())
 _NARROW = "".join(chr(c) for c in range(0x30, 0x7B) if chr(c).isalnum())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore").astype(object)
