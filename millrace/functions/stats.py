@@ -77,52 +77,63 @@ def ks_p_value(d: float, n: int, m: int, exact_upto: int = 10_000) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
-def selected_percentiles(df: DataFrame, keys: list[str], value: str, qs: tuple[float, ...], parts: int = 256, small: int = 50_000) -> DataFrame:
-    """keys, n, values: exact percentiles, linear between ranks, of groups of any size.
+#: Accuracy of the sketch that brackets a percentile; its rank error is at most one in so many.
+ACCURACY = 10_000
+#: Groups of up to so many values are ranked whole.
+SMALL = 20_000
+#: Groups whose brackets (some 100 bytes a value and quantile) are broadcast; more are joined by shuffle.
+SMALL_GROUPS = 100_000
 
-    The aggregate percentile() keeps all of a group's distinct values in one task. Here a group's range is cut into parts, these are counted with partial sums, and only the rows of those
-    parts that hold a wanted rank go on, until no range has more than `small` of them. A pass costs a scan and narrows a range by the number of parts; every other pass cuts
-    in the log scale, so that a few far values don't hold it up. Nulls and NaN don't count; groups without values have no row."""
+
+def exact_percentiles(df: DataFrame, keys: list[str], values: dict[str, Column], qs: tuple[float, ...], small: int = SMALL, accuracy: int = ACCURACY) -> DataFrame:
+    """keys, and for each name in values `name_n` and `name`, an array: exact percentiles, linear between ranks, of groups of any size.
+
+    The aggregate percentile() keeps all of a group's distinct values in one buffer. Here a sketch with a known rank error gives a bracket around each percentile, one pass counts what is below it and how often each value within it occurs, and only
+    these few are ranked. Always the same number of passes, whatever the values. Nulls and NaN don't count, infinite values do; a group without values has n 0 and null for an array; a null key is a group; an empty table gives no rows.
+    """
     from millrace.session import cut
 
-    rows = cut(df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")))
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(q * (F.col("n") - 1)), F.ceil(q * (F.col("n") - 1))) for q in qs])))
-    wanted = n.select(*keys, F.explode(ranks).alias("rank"))
-    # (group, range) -> the ranks wanted in it, counted from the range's start
-    open_ = cut(rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).join(wanted, keys).withColumn("at", F.col("rank")))
-    found = None
-    left = rows
-    for turn in range(64):
-        done = open_.where("lo = hi").select(*keys, "rank", F.col("lo").alias("v"))
-        found = done if found is None else found.unionByName(done)
-        open_ = open_.where("lo < hi")
-        if open_.isEmpty():
-            break
-        ranges = open_.select(*keys, "lo", "hi").distinct()
-        inside = left.join(ranges, keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        # every other turn the parts are equal in the log scale of the distance from the low end
-        share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-        if turn % 2:
-            share = F.log1p(share * 1e9) / F.log1p(F.lit(1e9))
-        part = F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int")
-        counts = inside.groupBy(*keys, "lo", "hi", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
-        w = Window.partitionBy(*keys, "lo", "hi").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        hit = open_.drop("inside").join(counts, [*keys, "lo", "hi"]).where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("c")))
-        open_ = cut(hit.select(*keys, "rank", F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("at") - F.col("before")).alias("at"), F.col("c").alias("inside")))
-        most = open_.where("lo < hi").agg(F.max("inside")).first()[0] or 0
-        if 0 < most <= small:
-            ranges = open_.where("lo < hi").select(*keys, "lo", "hi").distinct()
-            last = left.join(ranges, keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-            order = last.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "lo", "hi").orderBy("v")) - 1)
-            found = found.unionByName(open_.where("lo = hi").select(*keys, "rank", F.col("lo").alias("v"))).unionByName(open_.where("lo < hi").join(order, [*keys, "lo", "hi", "at"]).select(*keys, "rank", "v"))
-            break
-    values = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))
-
-    def one(q: float) -> Column:
-        at = q * (F.col("n") - 1)
-        low, high = F.element_at("m", F.floor(at)), F.element_at("m", F.ceil(at))
-        return low + (high - low) * (at - F.floor(at))
-
-    return n.join(values, keys).select(*keys, "n", F.array(*[one(q) for q in qs]).alias("values"))
+    names, m = list(values), len(qs)
+    columns = {name: c.cast("double") for name, c in values.items()}
+    rows = cut(df.select(*keys, *[F.when(~F.isnan(c), c).alias(name) for name, c in columns.items()]))
+    slack = 3 / accuracy
+    sides = F.array(*[F.lit(max(0.0, q - slack)) for q in qs], *[F.lit(min(1.0, q + slack)) for q in qs])
+    first = [x for name in names for x in (F.count(name).alias(f"{name}_n"), F.percentile_approx(name, sides, accuracy).alias(f"_{name}_at"), F.min(name).alias(f"_{name}_min"), F.max(name).alias(f"_{name}_max"))]
+    brackets = cut(rows.groupBy(*keys).agg(*first))
+    of = brackets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    if brackets.count() <= SMALL_GROUPS:
+        of = F.broadcast(of)
+    on = [rows[k].eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    met = (rows.join(of, on) if keys else rows.crossJoin(of)).drop(*[f"_of_{k}" for k in keys])  # without keys there is one row of brackets
+    few = lambda name: F.col(f"{name}_n") <= max(small, 2 * accuracy)  # of fewer values the slack is no whole rank
+    low = lambda name, k: F.col(f"_{name}_min") if qs[k] <= slack else F.col(f"_{name}_at")[k]
+    high = lambda name, k: F.col(f"_{name}_max") if qs[k] >= 1 - slack else F.col(f"_{name}_at")[m + k]
+    found = []
+    for name in names:
+        entry = lambda k: F.struct(F.lit(name).alias("_x"), F.lit(k).alias("_k"), F.col(name).alias("_v"))  # noqa: B023, E731
+        found += [F.when(few(name) & F.col(name).isNotNull(), entry(-1)), *[F.when(~few(name) & (F.col(name) >= low(name, k)) & (F.col(name) <= high(name, k)), entry(k)) for k in range(m)]]
+    inside = met.select(*keys, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_e")).groupBy(*keys, "_e._x", "_e._k", "_e._v").agg(F.count(F.lit(1)).alias("_c"))
+    below = met.groupBy(*keys).agg(*[F.count_if(~few(name) & (F.col(name) < low(name, k))).alias(f"_{name}_{k}") for name in names for k in range(m)])
+    order = Window.partitionBy(*keys, "_x", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_upto", F.sum("_c").over(order))
+    base = brackets.join(below.withColumnsRenamed({k: f"_of_{k}" for k in keys}), [brackets[k].eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left").drop(*[f"_of_{k}" for k in keys]) if keys else brackets.crossJoin(below)
+    flat = base.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), F.col(f"{name}_n").alias("_n"), F.array(*[F.col(f"_{name}_{k}") for k in range(m)]).alias("_below")) for name in names])).alias("_b")).select("*", "_b.*").drop("_b")
+    both = ranked.join(flat, [ranked[k].eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [ranked["_x"] == F.col("_name")])
+    picked = []
+    for k, q in enumerate(qs):
+        own = F.when(F.col("_k").isin(-1, k), F.col("_v"))
+        upto = F.col("_upto") + F.when(F.col("_k") == k, F.col("_below")[k]).otherwise(0)
+        at = q * (F.col("_n") - 1)
+        picked += [F.min(F.when(upto > F.floor(at), own)).alias(f"_low{k}"), F.min(F.when(upto > F.ceil(at), own)).alias(f"_high{k}"), F.first(at - F.floor(at)).alias(f"_part{k}")]
+    each = both.groupBy(*keys, "_x").agg(*picked)
+    value = lambda k: F.when(F.col(f"_low{k}") == F.col(f"_high{k}"), F.col(f"_low{k}")).otherwise(F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * F.col(f"_part{k}"))
+    wide = each.select(*keys, "_x", F.array(*[value(k) for k in range(m)]).alias("_a")).groupBy(*keys).pivot("_x", names).agg(F.first("_a"))
+    out = brackets.select(*keys, *[f"{name}_n" for name in names])
+    wide = wide.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    return (out.join(wide, [out[k].eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left") if keys else out.crossJoin(wide)).drop(*[f"_of_{k}" for k in keys])
+
+
+def joined_groups(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Two summaries of the same groups side by side; null keys are keys."""
+    b = b.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    return a.join(b, [a[k].eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])

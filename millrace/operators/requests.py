@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import percentile, percentiles, sample_std
+from millrace.functions.stats import exact_percentiles, joined_groups, sample_std
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -26,18 +26,20 @@ def counts() -> list[Column]:
     return [n.alias("offered"), (n - F.count_if("shed")).alias("admitted"), failed.alias("failed"), *own]
 
 
-def quantiles(name: str, value: Column) -> list[Column]:
-    """V3: exact percentiles, 0 where there is no value."""
-    return [F.coalesce(x, F.lit(0.0)).alias(f"{name}_{p}") for p, x in zip(QUANTILES, percentiles(value, list(QUANTILES.values())))]
+def with_quantiles(out: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column], qs: dict[str, float] = QUANTILES) -> DataFrame:
+    """V3: a summary and the exact percentiles of some values of its groups' rows as name_p50 and so on, 0 where there is no value. Groups may be of any size."""
+    found = exact_percentiles(rows, keys, values, tuple(qs.values()))
+    cols = [F.coalesce(F.col(name)[k], F.lit(0.0)).alias(f"{name}_{p}") for name in values for k, p in enumerate(qs)]
+    return joined_groups(out, found.select(*keys, *cols), keys)
 
 
-def latencies() -> list[Column]:
+def latencies() -> dict[str, Column]:
     """V4: first-token times of completed rows where positive, whole times of completed rows, waits of all rows where positive."""
-    return [
-        *quantiles("ttft", F.when(F.col("completed") & (F.col("ttft_ms") > 0), F.col("ttft_ms"))),
-        *quantiles("e2e", F.when(F.col("completed"), F.col("e2e_latency_ms"))),
-        *quantiles("wait", F.when(F.col("queue_wait_ms") > 0, F.col("queue_wait_ms"))),
-    ]
+    return {
+        "ttft": F.when(F.col("completed") & (F.col("ttft_ms") > 0), F.col("ttft_ms")),
+        "e2e": F.when(F.col("completed"), F.col("e2e_latency_ms")),
+        "wait": F.when(F.col("queue_wait_ms") > 0, F.col("queue_wait_ms")),
+    }
 
 
 def rates(e2e_slo_ms: float = 2500.0, ttft_slo_ms: float = 250.0, window_s: float | None = None) -> list[Column]:
@@ -54,9 +56,11 @@ def rates(e2e_slo_ms: float = 2500.0, ttft_slo_ms: float = 250.0, window_s: floa
     ]
 
 
-def summary(df: DataFrame, keys: list[str], e2e_slo_ms: float = 2500.0, ttft_slo_ms: float = 250.0, window_s: float | None = None) -> DataFrame:
-    """V1-V7 for each key, V16 by mode. Percentiles are exact and keep a count by distinct value for each group; digests do the same with bounded memory."""
-    return classified(df).groupBy(*keys).agg(*counts(), *latencies(), *rates(e2e_slo_ms, ttft_slo_ms, window_s))
+def summary(df: DataFrame, keys: list[str], e2e_slo_ms: float = 2500.0, ttft_slo_ms: float = 250.0, window_s: float | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """V1-V7 for each key, V16 by mode, with exact percentiles of latencies() and of `more`: tpot, jitter and lag, say, where the rows have them. df is read twice, so a costly one should be a table."""
+    rows = classified(df)
+    out = rows.groupBy(*keys).agg(*counts(), *rates(e2e_slo_ms, ttft_slo_ms, window_s))
+    return with_quantiles(out, rows, keys, latencies() | (more or {}))
 
 
 def token_times(events: DataFrame) -> DataFrame:
@@ -93,10 +97,9 @@ def terminal_status(events: DataFrame) -> DataFrame:
 def gateway_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """completed = admitted, answered and not hung up; percentiles of theirs, and tokens."""
     ok = F.col("admitted") & (F.col("status_code") == 200) & ~F.coalesce("client_disconnected", F.lit(False))
-    own = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
-    x, y = F.when(ok & (F.col("ttft_ms") > 0), F.col("ttft_ms")), F.when(ok, F.col("e2e_latency_ms"))
-    cols = [F.coalesce(c, F.lit(0.0)).alias(f"{n}_{p}") for n, v in (("ttft", x), ("e2e", y)) for p, c in zip(own, percentiles(v, list(own.values())))]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("completed"), F.count_if(~F.col("admitted")).alias("shed"), *cols, F.coalesce(F.sum(F.when(ok, F.col("completion_tokens"))), F.lit(0)).alias("tokens"))
+    values = {"ttft": F.when(ok & (F.col("ttft_ms") > 0), F.col("ttft_ms")), "e2e": F.when(ok, F.col("e2e_latency_ms"))}
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("completed"), F.count_if(~F.col("admitted")).alias("shed"), F.coalesce(F.sum(F.when(ok, F.col("completion_tokens"))), F.lit(0)).alias("tokens"))
+    return with_quantiles(out, df, keys, values, {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 def across_runs(runs: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -123,7 +126,8 @@ def phases(df: DataFrame, early_s: float, steady_s: float) -> Column:
 
 def forwarding_delta(df: DataFrame, keys: list[str], mode: str, direct: str, forwarded: str, value: str) -> DataFrame:
     """Median of one mode less that of another."""
-    p = df.groupBy(*keys).agg(percentile(F.when(F.col(mode) == direct, F.col(value)), 0.5).alias("direct_p50"), percentile(F.when(F.col(mode) == forwarded, F.col(value)), 0.5).alias("forwarded_p50"))
+    of = lambda name: F.when(F.col(mode) == name, F.col(value))
+    p = exact_percentiles(df, keys, {"direct": of(direct), "forwarded": of(forwarded)}, (0.5,)).select(*keys, F.col("direct")[0].alias("direct_p50"), F.col("forwarded")[0].alias("forwarded_p50"))
     return p.withColumn("delta", F.col("forwarded_p50") - F.col("direct_p50"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.stats import exact_percentiles
 from millrace.operators import admission, arrivals, policies
 from millrace.operators import requests as V
 from millrace.plans import adapters as A
@@ -69,11 +70,9 @@ def v18_unbalanced(spark: SparkSession, d: str) -> DataFrame:
 @query("v3_selected", f"{_BASE} select mode, count(*) as n, round(quantile_cont(e2e_latency_ms, 0.5), 6) as p50, round(quantile_cont(e2e_latency_ms, 0.9), 6) as p90, round(quantile_cont(e2e_latency_ms, 0.95), 6) as p95, round(quantile_cont(e2e_latency_ms, 0.99), 6) as p99 from flags where completed group by mode")
 def v3_selected(spark: SparkSession, d: str) -> DataFrame:
     """V3 for groups of any size."""
-    from millrace.functions.stats import selected_percentiles
-
     rows = V.classified(A.requests(spark, d, "e2e_latency_ms", "status_code", "stream_status")).where("completed")
-    out = selected_percentiles(rows, ["mode"], "e2e_latency_ms", tuple(V.QUANTILES.values()))
-    return r6(out.select("mode", "n", *[F.col("values")[k].alias(p) for k, p in enumerate(V.QUANTILES)]))
+    out = exact_percentiles(rows, ["mode"], {"x": F.col("e2e_latency_ms")}, tuple(V.QUANTILES.values()))
+    return r6(out.select("mode", F.col("x_n").alias("n"), *[F.col("x")[k].alias(p) for k, p in enumerate(V.QUANTILES)]))
 
 
 @query("v5_run_rates", f"{_BASE} select run_id, {_RATES} from flags group by run_id")
@@ -85,8 +84,8 @@ def v5_run_rates(spark: SparkSession, d: str) -> DataFrame:
 @query("v8_gaps", "select request_id, round(coalesce(list_avg(inter_event_latencies_ms), 0), 6) as tpot_ms, round(coalesce(list_stddev_pop(inter_event_latencies_ms), 0), 6) as jitter_ms from (select request_id, any_value(inter_event_latencies_ms) as inter_event_latencies_ms from gateway_requests group by request_id)")
 def v8_gaps(spark: SparkSession, d: str) -> DataFrame:
     """V8 from arrays."""
-    rows = table(spark, d, "gateway_requests").select("request_id", "inter_event_latencies_ms").distinct()
-    return r6(V.gap_stats(rows, "inter_event_latencies_ms").select("request_id", "tpot_ms", "jitter_ms"))
+    rows = V.gap_stats(table(spark, d, "gateway_requests"), "inter_event_latencies_ms").select("request_id", "tpot_ms", "jitter_ms")
+    return r6(rows.groupBy("request_id").agg(F.any_value("tpot_ms").alias("tpot_ms"), F.any_value("jitter_ms").alias("jitter_ms")))  # after the statistics, so two numbers are sent in place of an array
 
 
 _EV = "e as (select user_id as request_id, epoch(ts) as at_s, event_type <> 'signup' as content from events), s as (select request_id, min(at_s) as start_s, max(at_s) as last from e group by 1), g as (select request_id, at_s, at_s - lag(at_s) over (partition by request_id order by at_s) as gap from e where content), a as (select request_id, min(at_s) as first, coalesce(avg(gap), 0) as tpot_s, coalesce(stddev_pop(gap), 0) * 1000 as jitter_ms, count(*) as n_events from g group by 1)"
@@ -131,7 +130,7 @@ def v11_gateway(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v19_capacity", f"{_BASE}, a as (select mode, target_rps, count_if(completed and e2e_latency_ms <= 2500) / count(*) as att from flags group by all) select mode, coalesce(max_by(target_rps, target_rps) filter (where att >= 0.85), min(target_rps)) as capacity, min(target_rps) filter (where att < 0.85) as first_failure from a group by mode")
 def v19_capacity(spark: SparkSession, d: str) -> DataFrame:
-    sweep = V.summary(A.requests(spark, d), ["mode", "target_rps"])
+    sweep = V.classified(A.requests(spark, d)).groupBy("mode", "target_rps").agg(*V.rates())
     return V.capacity(sweep, ["mode"], "target_rps", "target_rps", "attainment", 0.85)
 
 

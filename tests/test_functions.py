@@ -104,16 +104,33 @@ def test_accuracy(spark):
     assert [r[0] for r in df.select(numeric.accuracy(F.col("c"), F.col("t"))).collect()] == [True, False, False, False]
 
 
-def test_selected_percentiles(spark):
+@pytest.mark.parametrize("small,accuracy", [(100_000, 10_000), (10, 10_000), (10, 200)])
+def test_exact_percentiles(spark, small, accuracy):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    data = [("a", float(x)) for x in rng.lognormal(0, 3, 4000)] + [("a", 1e12), ("a", -5.0)] + [("b", 7.0)] * 500 + [("b", 8.0)] + [("c", 1.5)] + [("d", None), ("d", float("nan"))] + [(None, 2.0), (None, 4.0)]
+    inf = float("inf")
+    x = [*rng.lognormal(0, 3, 20_000), 1e12, -5.0]
+    data = [("a", float(v)) for v in x] + [("b", 7.0)] * 500 + [("b", 8.0)] + [("c", 1.5)] + [("d", None), ("d", float("nan"))] + [(None, 2.0), (None, 4.0)] + [("e", inf)] * 3 + [("e", float(k)) for k in range(200)] + [("e", -inf)]
     df = spark.createDataFrame(data, "k string, x double")
-    for small in (1, 50, 100_000):
-        got = {r.k: r for r in stats.selected_percentiles(df.where("k is not null"), ["k"], "x", (0.0, 0.5, 0.9, 0.99, 1.0), parts=16, small=small).collect()}
-        assert set(got) == {"a", "b", "c"}
-        for k, r in got.items():
-            v = [x for q, x in data if q == k]
-            assert r.n == len(v) and np.allclose(r["values"], np.quantile(v, (0.0, 0.5, 0.9, 0.99, 1.0)), rtol=1e-12)
-    assert stats.selected_percentiles(df.where("false"), ["k"], "x", (0.5,)).count() == 0
+    qs = (0.0, 0.5, 0.9, 0.99, 1.0)
+    got = {r.k: r for r in stats.exact_percentiles(df, ["k"], {"v": F.col("x"), "twice": F.col("x") * 2}, qs, small, accuracy).collect()}
+    assert set(got) == {"a", "b", "c", "d", "e", None} and got["d"].v_n == 0 and got["d"].v is None
+    for k in ("a", "b", "c", "e", None):
+        own = [v for key, v in data if key == k]
+        assert got[k].v_n == len(own) and np.allclose(got[k].v, quantiles_of(own, qs), rtol=1e-12)
+        assert np.allclose(got[k].twice, [2 * v for v in got[k].v])
+    whole = stats.exact_percentiles(df, [], {"v": F.col("x")}, (0.5,), small, accuracy).first()
+    assert whole.v_n == len(data) - 2
+    assert stats.exact_percentiles(df.where("false"), ["k"], {"v": F.col("x")}, (0.5,)).count() == 0
+
+
+def quantiles_of(values, qs):
+    """Linear between ranks, with infinite values."""
+    v = sorted(values)
+    out = []
+    for q in qs:
+        at = q * (len(v) - 1)
+        low, high = v[math.floor(at)], v[math.ceil(at)]
+        out.append(low if low == high else low + (high - low) * (at - math.floor(at)))
+    return out
