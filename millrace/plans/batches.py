@@ -37,10 +37,21 @@ def b_random_padding(spark: SparkSession, d: str) -> DataFrame:
     return B.expected_random_padding(A.lengths(spark, d), "len", 4).select(F.round("random", 4).alias("random"))
 
 
-@query("b_packing_metrics")
+_SHARE = "coalesce(greatest(({0} - useful) / {0} * 100, 0), 0)"
+
+
+@query(
+    "b_packing_metrics",
+    f"""{_RANDOM}, e as (select 4 * m4 * (n // 4) + case n % 4 when 3 then 3 * m3 when 2 then 2 * m2 when 1 then m1 else 0 end as random from b),
+k as (select sum(m * c)::double as packed, sum(u)::double as useful from (select max(len) as m, count(*) as c, sum(len) as u from (select len, row_number() over (order by len, ordinal) - 1 as k from lengths) group by k // 4)),
+w as (select *, {_SHARE.format('packed')} as packed_waste, {_SHARE.format('random')} as random_waste from k, e)
+select useful::bigint as useful, packed::bigint as packed, round(random, 4) as random, round(packed_waste, 4) as packed_waste, round(random_waste, 4) as random_waste, round(greatest(random_waste - packed_waste, 0), 4) as waste_reduction, round(greatest((random - packed) / random * 100, 0), 4) as tokens_saved_pct,
+  round(greatest((random / packed - 1) * 100, 0), 4) as density_gain_pct, 'exact_expectation' as baseline from w""",
+)
 def b_packing_metrics(spark: SparkSession, d: str) -> DataFrame:
     """B5."""
-    return r6(B.packing_metrics(A.lengths(spark, d), "len", 4))
+    out = B.packing_metrics(A.lengths(spark, d), "len", 4)
+    return out.withColumns({c: F.round(c, 4) + 0.0 for c, t in out.dtypes if t == "double"})
 
 
 @query("b_translated", "select b::int as batch, a::int as accumulation, (case when b % 2 = 0 then b // 2 else b end)::int as new_batch, (case when b % 2 = 0 then a * 2 else a end)::int as new_accumulation from range(1, 17) t(b), range(1, 3) s(a)")
@@ -149,7 +160,22 @@ def memory_runs(spark: SparkSession) -> DataFrame:
     return shapes.join(F.broadcast(K.models(spark))).withColumn("vram_gb", F.lit(80.0))
 
 
-@query("k_breakdown")
+_MODELS = ", ".join(f"({', '.join('null' if x is None else repr(x) for x in m)})" for m in K.MODELS)
+_ORDER = ("optimizer_states", "activations", "weights", "gradients", "communication")
+
+
+@query(
+    "k_breakdown",
+    f"""with m(model, layers, hidden, heads, kv_heads, vocab, params, experts, experts_used) as (values {_MODELS}), s as (select * from (values (1), (8)) a(batch), (values (512), (4096)) b(seq), (values ('adamw'), ('adamw8bit')) c(optimizer), (values ('none', 1), ('ddp', 4), ('zero3', 8), ('tensor_parallel', 2)) e(strategy, world)),
+x as (select *, 80.0::double as vram_gb, (batch * seq)::double as t, case when strategy = 'zero3' and world > 1 then world else 1 end as shared from m, s),
+f as (select *, 10 + 2 * kv_heads::double / heads + case when experts is not null then least(t * experts_used, ceil(t * experts_used / experts * 1.25::double)) / t * 4 else 0 end as factor from x),
+g as (select *, floor(params * 2.0::double / shared) / 1073741824 as weights_gb, floor(params * 2.0::double / shared) / 1073741824 as gradients_gb, floor(params * (case when optimizer = 'adamw8bit' then 4.0::double else 12.0::double end) / shared) / 1073741824 as optimizer_states_gb, floor(layers * t * hidden * factor * 2) / 1073741824 as activations_gb,
+  case when world <= 1 then 0 else 2 * 4194304 * 8 * least(2, world - 1) + case strategy when 'zero3' then 1000000000 when 'tensor_parallel' then 2 * t * hidden * 2 when 'ddp' then 26214400 else 0 end end::double / 1073741824 as communication_gb from f),
+h as (select *, weights_gb + gradients_gb + optimizer_states_gb + activations_gb + communication_gb as total_gb from g), i as (select *, vram_gb - total_gb as headroom_gb, total_gb / vram_gb * 100 as utilisation, 0.5 * least(100, total_gb / vram_gb * 100) + 0.5 * 80 as score, greatest({', '.join(f'{n}_gb' for n in _ORDER)}) as most from h)
+select batch, seq, optimizer, strategy, world, model, layers, hidden, heads, kv_heads, vocab, params, experts, experts_used, vram_gb, {', '.join(f'round({n}_gb, 6) as {n}_gb' for n in _ORDER)}, round(total_gb, 6) as total_gb, round(headroom_gb, 6) as headroom_gb, total_gb <= vram_gb as fits, round(utilisation, 6) as utilisation, 68.0::double as usable,
+  case most {' '.join(f"when {n}_gb then '{n}'" for n in _ORDER)} end as largest, round(score, 6) as score, case when least(100, utilisation) < 60 and headroom_gb >= 6 then greatest(batch + 4, floor(batch * 85.0::double / greatest(least(100, utilisation), 10)))::bigint end as larger_batch, round((1 - 0.99::double ** 100) * 100, 6) as risk,
+  case when score >= 80 then 'A' when score >= 65 then 'B' when score >= 50 then 'C' else 'D' end as grade from i""",
+)
 def k_breakdown(spark: SparkSession, d: str) -> DataFrame:
     """K3-K8 over all architectures and some shapes."""
     df = K.breakdown(memory_runs(spark))
@@ -157,10 +183,10 @@ def k_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return r6(df.withColumn("grade", K.grade(F.col("score"))).drop("preference"))
 
 
-@query("k_activations", "with m(model, layers, hidden, heads, kv) as (values ('qwen/qwen2.5-1.5b', 28, 1536, 12, 2), ('qwen/qwen2.5-7b', 28, 3584, 28, 4), ('meta-llama/llama-3-8b', 32, 4096, 32, 8), ('meta-llama/llama-3-70b', 80, 8192, 64, 8)) select model, b::int as batch, floor(layers * b::double * 2048 * hidden * (10 + 2 * kv::double / heads) * 2)::bigint as bytes from m, range(1, 9) t(b)")
+@query("k_activations", f"with m(model, layers, hidden, heads, kv, vocab, params, experts, used) as (values {_MODELS}) select model, b::int as batch, floor(layers * b::double * 2048 * hidden * (10 + 2 * kv::double / heads + case when experts is null then 0 else least(b * 2048 * used, ceil(b * 2048 * used::double / experts * 1.25::double)) / (b * 2048)::double * 4 end) * 2)::bigint as bytes from m, range(1, 9) t(b)")
 def k_activations(spark: SparkSession, d: str) -> DataFrame:
-    """K3 without experts."""
-    rows = K.models(spark).where("experts is null").withColumn("batch", F.explode(F.sequence(F.lit(1), F.lit(8)))).withColumn("seq", F.lit(2048))
+    """K3, with and without experts."""
+    rows = K.models(spark).withColumn("batch", F.explode(F.sequence(F.lit(1), F.lit(8)))).withColumn("seq", F.lit(2048))
     return rows.select("model", "batch", K.activation_bytes(rows).cast("long").alias("bytes"))
 
 

@@ -60,11 +60,15 @@ def p_lengths(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "p_anomalies",
     f"""with {FEATURES} select count(*) as total, count_if(not valid) as invalid, count_if(valid and empty) as empty, count_if(valid and not empty and truncated) as truncated, count_if(valid and raw_len > 256) as over_length,
-  0::bigint as misaligned, count_if(valid and not empty) as valid, count_if(valid) - count(distinct case when valid then lower(p) end) as duplicates from feats""",
+  count_if(valid and (ordinal % 7 = 3 or ordinal % 7 = 5 and not empty and target_len > 0)) as misaligned, count_if(valid and not empty) as valid, count_if(valid) - count(distinct case when valid then lower(p) end) as duplicates from feats""",
 )
 def p_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    """P7-P9."""
-    return sft.anomaly_counts(sft.featurised(sft.extracted(sft_rows(spark, d)), 256), 256)
+    """Labels of lengths' places, of which every seventh row teaches its prompt and another masks its answer."""
+    rows = sft.featurised(sft.extracted(sft_rows(spark, d)), 256)
+    k, hidden = F.col("ordinal") % 7, F.array_repeat(F.lit(sft.IGNORED), F.col("prompt_len"))
+    answer = F.array_repeat(F.when(k == 5, sft.IGNORED).otherwise(1), F.col("target_len"))
+    labels = F.transform(F.concat(hidden, answer), lambda x, i: F.when((k == 3) & (i == 0), 5).otherwise(x))
+    return sft.anomaly_counts(rows.withColumn("misaligned", sft.misaligned(labels, F.col("prompt_len"), F.col("empty"))), 256)
 
 
 @query(
@@ -101,10 +105,20 @@ def p_drift(spark: SparkSession, d: str) -> DataFrame:
     return r6(ks_statistic(rows.where("ordinal % 2 = 0").select("v"), rows.where("ordinal % 2 = 1").select("v")))
 
 
-@query("p_report")
+_WARNED = ", ".join(f"case when {c} > 0 then '{c}' end" for c in ("invalid", "empty", "truncated", "duplicates", "over_length"))
+
+
+@query(
+    "p_report",
+    f"""with {FEATURES}, o as (select total_len, row_number() over (order by ordinal) - 1 as k from feats where valid), b as (select max(total_len) * count(*) as padded, sum(total_len) as useful from o group by k // 4),
+w as (select sum(useful)::bigint as useful, sum(padded)::bigint as padded, round((sum(padded) - sum(useful)) / sum(padded) * 100, 6) as waste_pct from b),
+c as (select count(*) as total, count_if(not valid) as invalid, count_if(valid and empty) as empty, count_if(valid and not empty and truncated) as truncated, count_if(valid and raw_len > 256) as over_length, 0 as misaligned, count_if(valid and not empty) as valid, count_if(valid) - count(distinct case when valid then lower(p) end) as duplicates from feats),
+s as (select count(*) as n, round(avg(total_len), 6) as mean, round(stddev_pop(total_len), 6) as std, round(stddev_pop(total_len) / avg(total_len), 6) as cv, min(total_len) as shortest, max(total_len) as longest, round(quantile_cont(total_len, 0.95), 6) as p95, round(quantile_cont(total_len, 0.99), 6) as p99, round(avg(prompt_len), 6) as avg_prompt, round(avg(target_len), 6) as avg_target from feats where valid)
+select *, array_to_string(list_filter([{_WARNED}], lambda x: x is not null), ',') as warnings, case when invalid + empty + truncated > 0 then 'Validation Alerts Detected' when duplicates + over_length > 0 then 'Optimization Advisories' else 'Clean Execution' end as gate from c, s, w""",
+)
 def p_report(spark: SparkSession, d: str) -> DataFrame:
     """P7-P14 as one row."""
-    return sft.report(sft_rows(spark, d), 256)
+    return r6(sft.report(sft_rows(spark, d), 256).withColumn("warnings", F.array_join("warnings", ",")))
 
 
 @query("p_labels")
@@ -118,7 +132,7 @@ def p_labels(spark: SparkSession, d: str) -> DataFrame:
     return done.select("ordinal", "prompt_len", "wrong", F.size("padded_ids").alias("width"), "useful", "padded", F.md5(F.array_join("padded_labels", " ")).alias("labels"), F.md5(F.array_join("mask", "")).alias("mask"))
 
 
-@query("p_batch_faults")
+@query("p_batch_faults", "select ['clean', 'nothing supervised', 'prompt supervised', 'padding supervised'][example_id % 4 + 1] as detector, count(*) as right, count(*) as cases from sft_examples where prompt is not null group by 1")
 def p_batch_faults(spark: SparkSession, d: str) -> DataFrame:
     """Every fourth row is given a fault that the checks must find."""
     rows = sft_rows(spark, d).where("prompt is not null").select("ordinal", F.lit([1, 5, 6, 7, 2, 0, 0]).alias("ids"), F.lit(3).alias("prompt_len"), F.lit(5).alias("used"))
@@ -321,11 +335,14 @@ def d_trainer_rows(spark: SparkSession, d: str) -> DataFrame:
     return stacked.select("row_id", "side", F.size("ids").alias("width"), F.md5(F.array_join("ids", " ")).alias("ids"), F.md5(F.array_join("loss_mask", "")).alias("loss_mask"))
 
 
-@query("d_loader_audit", "select 0::bigint as token_mismatch, count_if(length(prompt) > 255) as no_end, 0::bigint as over_budget, count(*) as rows from clipped_completions where prompt is not null")
+@query("d_loader_audit", "select count_if(row_id % 5 = 0 or row_id % 4 = 0 and length(prompt) > 255) as token_mismatch, count_if(length(prompt) > 255 and row_id % 4 <> 0) as no_end, count_if(length(prompt) > 255 and row_id % 4 = 0) as over_budget, count(*) as rows from clipped_completions where prompt is not null")
 def d_loader_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts with an end token, cut to a budget of 256 places."""
-    ids = sft.right_truncated(F.concat(F.transform(F.split("prompt", ""), F.ascii), F.array(F.lit(0))), 256)
-    rows = table(spark, d, "clipped_completions").where("prompt is not null").select(ids.alias("ids"), ids.alias("approved_ids"))
+    """Prompts with an end token, cut to a budget of 256 places; every fifth row comes with another first token, every fourth uncut."""
+    whole = F.concat(F.transform(F.split("prompt", ""), F.ascii), F.array(F.lit(0)))
+    approved = sft.right_truncated(whole, 256)
+    came = F.when(F.col("row_id") % 4 == 0, whole).otherwise(approved)
+    changed = F.transform(came, lambda x, i: F.when((F.col("row_id") % 5 == 0) & (i == 0), -1).otherwise(x))
+    rows = table(spark, d, "clipped_completions").where("prompt is not null").select(changed.alias("ids"), approved.alias("approved_ids"))
     return dpo.loader_audit(rows, 0, 256)
 
 

@@ -81,7 +81,7 @@ def s13_metrics(spark: SparkSession, d: str) -> DataFrame:
     return r6(rows.select("event_id", "metric", F.col("labels")["pool"].alias("pool"), "number"))
 
 
-@query("s18_markdown")
+@query("s18_markdown", f"with {A.REQUESTS} select '| ' || mode || ' | ' || format('{{:.2f}} ± {{:.2f}}', avg(e2e_latency_ms), stddev_samp(e2e_latency_ms)) || ' |' as line from requests group by mode")
 def s18_markdown(spark: SparkSession, d: str) -> DataFrame:
     """S17 and S18."""
     rows = A.requests(spark, d, "e2e_latency_ms").groupBy("mode").agg(F.avg("e2e_latency_ms").alias("m"), F.stddev_samp("e2e_latency_ms").alias("s"))

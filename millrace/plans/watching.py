@@ -36,7 +36,14 @@ def m3_diversity(spark: SparkSession, d: str) -> DataFrame:
     return r6(M.diversity(rows, "g", "completion").select("group", "total", "distinct2", "ratio", "collapsed"))
 
 
-@query("m4_governor")
+@query(
+    "m4_governor",
+    f"""with recursive {A.STEPS}, o as (select run, step, round(format_reward, 4) as x, row_number() over (partition by run order by step) as k from steps),
+r as (select run, k, step, case when x < 0.2 then 1 else 0 end as low, 0 as remaining, false as active, 'nominal' as action from o where k = 1
+  union all select o.run, o.k, o.step, case when o.x < 0.2 then r.low + 1 else 0 end, case when r.active then r.remaining - 1 when o.x < 0.2 and r.low >= 2 then 6 else r.remaining end,
+    case when r.active then o.x < 0.21 and r.remaining - 1 > 0 else o.x < 0.2 and r.low >= 2 end, case when r.active and o.x < 0.21 and r.remaining - 1 > 0 then 'annealing' when r.active then 'recovered' when o.x < 0.2 and r.low >= 2 then 'started' else 'nominal' end from r join o on o.run = r.run and o.k = r.k + 1)
+select run, step, active, case when active then 1.15::double else 0.7::double end as temperature, case when active then 0.05::double else 0.0::double end as bonus, low as low_steps, action from r""",
+)
 def m4_governor(spark: SparkSession, d: str) -> DataFrame:
     return M.governed(A.steps(spark, d).select("run", "step", F.round("format_reward", 4).alias("ratio")), "run", "step", "ratio", after=3, recovered=0.21, duration=6)
 
@@ -129,7 +136,13 @@ def m12_quantile(spark: SparkSession, d: str) -> DataFrame:
     return r6(M.histogram_quantile(long, ["mode"], 0.95))
 
 
-@query("m13_replicas")
+@query(
+    "m13_replicas",
+    """with recursive p as (select (user_id % 4)::int as pool, floor(epoch(ts) / 3600) * 3600.0::double as t, count(*)::double as waiting from events group by all), o as (select *, least(3, greatest(1, ceil(waiting / 3)))::int as want, row_number() over (partition by pool order by t) as k from p),
+r as (select pool, k, t, waiting, want as had, null::double as since from o where k = 1
+  union all select o.pool, o.k, o.t, o.waiting, case when o.want >= r.had or o.t - coalesce(r.since, o.t) >= 7200 then o.want else r.had end, case when o.want >= r.had or o.t - coalesce(r.since, o.t) >= 7200 then null else coalesce(r.since, o.t) end from r join o on o.pool = r.pool and o.k = r.k + 1)
+select pool, t as \"at\", waiting, had as replicas from r""",
+)
 def m13_replicas(spark: SparkSession, d: str) -> DataFrame:
     """Waiting requests by poll, from the events of each class."""
     e = table(spark, d, "events").select((F.col("user_id") % 4).cast("int").alias("pool"), (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600) * 3600.0).alias("at"))

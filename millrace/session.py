@@ -19,6 +19,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -63,20 +64,31 @@ def send_package(spark: SparkSession) -> None:
     out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(packed.getvalue()))
     out.close()
+    _removed_at_end(spark, target)
     sc.addPyFile(target)
 
 
 def with_shared_folder(spark: SparkSession) -> SparkSession:
-    """Make checkpoint() usable: the folder that the cluster names in spark.checkpoint.dir, or, only where that is unset, a temporary one."""
+    """Make checkpoint() usable: the folder that the cluster names in spark.checkpoint.dir, or, only where that is unset and the session is local, a temporary one. A cluster without a shared folder is refused with RuntimeError."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = None if sc.getConf().get("spark.checkpoint.dir") else tempfile.mkdtemp(prefix="millrace-checkpoint-")
-        if own:
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own or sc.getConf().get("spark.checkpoint.dir"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return spark
 
 
+def _removed_at_end(spark: SparkSession, path: str) -> None:
+    """Let the session's end remove what it put into the shared folder."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation and no plan is run twice."""
     with_shared_folder(df.sparkSession)
@@ -84,9 +96,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), but as a compressed table, for rows that are many. It stays in the shared folder, like a checkpoint, until that is cleared."""
+    """Like cut(), but as a compressed table, for rows that are many. It stays in the shared folder until the session ends."""
     spark = with_shared_folder(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    _removed_at_end(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

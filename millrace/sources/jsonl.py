@@ -54,15 +54,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sft_rows(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Rows of an instruction file, and how many lines can't be read even after repair."""
-    df = parsed(read_lines(spark, path)).persist()
+    """Rows of an instruction file, and how many lines can't be read even after repair. Nothing is cached: that is for the caller to decide."""
+    df = parsed(read_lines(spark, path))
     bad = df.where("not valid").count()
     return df.where("valid").select("row.*"), bad
 
 
 def pair_rows(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """S3: rows of a preference file, sides as message lists or text in JSON; no repair."""
-    df = parsed(read_lines(spark, path), schema=PAIR, repair=False).persist()
+    df = parsed(read_lines(spark, path), schema=PAIR, repair=False)
     return df.where("valid").select("row.*"), df.where("not valid").count()
 
 

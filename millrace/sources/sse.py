@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.sequential import folded
+
 
 def content_event(payload: Column) -> Column:
     """Whether an event carries text."""
     return F.coalesce(F.get_json_object(payload, "$.choices[0].delta.content") != "", F.lit(False))
 
 
+class EventBuffer:
+    """The tail of a stream that isn't a whole event yet. Chunks come in order of arrival; each character is looked at a fixed number of times."""
+
+    def __init__(self) -> None:
+        self.tail: list[str] = []
+        self.event = 0
+
+    def feed(self, chunk: str) -> list[tuple[int, str]]:
+        """(event, payload) of the events that a chunk ends."""
+        text, out = chunk.replace("\r", ""), []
+        if self.tail and text[:1] == "\n" and self.tail[-1].endswith("\n"):
+            self.tail[-1] = self.tail[-1][:-1]  # a blank line that is split over two chunks
+            text = "\n" + text
+        parts = text.split("\n\n")
+        for raw in parts[:-1]:
+            whole = "".join([*self.tail, raw])
+            self.tail = []
+            data = [s[5:].removeprefix(" ") for s in whole.split("\n") if s.startswith("data:")]
+            if data:
+                out.append((self.event, "\n".join(data)))
+            self.event += 1
+        if parts[-1]:
+            self.tail.append(parts[-1])
+        return out
+
+
 def events(chunks: DataFrame, key: str = "request_id", seq: str = "seq", text: str = "chunk", at: str = "at_s") -> DataFrame:
     """Key, event, payload, at_s, done, content of a stream's chunks.
 
     An event ends at a blank line, also where that is split over chunks, and comes at the time of the chunk that ends it; its data lines are joined. A rest without
-    a blank line is no event. Lines may end with CR LF. A stream is put together within its own key only; null keys and null chunks are left out."""
-    rows = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(at).alias("t"), F.col(text).alias("c")))).alias("p"))
-    whole = F.concat_ws("", F.transform("p", lambda x: x["c"]))
-    # where each chunk ends in the text as it came; CR is left out of both sides
-    rows = rows.withColumns({"w": F.translate(whole, "\r", ""), "ends": F.aggregate("p", F.array().cast("array<struct<e:int,t:double>>"), lambda acc, x: F.concat(acc, F.array(F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) + F.length(F.translate(x["c"], "\r", ""))).alias("e"), x["t"].cast("double").alias("t")))))})
-    parts = rows.withColumn("parts", F.split("w", "\n\n"))
-    cut = parts.select(key, "ends", F.posexplode(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0)))).alias("event", "raw"))
-    upto = F.sum(F.length("raw") + 2).over(Window.partitionBy(key).orderBy("event"))
-    cut = cut.withColumn("upto", upto).withColumn("at_s", F.get(F.filter("ends", lambda x: x["e"] >= F.col("upto")), F.lit(0))["t"])
-    data = F.transform(F.filter(F.split("raw", "\n"), lambda s: s.startswith("data:")), lambda s: F.regexp_replace(s, "^data: ?", ""))
-    out = cut.withColumn("data", data).where(F.size("data") > 0).select(key, "event", F.array_join("data", "\n").alias("payload"), "at_s")
+    a blank line is no event. Lines may end with CR LF. A stream passes its task in order and only its unfinished event is kept, so it may be of any length; null keys and null chunks are left out."""
+    rows = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, seq, text, F.col(at).cast("double").alias(at))
+    kind = dict(rows.dtypes)[key]
+    out = folded(rows, [key], [seq], EventBuffer, lambda buffer, row: [(*e, row[at]) for e in buffer.feed(row[text])], f"{key} {kind}, event int, payload string, at_s double")
     return out.withColumns({"done": F.trim("payload") == "[DONE]", "content": content_event(F.col("payload"))})

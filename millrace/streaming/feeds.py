@@ -15,6 +15,7 @@ from millrace.functions.frames import plain
 from millrace.operators.admission import Gateway
 from millrace.operators.monitors import log_faults
 from millrace.operators.requests import classified
+from millrace.sources.sse import EventBuffer
 
 
 def event_time(seconds: Column) -> Column:
@@ -43,31 +44,25 @@ def fault_alerts(lines: DataFrame, line: str = "value") -> DataFrame:
     return log_faults(lines, line).where("fatal")
 
 
-def window_rates(samples: DataFrame, keys: list[str], ts: str, value: str, window: str = "5 minutes", lateness: str = "10 minutes", limit: float | None = None) -> DataFrame:
-    """Keys, start, rate of a counter by window, as last less first value over the window's length; with a limit only windows above it. A restart within a window gives 0 at least."""
-    w = samples.withWatermark(ts, lateness).groupBy(F.window(ts, window), *keys).agg(F.min_by(value, ts).alias("a"), F.max_by(value, ts).alias("b"))
-    seconds = (F.unix_micros("window.end") - F.unix_micros("window.start")) / 1e6
-    out = w.select(*keys, F.col("window.start").alias("start"), (F.greatest(F.col("b") - F.col("a"), F.lit(0.0)) / seconds).alias("rate"))
+def window_rates(samples: DataFrame, keys: list[str], ts: str, value: str, window_s: int = 300, lateness: str = "10 minutes", limit: float | None = None) -> DataFrame:
+    """Keys, start, rate of a counter by tumbling window; with a limit only windows above it. Falls count as restarts and add nothing.
+
+    A sample goes to its own window and, as the value before, to the next one, so the step between two windows counts as in the batch form; a step over a whole empty window does not. A window's samples of a key are held until it closes."""
+    at = F.unix_micros(ts) / 1e6
+    own = F.floor(at / window_s)
+    each = samples.withWatermark(ts, lateness).where(F.col(value).isNotNull()).select(*keys, ts, F.named_struct(F.lit("t"), at, F.lit("v"), F.col(value).cast("double"), F.lit("w"), own).alias("s"), F.explode(F.array(F.lit(0), F.lit(1))).alias("next"))
+    # the next window's stand-in time lies within it, so that its watermark closes it
+    shifted = each.withColumn("at", F.col(ts) + F.make_dt_interval(secs=F.col("next") * window_s))
+    grouped = shifted.groupBy(F.window("at", f"{window_s} seconds"), *keys).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    start = F.unix_seconds("window.start")
+    steps = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.when(F.get("s", i)["w"] * window_s == start, F.greatest(F.lit(0.0), F.get("s", i)["v"] - F.get("s", i - 1)["v"])).otherwise(0.0))
+    up = F.when(F.size("s") > 1, F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+    out = grouped.where(F.exists("s", lambda x: x["w"] * window_s == start)).select(*keys, F.col("window.start").alias("start"), (up / window_s).alias("rate"))
     return out if limit is None else out.where(F.col("rate") > limit)
 
 
-class EventBuffer:
-    """The tail of a stream that isn't a whole event yet. Chunks come in order of arrival."""
-
-    def __init__(self) -> None:
-        self.tail, self.event, self.cr = "", 0, False
-
-    def feed(self, chunk: str) -> list[tuple[int, str, bool, bool]]:
-        """(event, payload, done, content) of the events that a chunk ends."""
-        parts = (self.tail + chunk.replace("\r", "")).split("\n\n")
-        self.tail, out = parts[-1], []
-        for raw in parts[:-1]:
-            data = [s[5:].removeprefix(" ") for s in raw.split("\n") if s.startswith("data:")]
-            if data:
-                payload = "\n".join(data)
-                out.append((self.event, payload, payload.strip() == "[DONE]", _has_content(payload)))
-            self.event += 1
-        return out
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 
 
 def _has_content(payload: str) -> bool:
@@ -77,32 +72,51 @@ def _has_content(payload: str) -> bool:
         return False
 
 
-def sse_events(chunks: DataFrame) -> DataFrame:
-    """request_id, event, payload, done, content of a stream of request_id, seq, chunk. A key's state is its tail only."""
+def sse_events(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """request_id, event, payload, done, content of a stream of request_id, seq, chunk. A key's state is its unfinished event; it is removed once the stream says that it is done, or, where idle_ms is given, after so long without a chunk."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = ["request_id", "event", "payload", "done", "content"]
+        if state.hasTimedOut:
+            state.remove()
+            yield plain(pd.DataFrame([], columns=names))
+            return
         buffer = pickle.loads(state.get[0]) if state.exists else EventBuffer()
-        out = []
+        out, over = [], False
         rows = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
         for chunk in rows["chunk"]:
-            out += [(key[0], *e) for e in buffer.feed(chunk or "")]
-        state.update((pickle.dumps(buffer),))
-        yield plain(pd.DataFrame(out, columns=["request_id", "event", "payload", "done", "content"]))
-
-    return chunks.groupBy("request_id").applyInPandasWithState(run, "request_id long, event long, payload string, done boolean, content boolean", "buffer binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def admitted(trace: DataFrame, key: str, mode: str = "bounded_queue", cap: int = 36, queue: int = 36, deadline_s: float = 0.25) -> DataFrame:
-    """A1 on a stream of key, request_id, at_s, service_s, in order of time from batch to batch. What still waits when the stream ends has no row; the state of a key is what runs and what waits."""
+            for event, payload in buffer.feed(chunk or ""):
+                over = payload.strip() == "[DONE]"
+                out.append((key[0], event, payload, over, _has_content(payload)))
+        if over and not buffer.tail:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pickle.dumps(buffer),))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        yield plain(pd.DataFrame(out, columns=names))
+
+    return chunks.groupBy("request_id").applyInPandasWithState(run, "request_id long, event long, payload string, done boolean, content boolean", "buffer binary", "append", _timeout(idle_ms))
+
+
+def admitted(trace: DataFrame, key: str, mode: str = "bounded_queue", cap: int = 36, queue: int = 36, deadline_s: float = 0.25, idle_ms: int | None = None) -> DataFrame:
+    """A1 on a stream of key, request_id, at_s, service_s, in order of time from batch to batch. What still waits when the stream ends has no row; the state of a key is what runs and what waits, and goes, where idle_ms is given, after so long without a request."""
     kind = dict(trace.dtypes)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield plain(pd.DataFrame([], columns=[key, "request_id", "outcome", "wait_s"]))
+            return
         gateway = pickle.loads(state.get[0]) if state.exists else Gateway(mode, cap, queue, deadline_s)
         out = []
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["at_s", "request_id"], kind="stable")
         for r in rows.itertuples():
             out += [(k[0], *x) for x in gateway.offer(r.at_s, max(0.0, r.service_s), (r.request_id,))]
         state.update((pickle.dumps(gateway),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield plain(pd.DataFrame(out, columns=[key, "request_id", "outcome", "wait_s"]))
 
-    return trace.where("at_s is not null").groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, request_id {kind['request_id']}, outcome string, wait_s double", "gateway binary", "append", GroupStateTimeout.NoTimeout)
+    return trace.where("at_s is not null").groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, request_id {kind['request_id']}, outcome string, wait_s double", "gateway binary", "append", _timeout(idle_ms))

@@ -59,16 +59,16 @@ def test_admission_stream_equals_batch(spark):
     assert len(done) >= 115 and all(done[r[1]] == r for r in rows(want) if r[1] in done)
 
 
-def test_window_rates(spark):
-    df = spark.createDataFrame([(f"2024-01-01 00:0{m}:00", "k", float(v)) for m, v in enumerate([0, 10, 40, 5])], "t string, k string, v double").select(F.col("t").cast("timestamp").alias("ts"), "k", "v")
-    assert [round(r.rate * 120, 6) for r in feeds.window_rates(df, ["k"], "ts", "v", "2 minutes").orderBy("start").collect()] == [10.0, 0.0]
-    assert feeds.window_rates(df, ["k"], "ts", "v", "2 minutes", limit=0.01).count() == 1
+def test_window_rates_equal_batch(spark):
+    from millrace.operators.monitors import counter_rates
 
-
-def test_buffer_of_bad_payload():
-    b = feeds.EventBuffer()
-    assert b.feed("data: {bad\n\nda") == [(0, "{bad", False, False)] and b.feed("ta: [DONE]\n\n") == [(1, "[DONE]", True, False)]
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("s")).alias("ts")
+    df = spark.createDataFrame([(30 * m, k, float(v)) for k, vs in (("k", [0, 10, 40, 5, 5, 25, 25, 90, 7]), ("j", [3, 3, 4])) for m, v in enumerate(vs)], "s int, k string, v double").select(at, "k", "v")
+    own = lambda x: {(r.k, r.start): round(r.rate, 9) for r in x.collect()}
+    assert own(feeds.window_rates(df, ["k"], "ts", "v", 120)) == own(counter_rates(df, ["k"], "ts", "v", 120))
+    assert feeds.window_rates(df, ["k"], "ts", "v", 120, limit=0.3).count() == 2
 
 
-if __name__ == "__main__":
-    pytest.main([__file__])
+def test_buffer_of_bad_payload():
+    b = sse.EventBuffer()
+    assert b.feed("data: {bad\n\nda") == [(0, "{bad")] and b.feed("ta: [DONE]\n") == [] and b.feed("\ndata: x\n\n") == [(1, "[DONE]"), (2, "x")] and not b.tail
