@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.stats import distribution
 from millrace.functions.text import normal_key, py_strip, tokens_quarter, word_overlap, word_set
+from millrace.functions.tokens import TEMPLATE, count
 
 
 def side_text(side: Column) -> Column:
@@ -53,9 +54,14 @@ def judged(df: DataFrame, near: float = 0.9) -> DataFrame:
     return df.withColumn("near_identical", ok & ~F.col("identical") & (F.col("similarity") >= near))
 
 
-def token_lengths(df: DataFrame) -> DataFrame:
-    """D8, by the char4 estimator: prompt_len, chosen_len, rejected_len."""
-    return df.withColumns({"prompt_len": tokens_quarter(F.col("prompt")), "chosen_len": tokens_quarter(F.col("chosen_text")), "rejected_len": tokens_quarter(F.col("rejected_text"))})
+def token_lengths(df: DataFrame, tokens: str = "char4", template: tuple[str, str] = TEMPLATE) -> DataFrame:
+    """prompt_len, chosen_len, rejected_len: by the char4 estimator, or by a tokenizer's file, which counts the templated prompt and the plain answers; any other name is refused with UnknownTokenizer."""
+    names = {"prompt_len": "prompt", "chosen_len": "chosen_text", "rejected_len": "rejected_text"}
+    if tokens == "char4":
+        return df.withColumns({n: tokens_quarter(F.col(c)) for n, c in names.items()})
+    before, after = template[0].split("{}")
+    texts = {n: F.col(c) for n, c in names.items()} | {"prompt_len": F.concat(F.lit(before), F.coalesce("prompt", F.lit("")), F.lit(after))}
+    return df.withColumns({n: count(c, tokens) for n, c in texts.items()})
 
 
 def report(df: DataFrame, max_prompt: int = 1024, max_completion: int = 1024, max_total: int = 2048, near: float = 0.9, low: float = 0.55, high: float = 1.8, invalid_json: int = 0) -> DataFrame:

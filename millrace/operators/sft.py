@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.stats import percentiles
+from millrace.functions.stats import ks_p_value, ks_statistic, percentiles
 from millrace.functions.text import first_filled, normal_key, py_strip, tokens_quarter
+from millrace.functions.tokens import TEMPLATE, UnknownTokenizer, chat_lengths
 from millrace.session import stored
 
 IGNORED = -100
@@ -32,15 +33,16 @@ def extracted(df: DataFrame) -> DataFrame:
     return df.withColumns({"p": p, "c": c}).withColumns({"valid": F.col("p") != "", "error": F.when(F.col("p") == "", error)})
 
 
-def featurised(rows: DataFrame, max_len: int = 1024, tokens: str = "char4") -> DataFrame:
-    """P2-P4 as lengths: adds prompt_len, target_len, raw_len, total_len, empty, truncated to rows of P1.
+def featurised(rows: DataFrame, max_len: int = 1024, tokens: str = "char4", template: tuple[str, str] = TEMPLATE) -> DataFrame:
+    """P2-P4 as lengths: adds prompt_len, answer_len, target_len, raw_len, total_len, empty, truncated to rows of P1, and boundary_ok where tokens are counted.
 
-    tokens names the estimator; only char4 is built in, any other name is refused (P15), so that no estimate passes for a count. An empty answer has no tokens.
+    tokens is char4, an estimate by characters, or a tokenizer's file, which counts the templated texts; any other name is refused with UnknownTokenizer (P15), so that no estimate passes for a count. By char4 an empty answer has no tokens.
     Right truncation keeps the first max_len; an answer is truncated if some of its tokens were lost."""
-    if tokens != "char4":
-        raise ValueError(f"unknown tokenizer {tokens!r}; give token lengths as columns instead")
-    prompt, target = tokens_quarter(F.col("p")), F.when(F.col("c") == "", 0).otherwise(tokens_quarter(F.col("c")))
-    df = rows.withColumns({"prompt_len": prompt, "answer_len": target}).withColumn("raw_len", F.col("prompt_len") + F.col("answer_len"))
+    if tokens == "char4":
+        prompt, target = tokens_quarter(F.col("p")), F.when(F.col("c") == "", 0).otherwise(tokens_quarter(F.col("c")))
+        df = rows.withColumns({"prompt_len": prompt, "answer_len": target}).withColumn("raw_len", F.col("prompt_len") + F.col("answer_len"))
+    else:
+        df = rows.withColumn("_lengths", chat_lengths(F.col("p"), F.col("c"), tokens, template)).select("*", "_lengths.*").drop("_lengths").withColumn("answer_len", F.col("raw_len") - F.col("prompt_len"))
     total = F.least(F.col("raw_len"), F.lit(max_len))
     df = df.withColumns({"total_len": total, "target_len": F.greatest(total - F.col("prompt_len"), F.lit(0)), "empty": F.col("c") == ""})
     return df.withColumn("truncated", (F.col("raw_len") > max_len) & (F.col("target_len") < F.col("answer_len")))
@@ -121,9 +123,14 @@ def gate(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"warnings": kept(bad + advice), "gate": F.when(F.size(kept(bad)) > 0, "Validation Alerts Detected").when(F.size(kept(advice)) > 0, "Optimization Advisories").otherwise("Clean Execution")})
 
 
-def report(df: DataFrame, max_len: int = 1024, batch_size: int = 4, invalid_json: int = 0) -> DataFrame:
-    """The whole preflight report as one row. An empty table gives zeros and a clean gate with no lengths."""
-    rows = featurised(extracted(df), max_len)
+def report(df: DataFrame, max_len: int = 1024, batch_size: int = 4, invalid_json: int = 0, tokens: str = "char4") -> DataFrame:
+    """The whole preflight report as one row. An empty table gives zeros and a clean gate with no lengths. Where the tokenizer isn't there nothing is looked at: zeros, and a gate that says so."""
+    try:
+        rows = featurised(extracted(df), max_len, tokens)
+    except UnknownTokenizer:
+        none = report(df.where(F.lit(False)), max_len, batch_size)
+        zeros = {c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in none.dtypes if c not in ("warnings", "gate")}
+        return none.withColumns(zeros | {"warnings": F.array(F.lit("tokenizer")), "gate": F.lit("Unable to Inspect")})
     # texts are read once; three aggregates then read lengths, flags and a 128 bit key of each prompt
     rows = stored(rows.select("ordinal", "valid", "empty", "truncated", "raw_len", "total_len", "prompt_len", "target_len", F.unhex(F.md5(normal_key(F.col("p")))).alias("prompt_key")), "features")
     ok = rows.where("valid")
@@ -132,6 +139,34 @@ def report(df: DataFrame, max_len: int = 1024, batch_size: int = 4, invalid_json
     return gate(counts).withColumn("one", F.lit(1)).join(length_stats(ok).withColumn("one", F.lit(1)), "one").join(waste.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+# Own words for what a report finds: (what, severity, text). P14.
+ADVICE = [
+    ("invalid", "error", "rows can't be read or have no prompt: repair or remove them"),
+    ("empty", "error", "rows have an empty answer, whose loss is undefined: remove them"),
+    ("truncated", "warning", "answers lose tokens to the length limit: raise it or leave out long prompts"),
+    ("misaligned", "error", "rows teach their prompt or mask their answer: label answers only"),
+    ("duplicates", "advice", "prompts came before: keep one of each"),
+    ("over_length", "advice", "rows are over the length limit: choose how to cut them"),
+]
+PADDED, DRIFTED = 20.0, 0.05
+
+
+def advice(found: DataFrame, p_value: float | None = None) -> DataFrame:
+    """Kind, severity, n, share_pct (of all rows), text for what a report's row shows: each count above 0, padding above PADDED percent of all places, and lengths that drifted from an earlier data set's, if their p-value is given and below DRIFTED."""
+    share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("total")), F.lit(0.0))
+    line = lambda kind, severity, n, pct, text: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), n.cast("long").alias("n"), pct.alias("share_pct"), F.lit(text).alias("text"))
+    lines = [F.when(F.col(kind) > 0, line(kind, severity, F.col(kind), share(kind), text)) for kind, severity, text in ADVICE]
+    lines.append(F.when(F.col("waste_pct") > PADDED, line("padding", "advice", F.col("padded") - F.col("useful"), F.col("waste_pct"), "of all places are padding: batch rows of like length, or pack them")))
+    lines.append(F.when(F.lit(p_value is not None and p_value < DRIFTED), line("drift", "warning", F.lit(None), F.lit(p_value).cast("double"), "lengths are not distributed as before: set batch sizes anew")))
+    return found.select(F.explode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def drift(lengths: DataFrame, before: DataFrame) -> tuple[float, float]:
+    """Distance of two columns `v` and its p-value; no values on a side give 0 and 1."""
+    r = ks_statistic(lengths, before).first()
+    return float(r["d"] or 0.0), ks_p_value(r["d"], r["n"] or 0, r["m"] or 0)
+
+
 def passes_strict(report_row: dict) -> bool:
     """Whether a report lets a strict run go on."""
     return report_row["gate"] == "Clean Execution" and not report_row["warnings"]

@@ -121,6 +121,29 @@ def p_report(spark: SparkSession, d: str) -> DataFrame:
     return r6(sft.report(sft_rows(spark, d), 256).withColumn("warnings", F.array_join("warnings", ",")))
 
 
+_ADVISED = " union all ".join(f"select '{k}' as kind, '{v}' as severity, {k}::bigint as n, round({k} * 100.0::double / total, 6) as share_pct, '{t.replace(chr(39), chr(39) * 2)}' as text from r where {k} > 0" for k, v, t in sft.ADVICE)
+
+
+@query("p_advice", f"with {FEATURES}, o as (select total_len, row_number() over (order by ordinal) - 1 as k from feats where valid), b as (select max(total_len) * count(*) as padded, sum(total_len) as useful from o group by k // 4), w as (select sum(useful)::bigint as useful, sum(padded)::bigint as padded from b), r as (select count(*) as total, count_if(not valid) as invalid, count_if(valid and empty) as empty, count_if(valid and not empty and truncated) as truncated, 0 as misaligned, count_if(valid) - count(distinct case when valid then lower(p) end) as duplicates, count_if(valid and raw_len > 256) as over_length from feats) {_ADVISED} union all select 'padding', 'advice', padded - useful, round((padded - useful) * 100.0::double / padded, 6), 'of all places are padding: batch rows of like length, or pack them' from w where (padded - useful) * 100.0::double / padded > 20")
+def p_advice(spark: SparkSession, d: str) -> DataFrame:
+    """P14."""
+    return r6(sft.advice(sft.report(sft_rows(spark, d), 256)))
+
+
+@query("p_drift_alert")
+def p_drift_alert(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of answered rows against those of rows with long prompts, with the p-value's alert. The p-value counts lattice paths, which SQL can't say."""
+    rows = sft.featurised(sft.extracted(sft_rows(spark, d)), 256).where("valid").select("prompt_len", F.col("total_len").alias("v"))
+    distance, p = sft.drift(rows.select("v"), rows.where("prompt_len > 20").select("v"))
+    return sft.advice(sft.report(sft_rows(spark, d), 256), p).where("kind = 'drift'").withColumn("distance", F.lit(distance))
+
+
+@query("p_token_lengths")
+def p_token_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """P2 by a public tokenizer's file; its tests count by the tokenizer itself."""
+    return sft.featurised(sft.extracted(sft_rows(spark, d)), 256, "byte_bpe_50k.tiktoken").select("ordinal", "prompt_len", "answer_len", "raw_len", "total_len", "target_len", "boundary_ok", "truncated")
+
+
 @query("p_labels")
 def p_labels(spark: SparkSession, d: str) -> DataFrame:
     """P3-P6 on arrays: code points as token ids."""
