@@ -90,6 +90,37 @@ def largest_part(df: DataFrame) -> Column:
     return out
 
 
+PARTS = ("weights", "gradients", "optimizer_states", "activations", "communication")
+# Shares of the device's memory above which optimizer states and activations stand out, shares of the total that make them the cause, waste that makes padding it, and what 8 bit states save.
+LARGE = {"optimizer_states": 40.0, "activations": 30.0}
+CAUSE = {"optimizer_states": 0.45, "activations": 0.35}
+WASTED, SAVED = 30.0, 8 / 12
+
+
+def bill(df: DataFrame, keys: list[str]) -> DataFrame:
+    """K7: keys, part, gb, pct_of_vram, large for each of the five parts of breakdown()."""
+    parts = [F.struct(F.lit(n).alias("part"), F.col(f"{n}_gb").alias("gb"), F.coalesce(F.try_divide(F.col(f"{n}_gb"), F.col("vram_gb")) * 100, F.lit(0.0)).alias("pct_of_vram")) for n in PARTS]
+    out = df.select(*keys, F.explode(F.array(*parts)).alias("x")).select(*keys, "x.*")
+    large = F.lit(False)
+    for n, most in LARGE.items():
+        large = large | (F.col("part") == n) & (F.col("pct_of_vram") > most)
+    return out.withColumn("large", large)
+
+
+def cause(df: DataFrame, checkpointing: bool = True, waste_pct: Column | None = None) -> DataFrame:
+    """K7: adds cause and freed_gb to rows of breakdown(): what to change first. Full optimizer states that are much of the total (freed_gb: what 8 bit ones save), else padding, else activations that aren't recomputed, else nothing stands out."""
+    states = (F.col("optimizer_states_gb") > F.col("total_gb") * CAUSE["optimizer_states"]) & ~F.lower("optimizer").contains("8bit")
+    padded = F.coalesce(waste_pct > WASTED, F.lit(False)) if waste_pct is not None else F.lit(False)
+    kept = F.lit(not checkpointing) & (F.col("activations_gb") > F.col("total_gb") * CAUSE["activations"])
+    name = F.when(states, "optimizer_states").when(padded, "padding").when(kept, "activations").otherwise("balanced")
+    return df.withColumns({"cause": name, "freed_gb": F.when(states, F.col("optimizer_states_gb") * SAVED)})
+
+
+def penalised(length: Column, factor: Column | float) -> Column:
+    """A length times the storage's factor, half to even."""
+    return F.bround(length * factor).cast("long")
+
+
 def cumulative_risk(p: Column, steps: Column) -> Column:
     """K7: chance of at least one failure, in percent."""
     return (1 - F.pow(1 - p, steps)) * 100

@@ -172,17 +172,24 @@ f as (select *, 10 + 2 * kv_heads::double / heads + case when experts is not nul
 g as (select *, floor(params * 2.0::double / shared) / 1073741824 as weights_gb, floor(params * 2.0::double / shared) / 1073741824 as gradients_gb, floor(params * (case when optimizer = 'adamw8bit' then 4.0::double else 12.0::double end) / shared) / 1073741824 as optimizer_states_gb, floor(layers * t * hidden * factor * 2) / 1073741824 as activations_gb,
   case when world <= 1 then 0 else 2 * 4194304 * 8 * least(2, world - 1) + case strategy when 'zero3' then 1000000000 when 'tensor_parallel' then 2 * t * hidden * 2 when 'ddp' then 26214400 else 0 end end::double / 1073741824 as communication_gb from f),
 h as (select *, weights_gb + gradients_gb + optimizer_states_gb + activations_gb + communication_gb as total_gb from g), i as (select *, vram_gb - total_gb as headroom_gb, total_gb / vram_gb * 100 as utilisation, 0.5 * least(100, total_gb / vram_gb * 100) + 0.5 * 80 as score, greatest({', '.join(f'{n}_gb' for n in _ORDER)}) as most from h)
-select batch, seq, optimizer, strategy, world, model, layers, hidden, heads, kv_heads, vocab, params, experts, experts_used, vram_gb, {', '.join(f'round({n}_gb, 6) as {n}_gb' for n in _ORDER)}, round(total_gb, 6) as total_gb, round(headroom_gb, 6) as headroom_gb, total_gb <= vram_gb as fits, round(utilisation, 6) as utilisation, 68.0::double as usable,
+select batch, seq, optimizer, strategy, world, model, layers, hidden, heads, kv_heads, vocab, params, experts, experts_used, vram_gb, case when optimizer_states_gb > total_gb * 0.45::double and optimizer <> 'adamw8bit' then 'optimizer_states' else 'balanced' end as cause, round(case when optimizer_states_gb > total_gb * 0.45::double and optimizer <> 'adamw8bit' then optimizer_states_gb * 8 / 12 end, 6) as freed_gb, {', '.join(f'round({n}_gb, 6) as {n}_gb' for n in _ORDER)}, round(total_gb, 6) as total_gb, round(headroom_gb, 6) as headroom_gb, total_gb <= vram_gb as fits, round(utilisation, 6) as utilisation, 68.0::double as usable,
   case most {' '.join(f"when {n}_gb then '{n}'" for n in _ORDER)} end as largest, round(score, 6) as score, case when least(100, utilisation) < 60 and headroom_gb >= 6 then greatest(batch + 4, floor(batch * 85.0::double / greatest(least(100, utilisation), 10)))::bigint end as larger_batch, round((1 - 0.99::double ** 100) * 100, 6) as risk,
   case when score >= 80 then 'A' when score >= 65 then 'B' when score >= 50 then 'C' else 'D' end as grade from i""",
 )
 def k_breakdown(spark: SparkSession, d: str) -> DataFrame:
     """K3-K8 over all architectures and some shapes."""
-    df = K.breakdown(memory_runs(spark))
+    df = K.cause(K.breakdown(memory_runs(spark)))
     df = df.withColumns({"usable": K.usable_gb(F.col("vram_gb"), F.lit(False)), "largest": K.largest_part(df), "score": K.efficiency(F.col("utilisation"), F.lit(None).cast("double")), "larger_batch": K.upscaled_batch(F.col("batch"), F.col("utilisation"), F.col("headroom_gb")), "risk": K.cumulative_risk(F.lit(0.01), F.lit(100))})
     return r6(df.withColumn("grade", K.grade(F.col("score"))).drop("preference"))
 
 
+@query("k_bill", "with m(model, params) as (values " + ", ".join(f"('{m[0]}', {m[6]})" for m in K.MODELS) + "), p as (select model, x.part, floor(params * x.b) / 1073741824 as gb from m, (values ('weights', 2.0::double), ('gradients', 2.0), ('optimizer_states', 12.0)) x(part, b)) select model, part, round(gb, 6) as gb, round(gb / 80 * 100, 6) as pct_of_vram, part = 'optimizer_states' and gb / 80 * 100 > 40 as large from p")
+def k_bill(spark: SparkSession, d: str) -> DataFrame:
+    """K7: the fixed parts of one device's bill by architecture."""
+    runs = memory_runs(spark).where("batch = 1 and seq = 512 and optimizer = 'adamw' and strategy = 'none'")
+    return r6(K.bill(K.breakdown(runs), ["model"]).where(F.col("part").isin("weights", "gradients", "optimizer_states")))
+
+
 @query("k_activations", f"with m(model, layers, hidden, heads, kv, vocab, params, experts, used) as (values {_MODELS}) select model, b::int as batch, floor(layers * b::double * 2048 * hidden * (10 + 2 * kv::double / heads + case when experts is null then 0 else least(b * 2048 * used, ceil(b * 2048 * used::double / experts * 1.25::double)) / (b * 2048)::double * 4 end) * 2)::bigint as bytes from m, range(1, 9) t(b)")
 def k_activations(spark: SparkSession, d: str) -> DataFrame:
     """K3, with and without experts."""

@@ -326,18 +326,20 @@ def d_batch_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return r6(dpo.batch_mean_accuracy(sft.dense_ordinal(rows, "o"), "ordinal"))
 
 
+_MEASURES = ("pi_chosen", "pi_rejected", "reward_chosen", "reward_rejected", "margin", "loss")
+
+
 @query(
     "d_evaluator_differences",
-    f"""with {LOGPS}, b as (select idx, margin + (case when idx % 7 = 0 then -0.001 else 0.0001 end)::double as margin, loss + 0.00001::double as loss from losses)
-select count(*) as pairs, round(avg(abs(a.margin - b.margin)), 6) as margin_mean, round(max(abs(a.margin - b.margin)), 6) as margin_max, round(avg(abs(a.loss - b.loss)), 6) as loss_mean, round(max(abs(a.loss - b.loss)), 6) as loss_max,
-  count_if(sign(round(a.margin, 9)) <> sign(round(b.margin, 9))) as sign_flips from losses a join b using (idx)""",
+    f"""with {LOGPS}, b as (select idx, {', '.join(f"{m} + (case when idx % {k + 5} = 0 then -0.001 else 0.0001 end)::double as {m}" for k, m in enumerate(_MEASURES))} from losses)
+select count(*) as pairs, {', '.join(f'round(avg(abs(a.{m} - b.{m})), 6) as {m}_mean, round(max(abs(a.{m} - b.{m})), 6) as {m}_max' for m in _MEASURES)}, count_if(sign(round(a.margin, 9)) <> sign(round(b.margin, 9))) as sign_flips from losses a join b using (idx)""",
 )
 def d_evaluator_differences(spark: SparkSession, d: str) -> DataFrame:
-    """D21."""
-    a = dpo.implicit_rewards(logps(spark, d)).select("idx", "margin", "loss")
-    b = a.select("idx", (F.col("margin") + F.when(F.col("idx") % 7 == 0, -0.001).otherwise(0.0001)).alias("margin"), (F.col("loss") + 0.00001).alias("loss"))
+    """All six measures, the second evaluator's moved a little."""
+    a = dpo.implicit_rewards(logps(spark, d)).select("idx", *_MEASURES)
+    b = a.select("idx", *[(F.col(m) + F.when(F.col("idx") % (k + 5) == 0, -0.001).otherwise(0.0001)).alias(m) for k, m in enumerate(_MEASURES)])
     near = lambda x: x.withColumn("margin", F.round("margin", 9))
-    return r6(dpo.evaluator_differences(near(a), near(b), "idx", ["margin", "loss"]))
+    return r6(dpo.evaluator_differences(near(a), near(b), "idx", list(_MEASURES)))
 
 
 @query("d_transitions", f"with {LOGPS}, t as (select round(margin, 9) > 0 as a_won, ref_chosen > ref_rejected as b_won from losses) select a_won, b_won, count(*) as n from t group by all")

@@ -11,7 +11,7 @@ from millrace.plans import adapters as A
 from millrace.plans.adapters import strip_sql
 from millrace.plans.preflight import r6
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import shared_path, table
 from millrace.sources import jsonl, sse, telemetry
 
 
@@ -104,3 +104,32 @@ def j5_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sft_examples").select("example_id", normal_key(F.col("prompt")).alias("key")).where("key <> ''")
     first = rows.groupBy("key").agg(F.min("example_id").alias("first"))
     return rows.join(first, "key").select("example_id", (F.col("example_id") != F.col("first")).alias("duplicate"))
+
+
+@query("s8_trace", "select 'r' || event_id as request_id, 'events' as source, (user_id)::varchar as source_id, event_type as workload_class, 1 as messages, (event_id % 90 + 1)::int as prompt_tokens, 64 as max_tokens, round(event_id * 0.25::double, 2) as arrival_offset_s from events")
+def s8_trace(spark: SparkSession, d: str) -> DataFrame:
+    """A trace written and read again."""
+    one = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("Say "), "event_type").alias("content")))
+    rows = table(spark, d, "events").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("request_id"), F.lit("events").alias("source"), F.col("user_id").cast("string").alias("source_id"), F.col("event_type").alias("workload_class"), one.alias("messages"), (F.col("event_id") % 90 + 1).cast("int").alias("prompt_tokens"), F.lit(64).alias("max_tokens"), (F.col("event_id") * 0.25).alias("arrival_offset_s"))
+    path = shared_path(spark, "trace")
+    jsonl.write_trace(rows, path)
+    return jsonl.read_trace(spark, path).withColumns({"messages": F.size("messages"), "arrival_offset_s": F.round("arrival_offset_s", 2)})
+
+
+@query("s14_samples", "select event_id::varchar as ts, 'P' || event_id % 9 as pstate, case when event_id % 7 = 0 then null else (event_id % 90)::double end as temperature, round(value, 2) as power, 0.0::double as utilisation, 0.0::double as memory_utilisation, (user_id)::double as memory_used, 1.0::double as sm_clock, 2.0::double as memory_clock from events where event_id % 5 <> 0")
+def s14_samples(spark: SparkSession, d: str) -> DataFrame:
+    """A sampler's lines, of which every fifth is cut short and some values aren't supported."""
+    k, text = F.col("event_id"), lambda c: c.cast("string")
+    heat = F.when(k % 7 == 0, "[Not Supported]").otherwise(text(k % 90))
+    whole = F.concat_ws(", ", text(k), F.concat(F.lit("P"), text(k % 9)), heat, F.format_string("%.2f W", "value"), F.lit("0 %"), F.lit("0 %"), F.concat(text(F.col("user_id")), F.lit(" MiB")), F.lit("1 MHz"), F.lit("2 MHz"))
+    path = shared_path(spark, "samples")
+    table(spark, d, "events").select(F.when(k % 5 == 0, F.concat_ws(", ", text(k), F.lit("P0"))).otherwise(whole).alias("value")).write.text(path)
+    return telemetry.device_samples(spark, path)
+
+
+@query("s17_report", f"with {A.REQUESTS} select mode, count(*) as n, round(avg(e2e_latency_ms), 4) as mean_ms from requests group by mode")
+def s17_report(spark: SparkSession, d: str) -> DataFrame:
+    """A report written and read again."""
+    path = shared_path(spark, "report")
+    telemetry.write_report(A.requests(spark, d, "e2e_latency_ms").groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("e2e_latency_ms"), 4).alias("mean_ms")), path)
+    return spark.read.schema("mode string, n long, mean_ms double").json(path)

@@ -137,12 +137,13 @@ def v19_capacity(spark: SparkSession, d: str) -> DataFrame:
 _SINCE = "since as (select *, arrival_time - min(arrival_time) over (partition by run_id) as since_s from flags)"
 
 
-@query("v21_phases", f"{_BASE}, {_SINCE} select mode, case when since_s < 1000000 then 'early' when since_s < 3000000 then 'transition' else 'steady' end as phase, count(*) as n, count_if(completed) as completed, round(avg(case when completed then e2e_latency_ms end), 6) as e2e from since group by all")
+@query("v21_phases", f"{_BASE}, {_SINCE} select mode, case when since_s < 1000000 then 'early' when since_s < 3000000 then 'transition' else 'steady' end as phase, count(*) as n, count_if(completed) as completed, round(avg(case when completed then e2e_latency_ms end), 6) as e2e, round(avg(case when completed then tpot end), 6) as tpot_ms from since join (select request_id, coalesce(list_avg(any_value(inter_event_latencies_ms)), 0) as tpot from gateway_requests group by 1) using (request_id) group by all")
 def v21_phases(spark: SparkSession, d: str) -> DataFrame:
     rows = V.classified(A.requests(spark, d, "arrival_time", "e2e_latency_ms", "status_code", "stream_status"))
     first = rows.groupBy("run_id").agg(F.min("arrival_time").alias("first"))
-    rows = rows.join(first, "run_id").withColumn("since_s", F.col("arrival_time") - F.col("first"))
-    return r6(rows.groupBy("mode", V.phases(rows, 1e6, 3e6).alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("completed"), F.avg(F.when(F.col("completed"), F.col("e2e_latency_ms"))).alias("e2e")))
+    gaps = V.gap_stats(table(spark, d, "gateway_requests"), "inter_event_latencies_ms").groupBy("request_id").agg(F.any_value("tpot_ms").alias("tpot_ms"))
+    rows = rows.join(first, "run_id").join(gaps, "request_id").withColumn("since_s", F.col("arrival_time") - F.col("first"))
+    return r6(rows.groupBy("mode", V.phases(rows, 1e6, 3e6).alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("completed"), F.avg(F.when(F.col("completed"), F.col("e2e_latency_ms"))).alias("e2e"), F.avg(F.when(F.col("completed"), F.col("tpot_ms"))).alias("tpot_ms")))
 
 
 @query("v22_forwarding", f"{_BASE} select regime, round(quantile_cont(case when mode = 'direct' then ttft_ms end, 0.5), 6) as direct_p50, round(quantile_cont(case when mode = 'passthrough' then ttft_ms end, 0.5), 6) as forwarded_p50, round(quantile_cont(case when mode = 'passthrough' then ttft_ms end, 0.5) - quantile_cont(case when mode = 'direct' then ttft_ms end, 0.5), 6) as delta from flags where completed group by regime")

@@ -95,13 +95,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which the session's end removes."""
+    path = f"{with_shared_folder(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    _removed_at_end(spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Like cut(), but as a compressed table, for rows that are many. It stays in the shared folder until the session ends."""
-    spark = with_shared_folder(df.sparkSession)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    _removed_at_end(spark, path)
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -135,3 +135,17 @@ def test_storage_breaker(tmp_path):
         K.storage_penalty(str(p), False, clock=lambda: next(slow))
     with pytest.raises(FileNotFoundError):
         K.storage_penalty(str(tmp_path / "none"), True)
+
+
+def test_memory_bill(spark):
+    from millrace.operators import memory as K
+
+    runs = K.models(spark).where("preference = 0").select("*", F.lit(2).alias("batch"), F.lit(2048).alias("seq"), F.lit("AdamW").alias("optimizer"), F.lit("none").alias("strategy"), F.lit(1).alias("world"), F.lit(24.0).alias("vram_gb"))
+    df = K.breakdown(runs)
+    parts = {r.part: r for r in K.bill(df, ["model"]).collect()}
+    assert set(parts) == set(K.PARTS) and parts["optimizer_states"].large and not parts["weights"].large and abs(parts["weights"].pct_of_vram - parts["weights"].gb / 24 * 100) < 1e-9
+    full = K.cause(df).first()
+    assert full.cause == "optimizer_states" and abs(full.freed_gb - parts["optimizer_states"].gb * 2 / 3) < 1e-9
+    small = K.breakdown(runs.withColumn("optimizer", F.lit("adamw8bit")).withColumn("batch", F.lit(64)), checkpointing=False)
+    assert K.cause(small, False).first().cause == "activations" and K.cause(small, False, F.lit(50.0)).first().cause == "padding" and K.cause(small).first().cause == "balanced"
+    assert [r[0] for r in spark.range(3).select(K.penalised(F.col("id") * 10 + 5, 1.10)).collect()] == [6, 16, 28]
