@@ -85,17 +85,18 @@ SMALL = 20_000
 SMALL_GROUPS = 100_000
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], values: dict[str, Column], qs: tuple[float, ...], small: int = SMALL, accuracy: int = ACCURACY) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], values: dict[str, Column], qs: tuple[float, ...], small: int = SMALL, accuracy: int = ACCURACY, fixed: bool = False) -> DataFrame:
     """keys, and for each name in values `name_n` and `name`, an array: exact percentiles, linear between ranks, of groups of any size.
 
     The aggregate percentile() keeps all of a group's distinct values in one buffer. Here a sketch with a known rank error gives a bracket around each percentile, one pass counts what is below it and how often each value within it occurs, and only
-    these few are ranked. Always the same number of passes, whatever the values. Nulls and NaN don't count, infinite values do; a group without values has n 0 and null for an array; a null key is a group; an empty table gives no rows.
+    these few are ranked. Always the same number of passes, whatever the values. Nulls and NaN don't count, infinite values do; a group without values has n 0 and null for an array; a null key is a group; an empty table gives no rows. fixed: df is a table or a checkpoint already, and need not be written for the three passes over it.
     """
     from millrace.session import cut
 
     names, m = list(values), len(qs)
     columns = {name: c.cast("double") for name, c in values.items()}
-    rows = cut(df.select(*keys, *[F.when(~F.isnan(c), c).alias(name) for name, c in columns.items()]))
+    rows = df.select(*keys, *[F.when(~F.isnan(c), c).alias(name) for name, c in columns.items()])
+    rows = rows if fixed else cut(rows)
     slack = 3 / accuracy
     sides = F.array(*[F.lit(max(0.0, q - slack)) for q in qs], *[F.lit(min(1.0, q + slack)) for q in qs])
     first = [x for name in names for x in (F.count(name).alias(f"{name}_n"), F.percentile_approx(name, sides, accuracy).alias(f"_{name}_at"), F.min(name).alias(f"_{name}_min"), F.max(name).alias(f"_{name}_max"))]

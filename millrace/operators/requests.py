@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import exact_percentiles, joined_groups, sample_std
+from millrace.session import cut
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -26,9 +27,9 @@ def counts() -> list[Column]:
     return [n.alias("offered"), (n - F.count_if("shed")).alias("admitted"), failed.alias("failed"), *own]
 
 
-def with_quantiles(out: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column], qs: dict[str, float] = QUANTILES) -> DataFrame:
+def with_quantiles(out: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column], qs: dict[str, float] = QUANTILES, fixed: bool = False) -> DataFrame:
     """V3: a summary and the exact percentiles of some values of its groups' rows as name_p50 and so on, 0 where there is no value. Groups may be of any size."""
-    found = exact_percentiles(rows, keys, values, tuple(qs.values()))
+    found = exact_percentiles(rows, keys, values, tuple(qs.values()), fixed=fixed)
     cols = [F.coalesce(F.col(name)[k], F.lit(0.0)).alias(f"{name}_{p}") for name in values for k, p in enumerate(qs)]
     return joined_groups(out, found.select(*keys, *cols), keys)
 
@@ -57,10 +58,10 @@ def rates(e2e_slo_ms: float = 2500.0, ttft_slo_ms: float = 250.0, window_s: floa
 
 
 def summary(df: DataFrame, keys: list[str], e2e_slo_ms: float = 2500.0, ttft_slo_ms: float = 250.0, window_s: float | None = None, more: dict[str, Column] | None = None) -> DataFrame:
-    """V1-V7 for each key, V16 by mode, with exact percentiles of latencies() and of `more`: tpot, jitter and lag, say, where the rows have them. df is read twice, so a costly one should be a table."""
-    rows = classified(df)
+    """V1-V7 for each key, V16 by mode, with exact percentiles of latencies() and of `more`: tpot, jitter and lag, say, where the rows have them."""
+    rows = cut(classified(df))
     out = rows.groupBy(*keys).agg(*counts(), *rates(e2e_slo_ms, ttft_slo_ms, window_s))
-    return with_quantiles(out, rows, keys, latencies() | (more or {}))
+    return with_quantiles(out, rows, keys, latencies() | (more or {}), fixed=True)
 
 
 def token_times(events: DataFrame) -> DataFrame:
@@ -98,8 +99,9 @@ def gateway_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """completed = admitted, answered and not hung up; percentiles of theirs, and tokens."""
     ok = F.col("admitted") & (F.col("status_code") == 200) & ~F.coalesce("client_disconnected", F.lit(False))
     values = {"ttft": F.when(ok & (F.col("ttft_ms") > 0), F.col("ttft_ms")), "e2e": F.when(ok, F.col("e2e_latency_ms"))}
+    df = cut(df)
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("completed"), F.count_if(~F.col("admitted")).alias("shed"), F.coalesce(F.sum(F.when(ok, F.col("completion_tokens"))), F.lit(0)).alias("tokens"))
-    return with_quantiles(out, df, keys, values, {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return with_quantiles(out, df, keys, values, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, fixed=True)
 
 
 def across_runs(runs: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:

@@ -180,7 +180,14 @@ def g4_streaks(spark: SparkSession, d: str) -> DataFrame:
     return grpo.flat_streaks(b, "run", "slot", "std").select("run", "slot", "streak")
 
 
-@query("g5_anchor")
+@query(
+    "g5_anchor",
+    f"""with {A.ROLLOUTS}, m as (select batch, min(grp) as g from rollouts where day(batch) % 3 = 0 group by 1), l as (select r.batch, any_value(m.g) as g, max(r.k) as last from rollouts r join m on r.batch = m.batch and r.grp = m.g group by 1),
+x as (select r.batch, r.grp, r.k, l.g, case when r.grp = l.g and r.k = l.last then 'golden' else 'c' || r.reward::varchar end as completion, case when r.grp = l.g and r.k = l.last then 1.5 else r.reward end as reward from rollouts r left join l using (batch)),
+w as (select batch, grp, any_value(g) as g, list(completion order by k) as whole from x group by 1, 2), s as (select w.batch, w.grp, coalesce(w.whole = a.whole, false) as anchored from w left join w a on a.batch = w.batch and a.grp = w.g),
+v as (select *, stddev_pop(reward) over (partition by batch, grp) as gs, stddev_pop(reward) over (partition by batch) as bs from x)
+select batch, anchored, case when gs > 1e-8 then 'intra_group' when bs > 1e-8 then 'batch_fallback' else 'zero_fallback' end as mode, count(*) as n, count_if(completion = 'golden') as golden from v join s using (batch, grp) group by 1, 2, 3""",
+)
 def g5_anchor(spark: SparkSession, d: str) -> DataFrame:
     """An anchor in days whose number is divisible by three."""
     rows = A.rollouts(spark, d).withColumn("completion", F.concat(F.lit("c"), F.col("reward").cast("string")))
