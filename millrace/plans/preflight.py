@@ -144,7 +144,13 @@ def p_token_lengths(spark: SparkSession, d: str) -> DataFrame:
     return sft.featurised(sft.extracted(sft_rows(spark, d)), 256, "byte_bpe_50k.tiktoken").select("ordinal", "prompt_len", "answer_len", "raw_len", "total_len", "target_len", "boundary_ok", "truncated")
 
 
-@query("p_labels")
+@query(
+    "p_labels",
+    f"""with x as (select example_id as ordinal, {_P} as p, {_C} as c from sft_examples), t as (select ordinal, length(p)::int as prompt_len, substr(p || c, 1, 512) as s from x where p <> '' and c <> ''),
+n as (select *, length(s) as n, max(length(s)) over (partition by ordinal // 8) as width, sum(length(s)) over (partition by ordinal // 8) as useful, count(*) over (partition by ordinal // 8) as b from t)
+select ordinal, prompt_len, false as wrong, width::int as width, useful::bigint as useful, (width * b)::bigint as padded,
+  md5(array_to_string(list_transform(range(1, width + 1), lambda i: case when i <= prompt_len or i > n then -100 else unicode(substr(s, i, 1)) end), ' ')) as labels, md5(repeat('1', n) || repeat('0', (width - n)::int)) as mask from n""",
+)
 def p_labels(spark: SparkSession, d: str) -> DataFrame:
     """P3-P6 on arrays: code points as token ids."""
     rows = sft.extracted(sft_rows(spark, d)).where("valid and c <> ''")
@@ -349,7 +355,19 @@ def d_transitions(spark: SparkSession, d: str) -> DataFrame:
     return dpo.transitions(rows.select("idx", (F.round("margin", 9) > 0).alias("won")), rows.select("idx", (F.col("ref_chosen") > F.col("ref_rejected")).alias("won")), "idx")
 
 
-@query("d_trainer_rows")
+def _codes(x: str) -> str:
+    return f"list_transform(range(1, length({x}) + 1), lambda i: unicode(substr({x}, i, 1)))"
+
+
+_ZEROS = "list_transform(range(0, {0}), lambda i: 0)"
+
+
+@query(
+    "d_trainer_rows",
+    f"""with {PAIRS}, x as (select row_id, right(prompt, 256) as prompt, chosen_text, rejected_text from judged where not missing), t as (select row_id, {_codes('prompt')} as p, list_slice({_codes('chosen_text')} || [2], 1, 512) as chosen, list_slice({_codes('rejected_text')} || [2], 1, 512) as rejected from x),
+w as (select *, max(len(p)) over (partition by row_id // 4) as wp, max(greatest(len(chosen), len(rejected))) over (partition by row_id // 4) as wc from t), s as (select row_id, wp, wc, p, 'chosen' as side, chosen as c from w union all select row_id, wp, wc, p, 'rejected', rejected from w)
+select row_id, side, (wp + wc)::int as width, md5(array_to_string({_ZEROS.format('wp - len(p)')} || p || c || {_ZEROS.format('wc - len(c)')}, ' ')) as ids, md5(repeat('0', wp::int) || repeat('1', wc::int)) as loss_mask from s""",
+)
 def d_trainer_rows(spark: SparkSession, d: str) -> DataFrame:
     """Code points as token ids."""
     rows = dpo.sides(dpo_rows(spark, d)).where("not missing")
