@@ -3,14 +3,13 @@ on texts whose function words leave no doubt, which also tells what is in none o
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
-import numpy as np
-
 # Frequent function words of four languages. Those that several of them share support each of these, but decide for none.
 FUNCTION_WORDS = {
     "en": "a in on no me the of and to is was are were with that this which from at by for not it as if when what how why before after than over only would should could can will has have had been there their its an under until while although because so or but about into between within without during please since every more then nothing again first both each such than even",
@@ -110,35 +109,62 @@ def _grams(words: Iterable[str]) -> Iterable[str]:
             yield w[k : k + GRAM]
 
 
+def clear(text: str) -> tuple[str, list[str]] | None:
+    """Language and plain words of a text whose function words leave no doubt."""
+    n = counts(text)
+    own = most(n)
+    return (own, plain_words(text)) if own and n[own] >= 3 and n[own] >= 4 * (sum(n.values()) - n[own]) else None
+
+
+def grams_of(told: Iterable[tuple[str, list[str]]]) -> dict[str, Counter]:
+    """The n-grams of clear() texts, counted by language."""
+    out: dict[str, Counter] = {}
+    for own, words in told:
+        out.setdefault(own, Counter()).update(_grams(words))
+    return out
+
+
 class Profiles:
     """Character n-gram model of the languages of some texts. `of` gives a text's language among them, "other" for a text of words in none of them, None where nothing can be told."""
 
-    def __init__(self, texts: Iterable[str]) -> None:
-        counted: dict[str, Counter] = {}
-        kept: dict[str, list[list[str]]] = {}
-        for k, text in enumerate(texts):
-            n = counts(text)
-            own = most(n)
-            if own and n[own] >= 3 and n[own] >= 4 * (sum(n.values()) - n[own]):
-                words = plain_words(text)
-                if k % 5 == 0 and len(kept.setdefault(own, [])) < 500:
-                    kept[own].append(words)  # held out, to see what the language's own texts score
-                else:
-                    counted.setdefault(own, Counter()).update(_grams(words))
+    def __init__(self, texts: Iterable[str] = (), grams: dict[str, Counter] | None = None) -> None:
+        """From texts; or from the grams_of() all of them, for scored() and measure() to follow."""
+        told = [t for t in map(clear, texts) if t]
+        self.counted = grams_of(told) if grams is None else grams
         self.scores: dict[str, dict[str, float]] = {}
-        self.unseen: dict[str, float] = {}
+        self.totals: dict[str, float] = {}
         #: For each language what its own texts score on average, and what those of the others score there.
         self.usual: dict[str, tuple[float, float]] = {}
-        for own, n in counted.items():
-            total = sum(n.values()) + 0.5 * (len(n) + 1000)
-            self.scores[own] = {g: float(np.log((c + 0.5) / total)) for g, c in n.items()}
-            self.unseen[own] = float(np.log(0.5 / total))
-            held, others = ([self._mean(w, own) for k, ws in kept.items() if (k == own) == same for w in ws if len(w) >= LEAST_WORDS] for same in (True, False))
-            if len(held) >= 5 and len(others) >= 5:
-                self.usual[own] = (float(np.mean(held)), float(np.mean(others)))
+        for own, n in self.counted.items():
+            self.totals[own] = total = sum(n.values()) + 0.5 * (len(n) + 1000)
+            self.scores[own] = {g: math.log((c + 0.5) / total) for g, c in n.items()}
+        if grams is None:
+            self.measure(self.scored(told))
+
+    def scored(self, told: Iterable[tuple[str, list[str]]]) -> dict[tuple[str, bool], tuple[float, int]]:
+        """By model, and whether the texts are of its language: sum of what clear() texts score, and their number. A text of its language is scored without its own part in the model."""
+        out: dict[tuple[str, bool], tuple[float, int]] = {}
+        for own, words in told:
+            if len(words) >= LEAST_WORDS:
+                for k in self.scores:
+                    x, n = out.get((k, k == own), (0.0, 0))
+                    out[k, k == own] = x + (self._without(words, k) if k == own else self._mean(words, k)), n + 1
+        return out
+
+    def measure(self, sums: dict[tuple[str, bool], tuple[float, int]]) -> None:
+        for k in self.scores:
+            (x, n), (y, m) = (sums.get((k, same), (0.0, 0)) for same in (True, False))
+            if n >= 5 and m >= 5:
+                self.usual[k] = (x / n, y / m)
+        self.counted = {}
+
+    def _without(self, words: list[str], own: str) -> float:
+        n, grams = self.counted[own], Counter(_grams(words))
+        size = sum(grams.values())
+        return sum(c * math.log((n[g] - c + 0.5) / (self.totals[own] - size)) for g, c in grams.items()) / max(size, 1)
 
     def _mean(self, words: list[str], own: str) -> float:
-        known, unseen = self.scores[own], self.unseen[own]
+        known, unseen = self.scores[own], math.log(0.5 / self.totals[own])
         x = [known.get(g, unseen) for g in _grams(words)]
         return sum(x) / max(len(x), 1)
 

@@ -2,12 +2,13 @@
 
 Method: responses are sorted by text and neighbours' common prefixes show shortened versions; spikes of length show limits, and the
 end model of truncation.py weighs the rest. Rules for empty answers and copies follow, and models of languages and refusals that are
-fitted on the data's own pairs: word lists and phrases are their seeds.
+fitted on all of the data's own pairs: word lists and phrases are their seeds.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,18 @@ from pyspark.sql import functions as F
 
 from millrace.functions.frames import plain
 from millrace.llm import refusals
-from millrace.llm.language import FEW, FUNCTION_WORDS, Profiles, counts, language, most, plain_words, script, support
+from millrace.llm.language import FEW, FUNCTION_WORDS, Profiles, clear, counts, grams_of, language, most, plain_words, script, support
 from millrace.llm.truncation import judged, stripped
-from millrace.session import cut
+from millrace.session import cut, stored
 
 #: What a longer version of the same text takes from a response's log-odds of being complete.
 SHORTENED = 3.0
 #: A further sentence of a refusal with more words than this needs to be told from an answer.
 REFUSAL_WORDS = 14
-#: Pairs, in expectation, that the models of languages and refusals are fitted on, and the most characters of such a pair.
-SAMPLE_ROWS, SAMPLE_LENGTH = 20_000, 20_000
+#: The rules that a pair's own text shows, those that hold before others first.
+ORDER = ("empty", "copy", "refusal", "language")
+#: N-grams that a task holds at most before it gives their counts out.
+HELD_GRAMS = 200_000
 #: Keys (32 bytes) of texts that are shortened versions: up to so many are broadcast, more are joined by shuffle.
 SMALL_KEYS = 100_000
 
@@ -155,13 +158,18 @@ def subject_words(text: str) -> set[str]:
     return {w[:5] for w in _LETTERS.findall(text.lower()) if w not in _COMMON}
 
 
+def asks_to_decline(prompt: str) -> bool:
+    """Whether a prompt asks for a text that declines."""
+    return bool(_ASKED_TO_DECLINE.search(prompt) and _TASK.search(prompt))
+
+
 def is_refusal(prompt: str, answer: str) -> bool:
     """Whether the answer declines and gives nothing else. A text that declines because the prompt asks for such a text is none.
 
     Its sentences (cut at "but" too) decline, deflect (excuse, reason, advice to turn elsewhere) or may answer. One that has a figure, or is long and on the prompt's subject, answers; phone numbers, addresses and dates are no figures unless
     the prompt asks for such. Short ones on its subject and long ones on none are in doubt, and may not have more words than those that decline or deflect."""
     answer = answer.replace("’", "'")
-    if not REFUSALS.search(answer) or _ASKED_TO_DECLINE.search(prompt) and _TASK.search(prompt):
+    if not REFUSALS.search(answer) or asks_to_decline(prompt):
         return False
     subject = subject_words(prompt)
     known, asked = set(_NUMBER.findall(prompt)), bool(_ASKED_FOR_ONE.search(prompt))
@@ -193,7 +201,7 @@ class Rules:
 
     @classmethod
     def fitted(cls, spark: SparkSession, sample: pd.DataFrame) -> Rules:
-        """From a sample of prompt and completion: prompts whose function words leave no doubt train the language model, refusals that the phrases find the refusal model."""
+        """From prompt and completion of pairs that fit into memory: prompts whose function words leave no doubt train the language model, refusals that the phrases find the refusal model."""
         answered = [(p, c) for p, c in zip(sample["prompt"], sample["completion"]) if not is_empty(c)]
         seed = np.array([is_refusal(p, c) for p, c in answered], bool)
         weights, least = refusals.fitted(np.array([refusals.features(p, c) for p, c in answered], float), seed) if len(answered) else (None, 2.0)
@@ -228,7 +236,7 @@ class Rules:
             return is_refusal(prompt, answer)
         if self.weights is None or not refusals.likely(refusals.features(prompt, answer), self.weights, self.least):
             return False
-        return not (_ASKED_TO_DECLINE.search(prompt) and _TASK.search(prompt))
+        return not asks_to_decline(prompt)
 
     def of(self, prompt: str, answer: str | None) -> str | None:
         """The defect that a pair's own text shows, but for a cut."""
@@ -241,6 +249,142 @@ class Rules:
         return "language" if self.is_foreign(prompt, answer) else None
 
 
+PARTS = "kind string, example_id long, rule string, lang string, text string, n long, seeds long, top array<double>, block binary"
+_COLUMNS = [c.split()[0] for c in PARTS.split(", ")]
+
+
+def _part(kind: str, rows: int, **columns: object) -> pd.DataFrame:
+    return plain(pd.DataFrame({c: [kind] * rows if c == "kind" else columns.get(c, np.full(rows, None, object)) for c in _COLUMNS}))
+
+
+def _packed(ids: list[int], seed: list[bool], asked: list[bool], x: list[list[float]]) -> pd.DataFrame:
+    z = np.array(x, float)
+    block = np.array(ids, np.int64).tobytes() + z.tobytes() + np.array(seed, bool).tobytes() + np.array(asked, bool).tobytes()
+    return _part("block", 1, n=[len(ids)], seeds=[sum(seed)], top=[np.abs(z).max(axis=0)], block=[block])
+
+
+def _unpacked(n: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, whether the phrases find a refusal, whether the model is asked, and features of a block of pairs."""
+    flags = len(block) - 2 * n
+    return np.frombuffer(block, np.int64, n), np.frombuffer(block, bool, n, flags), np.frombuffer(block, bool, n, flags + n), np.frombuffer(block[8 * n : flags]).reshape(n, -1)
+
+
+def read_once(own: DataFrame) -> DataFrame:
+    """PARTS of what the pairs' texts show before anything is fitted: `rule` for each that is empty, a copy or declines by a phrase; `block`: features of answers; `gram` counts and `words` of prompts that are clearly of a language."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams: dict = {}
+        for b in batches:
+            ruled, told, ids, seed, asked, x = [], [], [], [], [], []
+            for k, p, c in zip(b["example_id"], b["prompt"], b["completion"]):
+                prompt = clear(p) if c is not None else None
+                if prompt:
+                    told.append(prompt)
+                if is_empty(c):
+                    ruled.append((k, "empty"))
+                    continue
+                copy, refused = is_copy(p, c), is_refusal(p, c)
+                if copy or refused:
+                    ruled.append((k, "copy" if copy else "refusal"))
+                ids.append(k)
+                seed.append(refused)
+                asked.append(not copy and not REFUSALS.search(c.replace("’", "'")) and not asks_to_decline(p))
+                x.append(refusals.features(p, c))
+            for lang, n in grams_of(told).items():
+                grams.setdefault(lang, Counter()).update(n)
+            if ruled:
+                yield _part("rule", len(ruled), example_id=[k for k, _ in ruled], rule=[r for _, r in ruled])
+            if told:
+                yield _part("words", len(told), lang=[k for k, _ in told], text=[" ".join(w) for _, w in told])
+            if ids:
+                yield _packed(ids, seed, asked, x)
+            if sum(map(len, grams.values())) > HELD_GRAMS:
+                yield from counted(grams)
+                grams = {}
+        yield from counted(grams)
+
+    def counted(grams: dict) -> Iterator[pd.DataFrame]:
+        for lang, n in grams.items():
+            yield _part("gram", len(n), lang=[lang] * len(n), text=list(n), n=list(n.values()))
+
+    return own.select("example_id", "prompt", "completion").mapInPandas(read, PARTS)
+
+
+def profiles_of(parts: DataFrame) -> Profiles:
+    """The language model of all prompts. parts: PARTS."""
+    grams: dict = {}
+    for lang, gram, n in parts.where("kind = 'gram'").groupBy("lang", "text").agg(F.sum("n")).collect():
+        grams.setdefault(lang, Counter())[gram] = n
+    fit = Profiles(grams=grams)
+    shared = parts.sparkSession.sparkContext.broadcast(fit)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums = shared.value.scored((lang, text.split(" ")) for lang, text in zip(b["lang"], b["text"]))
+            if sums:
+                yield pd.DataFrame([(*key, *value) for key, value in sums.items()], columns=["model", "same", "sum", "n"])
+
+    scored = parts.where("kind = 'words'").select("lang", "text").mapInPandas(score, "model string, same boolean, sum double, n long")
+    fit.measure({(r["model"], r["same"]): (r["sum"], r["n"]) for r in scored.groupBy("model", "same").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).collect()})
+    return fit
+
+
+def refusal_model(parts: DataFrame) -> tuple[np.ndarray | None, float]:
+    """refusals.fitted() of all answers, a pass over their blocks for each step. parts: PARTS."""
+    blocks = parts.where("kind = 'block'")
+    n, seeds = blocks.agg(F.sum("n"), F.sum("seeds")).first()
+    if not n:
+        return None, 2.0
+    tops = blocks.select(F.posexplode("top")).groupBy("pos").agg(F.max("col").alias("top")).orderBy("pos").collect()
+    if not seeds or seeds == n:
+        return np.zeros(len(tops)), 2.0
+    scale, weight = np.array([r["top"] for r in tops]) + 1e-9, refusals.sides(seeds, n - seeds)
+
+    def moments(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((len(w) + 1, len(w)))
+            for b in batches:
+                for size, block in zip(b["n"], b["block"]):
+                    _, seed, _, x = _unpacked(size, block)
+                    gradient, curve = refusals.moments(x / scale, seed, weight, w)
+                    sums[0] += gradient
+                    sums[1:] += curve
+            yield pd.DataFrame({"sums": [sums.tobytes()]})
+
+        total = np.zeros((len(w) + 1, len(w)))
+        for r in blocks.select("n", "block").mapInPandas(add, "sums binary").collect():
+            total += np.frombuffer(r["sums"]).reshape(total.shape)
+        return total[0], total[1:]
+
+    w = refusals.solved(len(scale), moments) / scale
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for size, block in zip(b["n"], b["block"]):
+                _, seed, _, x = _unpacked(size, block)
+                p = refusals.probability(x[~seed], w)
+                yield pd.DataFrame({"p": p[p > refusals.LEAST - 1e-6]})
+
+    # one row, below at most SLACK of all, comes to the driver
+    last = blocks.select("n", "block").mapInPandas(likely, "p double").orderBy(F.desc("p")).offset(refusals.from_top(n - seeds) - 1).limit(1).collect()
+    return w, refusals.least_of(last[0]["p"] if last else 0.0)
+
+
+def modelled(parts: DataFrame, weights: np.ndarray | None, least: float) -> DataFrame:
+    """example_id, rule of the pairs that the refusal model finds. parts: PARTS."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for size, block in zip(b["n"], b["block"]):
+                ids, _, asked, x = _unpacked(size, block)
+                some = np.flatnonzero(asked)
+                hit = [k for k in some[refusals.probability(x[some], weights) > refusals.LEAST - 1e-6] if refusals.likely(x[k].tolist(), weights.tolist(), least)]
+                yield pd.DataFrame({"example_id": ids[hit], "rule": np.array(["refusal"] * len(hit), object)})
+
+    blocks = parts.where("kind = 'block'" if weights is not None and least <= 1 else "false")
+    return blocks.select("n", "block").mapInPandas(find, "example_id long, rule string")
+
+
 def shortened(answers: DataFrame) -> DataFrame:
     """key (md5) of each text that is a proper prefix of another one. answers: text, not null.
 
@@ -290,23 +434,24 @@ def defects(examples: DataFrame) -> DataFrame:
     """example_id, defect: empty, truncated, refusal, copy or language.
 
     examples: example_id (unique), prompt, completion, source. Pairs with a null or blank prompt are no case, a null completion is empty, rows without an
-    id are left out, a row that is there twice counts once, an empty table gives no rows. Texts are read whole. The models of languages and refusals are fitted on a sample of SAMPLE_ROWS pairs, in expectation, of up to SAMPLE_LENGTH characters. Where several rules hold the order is empty, copy, refusal, truncated, language.
+    id are left out, a row that is there twice counts once, an empty table gives no rows. Texts are read whole. The models of languages and refusals are fitted on all pairs with a completion. Where several rules hold the order is empty, copy, refusal, truncated, language.
     """
     own = examples.select("example_id", "prompt", "completion", "source").where(F.col("example_id").isNotNull() & F.col("prompt").rlike(r"[^\s\x{200b}\x{feff}]"))
 
-    sample = own.where("completion is not null").select("example_id", "prompt", "completion")
-    share = min(1.0, SAMPLE_ROWS / max(sample.count(), 1))
-    fit = Rules.fitted(own.sparkSession, sample.where((F.pmod(F.xxhash64("example_id"), F.lit(1_000_000)) < share * 1_000_000) & (F.length("prompt") + F.length("completion") <= SAMPLE_LENGTH)).orderBy("example_id").toPandas())
-    shared = own.sparkSession.sparkContext.broadcast(fit)
+    parts = stored(read_once(own), "pairs")
+    weights, least = refusal_model(parts)
+    shared = own.sparkSession.sparkContext.broadcast(Rules(language_names(own.sparkSession), profiles_of(parts), weights, least))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = shared.value
         for b in batches:
-            rules = [judge.of(p, c) for p, c in zip(b["prompt"], b["completion"])]
-            keep = np.array([r is not None for r in rules], bool)
-            yield pd.DataFrame({"example_id": b["example_id"].to_numpy()[keep], "rule": np.array([r for r in rules if r is not None], object)})
+            keep = np.array([not is_empty(c) and judge.is_foreign(p, c) for p, c in zip(b["prompt"], b["completion"])], bool)
+            yield pd.DataFrame({"example_id": b["example_id"].to_numpy()[keep], "rule": np.array(["language"] * keep.sum(), object)})
 
-    ruled = own.select("example_id", "prompt", "completion").mapInPandas(read, "example_id long, rule string")
+    found = parts.where("kind = 'rule'").select("example_id", "rule").unionByName(modelled(parts, weights, least))
+    found = found.unionByName(own.select("example_id", "prompt", "completion").mapInPandas(read, "example_id long, rule string"))
+    # of several rules the first: empty, copy, refusal, language
+    ruled = found.groupBy("example_id").agg(F.min_by("rule", F.array_position(F.array(*map(F.lit, ORDER)), F.col("rule"))).alias("rule"))
     values = examples.select(F.col("example_id").alias("record_id"), F.lit("completion").alias("field_name"), "source", F.col("completion").alias("text"))
     doubtful = judged(values).where(F.col("log_odds") < SHORTENED)
     short = shortened_ids(values)

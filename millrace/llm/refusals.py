@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import operator
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -27,7 +28,7 @@ _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+(?:'(?:t|s|m|d|ll|ve|re)\b)?")
 #: Strength of the ridge of the fit.
 RIDGE = 1e-3
-#: Of the sample's answers without a seed, this share at most may look like a refusal; and so likely must one be.
+#: Of the answers without a seed, this share at most may look like a refusal; and so likely must one be.
 SLACK, LEAST = 0.0005, 0.9
 
 
@@ -56,21 +57,42 @@ def fitted(x: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, float]:
     """(weights, least probability) of a logistic model for answers with a seed against the others, both sides with the same weight in all. Without seeds, or with nothing else, nothing is a refusal."""
     if not seed.any() or seed.all():
         return np.zeros(x.shape[1]), 2.0
-    scale = np.abs(x).max(axis=0) + 1e-9
-    z, y = x / scale, seed.astype(float)
-    weight = np.where(seed, 0.5 / seed.sum(), 0.5 / (~seed).sum())
-    w = np.zeros(z.shape[1])
-    for _ in range(25):  # Newton steps with a ridge
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (weight * (p - y)) + RIDGE * w
-        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
+    scale, weight = np.abs(x).max(axis=0) + 1e-9, sides(int(seed.sum()), int((~seed).sum()))
+    w = solved(x.shape[1], lambda w: moments(x / scale, seed, weight, w)) / scale
+    others = np.sort(probability(x[~seed], w))
+    return w, least_of(others[len(others) - from_top(len(others))])
+
+
+def sides(seeds: int, others: int) -> tuple[float, float]:
+    """What an answer without and one with a seed weighs."""
+    return 0.5 / others, 0.5 / seeds
+
+
+def moments(z: np.ndarray, seed: np.ndarray, weight: tuple[float, float], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the loss of some answers; those of several parts add up. z: scaled features."""
+    p, u = probability(z, w), np.where(seed, weight[1], weight[0])
+    return z.T @ (u * (p - seed)), (z * (u * p * (1 - p))[:, None]).T @ z
+
+
+def solved(size: int, of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weights by Newton steps with a ridge. of: moments of all answers under some weights."""
+    w = np.zeros(size)
+    for _ in range(25):
+        gradient, curve = of(w)
+        step = np.linalg.solve(curve + RIDGE * np.eye(size), gradient + RIDGE * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    w /= scale
-    others = np.sort(probability(x[~seed], w))
-    return w, float(max(LEAST, others[min(len(others) - 1, int(len(others) * (1 - SLACK)))] + 1e-9))
+    return w
+
+
+def from_top(others: int) -> int:
+    """The rank, from the largest probability of the answers without a seed, of the last that is not taken for a refusal by SLACK."""
+    return others - min(others - 1, int(others * (1 - SLACK)))
+
+
+def least_of(probability: float) -> float:
+    return float(max(LEAST, probability + 1e-9))
 
 
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:

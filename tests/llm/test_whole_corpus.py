@@ -1,9 +1,13 @@
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import language, pairs
 from millrace.llm import truncation as T
+from tests.llm import held_out
 from tests.llm.test_truncation import corpus
 
 
@@ -64,3 +68,39 @@ def test_held_keys_are_summed(monkeypatch):
             a, b = got.get(r.key, (0, 0))
             got[r.key] = a + r.went_on, b + r.ended
     assert got == {r.key: (r.went_on, r.ended) for r in want.itertuples()}
+
+
+MEDIUM = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def examples(spark):
+    return spark.read.parquet(f"{MEDIUM}/sft_examples.parquet").where("completion is not null and length(trim(prompt)) > 0").select("example_id", "prompt", "completion", "source").cache()
+
+
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables here")
+def test_models_of_pairs_are_those_of_all_pairs(spark, examples):
+    parts = pairs.read_once(examples.repartition(5)).cache()
+    got = pairs.Rules(None, pairs.profiles_of(parts), *pairs.refusal_model(parts))
+    want = pairs.Rules.fitted(spark, examples.select("prompt", "completion").toPandas())
+    assert np.allclose(got.weights, want.weights, rtol=1e-6, atol=1e-6) and abs(got.least - want.least) < 1e-6 and want.least <= 1
+    assert got.profiles.totals == want.profiles.totals and got.profiles.scores == want.profiles.scores
+    assert len(want.profiles.usual) > 1 and got.profiles.usual.keys() == want.profiles.usual.keys()
+    assert all(np.allclose(got.profiles.usual[k], want.profiles.usual[k]) for k in want.profiles.usual)
+
+
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables here")
+def test_long_pairs_are_fitted_on_too(spark, examples):
+    long = examples.withColumn("prompt", F.concat("prompt", F.repeat(F.lit(" "), 20_001)))
+    tried = [(10**9 + k, p, c, "held out") for k, (p, c) in enumerate(held_out.FOREIGN + held_out.NATIVE)]
+    got = {r.example_id - 10**9 for r in pairs.defects(long.unionByName(spark.createDataFrame(tried, examples.schema))).where("defect = 'language'").collect() if r.example_id >= 10**9}
+    n = len(held_out.FOREIGN)
+    assert sum(k < n for k in got) >= 0.9 * n and sum(k >= n for k in got) <= 1
+
+
+def test_a_language_text_is_scored_without_itself():
+    texts = ["The queue is full and the worker is at the end of the line with a small cache."] * 1 + ["Die Grenze liegt bei der Anfrage und nicht bei dem Verteiler, weil sie klein ist."] * 1
+    told = [t for t in map(language.clear, texts) if t]
+    fit = language.Profiles(grams=language.grams_of(told))
+    (x, n), (y, m) = fit.scored(told)["en", True], fit.scored(told)["en", False]
+    assert n == m == 1 and x < y  # without itself its language has nothing left, not even what the other has in common
