@@ -200,12 +200,12 @@ class Rules:
         self.weights = None if weights is None else [float(w) for w in weights]
 
     @classmethod
-    def fitted(cls, spark: SparkSession, sample: pd.DataFrame) -> Rules:
+    def fitted(cls, spark: SparkSession, examples: pd.DataFrame) -> Rules:
         """From prompt and completion of pairs that fit into memory: prompts whose function words leave no doubt train the language model, refusals that the phrases find the refusal model."""
-        answered = [(p, c) for p, c in zip(sample["prompt"], sample["completion"]) if not is_empty(c)]
+        answered = [(p, c) for p, c in zip(examples["prompt"], examples["completion"]) if not is_empty(c)]
         seed = np.array([is_refusal(p, c) for p, c in answered], bool)
         weights, least = refusals.fitted(np.array([refusals.features(p, c) for p, c in answered], float), seed) if len(answered) else (None, 2.0)
-        return cls(language_names(spark), Profiles(sample["prompt"]), weights, least)
+        return cls(language_names(spark), Profiles(examples["prompt"]), weights, least)
 
     def asked_languages(self, prompt: str) -> set[str]:
         return {self.names[w] for w in re.findall(r"[^\W\d_]+", prompt.lower()) if w in self.names}
